@@ -32,7 +32,7 @@ from ..operators.rewrite import (
 )
 from ..operators.runs import AUDIT_SCHEMA, current_outputs
 from ..operators.tags import apply_outcomes
-from ..session import workspace
+from ..session import stored
 from ..sources.tables import Tables, UnsupportedPlatform, tables_of
 
 
@@ -71,7 +71,7 @@ def decide(
 ) -> tuple[DataFrame, DataFrame]:
     """Written decisions ``urn, ref, output, tier, column_name``; and datasets with a bad URN."""
     usable, rejected = split_urns(catalog.datasets)
-    requests = run_requests(usable, catalog.fields)
+    requests = stored(run_requests(usable, catalog.fields), "requests")
     asked = requests.select("urn").distinct()
     targets = detect(
         asked,
@@ -82,9 +82,7 @@ def decide(
     )
     outputs = current_outputs(read_table(spark, config.audit, AUDIT_SCHEMA))
     decisions = targets.join(usable.select("urn", "ref"), "urn").join(outputs, "urn", "left")
-    path = workspace(spark, "decisions")
-    decisions.write.parquet(path)
-    return spark.read.parquet(path), rejected
+    return stored(decisions, "decisions"), rejected
 
 
 def run_cycle(

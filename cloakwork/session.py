@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,3 +39,14 @@ def workspace(spark: SparkSession, purpose: str) -> str:
             _local_roots[app] = tempfile.mkdtemp(prefix="cloakwork-")
         root = _local_roots[app]
     return f"{root.rstrip('/')}/cloakwork/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once and read back: for inputs that a plan reads several times.
+
+    This cuts the lineage, and unlike cached blocks the files outlive lost executors.
+    """
+    spark = df.sparkSession
+    path = workspace(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.catalog import Catalog
 from ..operators.tags import ENTITY, fold_changes, outcome_changes, with_tags
 from ..plans.cycle import CycleResult, RunConfig, read_table, run_cycle
+from ..session import stored
 from .rows import triggered
 
 # phase orders the outcome of a run after the changes the run has seen
@@ -84,6 +85,7 @@ class RequestLoop:
         spark = self.spark
         tags = changes.where("op = 'add'").select(*ENTITY)
         tagged = with_tags(self.catalog, tags)
+        tagged = Catalog(stored(tagged.datasets, "datasets"), stored(tagged.fields, "fields"))
         result = run_cycle(spark, tagged, self.config)
         made = outcome_changes(tagged.fields, result.audit, result.targets)
         seen = changes.groupBy("urn").agg(F.max("seq").alias("seq"))

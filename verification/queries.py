@@ -29,7 +29,7 @@ from cloakwork.operators import detect as det
 from cloakwork.operators import rewrite as rw
 from cloakwork.operators import runs, tags
 from cloakwork.plans.cycle import RunConfig, run_cycle
-from cloakwork.session import workspace
+from cloakwork.session import stored, workspace
 from cloakwork.sources.crawl import crawl_parquet, to_catalog
 from cloakwork.sources.seed import contacts
 from cloakwork.sources.tables import ParquetTables
@@ -70,17 +70,13 @@ def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.effective_fields(_fields(spark, sf_dir), edits, key="k")
 
 
-def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Written once and read back: the catalog tables that detection reads several times."""
-    path = workspace(spark, "catalog")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _stored_catalog(spark: SparkSession, sf_dir: str) -> cat.Catalog:
+    return _written(cat.Catalog(_datasets(spark, sf_dir), _effective(spark, sf_dir)))
 
 
-def _stored_catalog(spark: SparkSession, sf_dir: str) -> cat.Catalog:
-    return cat.Catalog(
-        _stored(spark, _datasets(spark, sf_dir)), _stored(spark, _effective(spark, sf_dir))
-    )
+def _written(catalog: cat.Catalog) -> cat.Catalog:
+    """Catalog tables as a catalog keeps them: detection reads them several times."""
+    return cat.Catalog(stored(catalog.datasets, "datasets"), stored(catalog.fields, "fields"))
 
 
 def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +325,7 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _after(spark: SparkSession, sf_dir: str, status: str) -> cat.Catalog:
     catalog = _stored_catalog(spark, sf_dir)
-    requests = _stored(spark, cat.run_requests(catalog.datasets, catalog.fields, key="k"))
+    requests = stored(cat.run_requests(catalog.datasets, catalog.fields, key="k"), "requests")
     asked = requests.select("k").distinct()
     targets = det.detect(
         asked,
@@ -458,7 +454,8 @@ def process_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (urn("databricks", "documents"), "body", "urn:li:tag:sensitive"),
     ]
     state = spark.createDataFrame(asked, "urn string, field_path string, tag string")
-    catalog = tags.with_tags(to_catalog(reduce(DataFrame.unionByName, crawled)), state)
+    found = to_catalog(reduce(DataFrame.unionByName, crawled))
+    catalog = _written(tags.with_tags(found, state))
     config = RunConfig(platforms=platforms, audit=f"{root}/audit")
     result = run_cycle(spark, catalog, config)
     return result.audit.select(
