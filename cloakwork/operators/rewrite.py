@@ -74,6 +74,16 @@ def cutoff_key(found: DataFrame, limit: int, *, key: str = "id") -> Any:
     return last
 
 
+def within_limit(found: DataFrame, limit: int, *, key: str = "id") -> Column:
+    """Condition on the table that holds for no candidates but the first ``limit`` by key."""
+    if limit < 0:
+        raise RewriteError("A limit cannot be negative")
+    if limit == 0:
+        return F.lit(False)
+    last = cutoff_key(found, limit, key=key)
+    return F.lit(True) if last is None else F.coalesce(column(key) <= F.lit(last), F.lit(False))
+
+
 def _nth_key(keys: DataFrame, n: int) -> Any:
     """The n-th smallest key, None if there are n keys or fewer.
 
@@ -123,32 +133,29 @@ def tokenize(
     otherwise get a token that the next run encodes once more.
     """
     check_columns(df, columns, cast_non_string=cast_non_string)
-    last = None
+    within = None
     if limit is not None:
         found = candidates(df, columns, key=key, mode=mode, skip_empty=skip_empty)
-        last = cutoff_key(found, limit, key=key)
-    return rewrite(
-        df, columns, upto=last, key=key, mode=mode, skip_empty=skip_empty
-    )
+        within = within_limit(found, limit, key=key)
+    return rewrite(df, columns, within=within, mode=mode, skip_empty=skip_empty)
 
 
 def rewrite(
     df: DataFrame,
     columns: list[str],
     *,
-    upto: Any = None,
-    key: str = "id",
+    within: Column | None = None,
     mode: str | TokenMode = "dummy",
     skip_empty: bool = False,
 ) -> DataFrame:
-    """Projection behind :func:`tokenize`; ``upto`` is a cut-off key, included."""
+    """Projection behind :func:`tokenize`; rows outside ``within`` stay as they are."""
     string = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
 
     def cell(name: str) -> Column:
         value = column(name) if name in string else column(name).cast("string")
         new = tokenize_if_needed(value, mode, skip_empty=skip_empty)
-        if upto is not None:
-            new = F.when(column(key) <= F.lit(upto), new).otherwise(value)
+        if within is not None:
+            new = F.when(within, new).otherwise(value)
         return new.alias(name)
 
     targets = set(columns)
@@ -158,8 +165,7 @@ def rewrite(
 def metrics(
     columns: list[str],
     *,
-    upto: Any = None,
-    key: str = "id",
+    within: Column | None = None,
     mode: str | TokenMode = "dummy",
     skip_empty: bool = False,
 ) -> list[Column]:
@@ -169,9 +175,7 @@ def metrics(
     here, so it is always 0.
     """
     targets = [column(name) for name in columns]
-    within = F.lit(True)
-    if upto is not None:
-        within = F.coalesce(column(key) <= F.lit(upto), F.lit(False))
+    within = F.lit(True) if within is None else within
     row = any_needs_token(targets, mode, skip_empty=skip_empty)
     cells = [needs_token(t, mode, skip_empty=skip_empty).cast("bigint") for t in targets]
     cell_count = sum(cells) if cells else F.lit(0).cast("bigint")

@@ -26,10 +26,15 @@ def latest_runs(audit: DataFrame, *, order: list[str] | None = None) -> DataFram
     return audit.groupBy("urn").agg(last.alias("last")).select("urn", "last.*")
 
 
-def run_outcomes(urns: DataFrame, latest: DataFrame) -> DataFrame:
-    """``done``, ``failed`` or ``waiting`` for every dataset asked about."""
-    return urns.join(latest.select("urn", "status"), "urn", "left").select(
-        "urn", outcome(F.col("status")).alias("outcome")
+def run_outcomes(asked: DataFrame, runs: DataFrame, *, on: list[str] | None = None) -> DataFrame:
+    """``done``, ``failed`` or ``waiting`` for every dataset asked about.
+
+    ``runs`` are the latest runs. With ``on=["urn", "run_id"]`` they may be the whole audit, and
+    only the run asked about counts, not an earlier one.
+    """
+    keys = on or ["urn"]
+    return asked.join(runs.select(*keys, "status"), keys, "left").select(
+        *keys, outcome(F.col("status")).alias("outcome")
     )
 
 

@@ -22,6 +22,19 @@ DATASET_CHANGES = {
 }
 
 
+def tag_changes(entities: DataFrame, tag: str, op: str) -> DataFrame:
+    """Change-log rows that add a tag to entities ``urn, field_path, seq``, or remove it."""
+    if op not in ("add", "remove"):
+        raise ValueError(f"A tag change is add or remove, not {op}")
+    return entities.select(
+        "urn",
+        F.coalesce("field_path", F.lit("")).alias("field_path"),
+        F.lit(tag).alias("tag"),
+        F.lit(op).alias("op"),
+        "seq",
+    )
+
+
 def fold_changes(changes: DataFrame, *, order: str | Column = "seq") -> DataFrame:
     """Last change of every tag, with all its columns.
 

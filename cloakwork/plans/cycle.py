@@ -26,9 +26,9 @@ from ..operators.rewrite import (
     RewriteError,
     candidates,
     check_columns,
-    cutoff_key,
     metrics,
     rewrite,
+    within_limit,
 )
 from ..operators.runs import AUDIT_SCHEMA, current_outputs
 from ..operators.tags import apply_outcomes
@@ -146,17 +146,16 @@ def _rewrite_table(
 ) -> tuple[dict[str, int], str | None]:
     tables = tables_of(config.platforms, dataset.ref.platform)
     options: dict[str, Any] = {
-        "key": config.key,
         "mode": token_mode(config.mode),
         "skip_empty": config.skip_empty,
     }
     df = tables.read(spark, dataset.ref, dataset.output)
     check_columns(df, columns)
-    found = candidates(df, columns, **options)
+    found = candidates(df, columns, key=config.key, **options)
     if found.isEmpty():  # nothing to change: read the target columns, write nothing
         return {"rows_updated": 0, "rows_skipped": 0, "rows_remaining": 0}, None
     if config.limit is not None:
-        options["upto"] = cutoff_key(found, config.limit, key=config.key)
+        options["within"] = within_limit(found, config.limit, key=config.key)
     seen = Observation()
     watched = df.observe(seen, *metrics(columns, **options))
     output = tables.write(rewrite(watched, columns, **options), dataset.ref, run_id)

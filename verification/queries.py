@@ -134,8 +134,8 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_metrics_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _customers(spark, sf_dir)
-    last = rw.cutoff_key(rw.candidates(customers, CONTACTS), LIMIT)
-    return rw.run_metrics(customers, CONTACTS, upto=last)
+    within = rw.within_limit(rw.candidates(customers, CONTACTS), LIMIT)
+    return rw.run_metrics(customers, CONTACTS, within=within)
 
 
 def remaining_plaintext(spark: SparkSession, sf_dir: str) -> DataFrame:
