@@ -1,0 +1,180 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from cloakwork.functions import dataset_ref, has_pii_tag, leaf_column, table_expression, urn_problem
+from cloakwork.operators import catalog as cat
+
+FIELD = "urn string, pos int, field_path string, tags array<string>"
+URN = "urn:li:dataset:(urn:li:dataPlatform:{},{},{})"
+
+
+def one(spark, value, expression, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(expression(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "urn, parts",
+    [
+        (URN.format("postgres", "postgres.public.customers", "PROD"),
+         ("postgres", "postgres", "public", "customers", "PROD")),
+        (URN.format("postgres", "public.customers", "DEV"),
+         ("postgres", "default", "public", "customers", "DEV")),
+        (URN.format("databricks", "a.b.c.d.e", "PROD"), ("databricks", "a", "b", "c.d.e", "PROD")),
+        (URN.format("x:y", "a.b.", "PROD\n"), ("y", "a", "b", "", "PROD\n")),
+        (URN.format("p", "a.b.c", "PROD") + "\n", ("p", "a", "b", "c", "PROD")),
+    ],
+)
+def test_urn_parts(spark, urn, parts):
+    assert one(spark, urn, urn_problem) is None
+    assert tuple(one(spark, urn, dataset_ref)) == parts
+
+
+@pytest.mark.parametrize(
+    "urn, reason",
+    [
+        ("urn:li:chart:1", "pattern"),
+        ("", "pattern"),
+        (None, "pattern"),
+        (URN.format("p", "a.b", ""), "pattern"),
+        ("x" + URN.format("p", "a.b", "PROD"), "pattern"),
+        (URN.format("p", "a.b", "PROD") + "\n\n", "pattern"),
+        (URN.format("p", "solo", "PROD"), "parts"),
+    ],
+)
+def test_bad_urns_do_not_stop_the_others(spark, urn, reason):
+    good = URN.format("p", "a.b", "PROD")
+    usable, rejected = cat.split_urns(spark.createDataFrame([(urn,), (good,)], "urn string"))
+    assert [r.urn for r in usable.collect()] == [good]
+    assert [(r.urn, r.reason) for r in rejected.collect()] == [(urn, reason)]
+
+
+def test_table_expression(spark):
+    df = spark.createDataFrame([("databricks",), ("postgres",)], "p string")
+    got = df.select(table_expression(F.col("p"), F.lit("d"), F.lit("s"), F.lit("t"))).collect()
+    assert [r[0] for r in got] == ["`d`.`s`.`t`", "s.t"]
+
+
+@pytest.mark.parametrize("path, leaf", [("a.b.email", "email"), ("email", "email"), ("a.", "")])
+def test_leaf(spark, path, leaf):
+    assert one(spark, path, leaf_column) == leaf
+
+
+@pytest.mark.parametrize(
+    "tag, suffix, exact",
+    [
+        ("urn:li:tag:pii", True, True), ("urn:li:tag:pii.email", True, True), ("sensitive", True, True),
+        ("urn:li:tag:nonpii", True, False), ("urn:li:tag:insensitive", True, False),
+        ("urn:li:tag:pii.ssn", False, False), ("urn:li:tag:PII", False, False),
+    ],
+)
+def test_pii_tags(spark, tag, suffix, exact):
+    assert one(spark, [tag], has_pii_tag, "array<string>") is suffix
+    assert one(spark, [tag], lambda t: has_pii_tag(t, boundary=True), "array<string>") is exact
+
+
+@pytest.mark.parametrize(
+    "entry, urns",
+    [
+        ({"tag": {"urn": "t"}}, ["t"]),
+        ({"urn": "t"}, ["t"]),
+        ({"tag": {}, "urn": "own"}, []),
+        ({"tag": None, "urn": "own"}, ["own"]),
+        ({"tag": "text", "urn": "own"}, ["own"]),
+        ({"tag": {"urn": ""}}, []),
+        ("bare", []),
+        (None, []),
+        (["x"], []),
+    ],
+)
+def test_tag_entries(spark, entry, urns):
+    payload = {"schemaMetadata": {"fields": [{"fieldPath": "a", "globalTags": {"tags": [entry, {"urn": "z"}]}}]}}
+    df = spark.createDataFrame([("u", json.dumps(payload))], "urn string, payload string")
+    assert cat.flatten_payloads(df).fields.first().tags == sorted([*urns, "z"])
+
+
+@pytest.mark.parametrize(
+    "payload",
+    ["null", "{", "[]", "{}", '{"schemaMetadata":null}', '{"schemaMetadata":{"fields":null}}', None,
+     '{"schemaMetadata":{"fields":[{"fieldPath":null},{"fieldPath":""},{}]}}'],
+)
+def test_payloads_without_fields(spark, payload):
+    df = spark.createDataFrame([("u", payload)], "urn string, payload string")
+    assert cat.flatten_payloads(df).fields.isEmpty()
+
+
+def test_payload_details(spark):
+    payload = {
+        "name": "customers",
+        "globalTags": {"tags": [{"tag": {"urn": "b"}}, {"tag": {"urn": "a"}}, {"tag": {"urn": "b"}}]},
+        "schemaMetadata": {"fields": [
+            {"fieldPath": "c.email", "nativeDataType": "TEXT", "globalTags": {"tags": [{"urn": "x"}]}},
+            {"fieldPath": "c.phone", "globalTags": ["not", "an", "object"]},
+            {"fieldPath": "c.phone"},
+        ]},
+        "editableSchemaMetadata": {"editableSchemaFieldInfo": [
+            {"fieldPath": "c.phone", "globalTags": {"tags": [{"urn": "first"}]}},
+            {"fieldPath": "ghost", "globalTags": {"tags": [{"urn": "g"}]}},
+            {"fieldPath": "c.phone", "globalTags": {"tags": [{"urn": "last"}]}},
+        ]},
+        "editableProperties": {"customProperties": {"owner": "me", "n": 5}},
+    }
+    bare = {"name": "bare", "editableProperties": {"customProperties": None}}
+    df = spark.createDataFrame(
+        [("u", json.dumps(payload)), ("v", json.dumps(bare))], "urn string, payload string"
+    )
+    catalog = cat.flatten_payloads(df)
+    dataset, empty = catalog.datasets.orderBy("urn").collect()
+    assert (dataset.name, dataset.global_tags) == ("customers", ["a", "b"])
+    assert dataset.properties == {"owner": "me", "n": "5"} and empty.properties == {}
+    rows = [tuple(r) for r in catalog.fields.orderBy("pos").collect()]
+    assert rows == [
+        ("u", 0, "c.email", "TEXT", ["x"]),
+        ("u", 1, "c.phone", None, ["last"]),
+        ("u", 2, "c.phone", None, ["last"]),
+    ]
+
+
+def test_field_map_takes_the_first(spark):
+    df = spark.createDataFrame([("u", 1, "b.email", []), ("u", 0, "a.email", [])], FIELD)
+    assert [tuple(r) for r in cat.field_map(df).collect()] == [("u", "email", "a.email")]
+
+
+def test_requests(spark):
+    run = "urn:li:tag:tokenize/run"
+    datasets = spark.createDataFrame(
+        [("whole", [run]), ("part", []), ("none", ["other"])], "urn string, global_tags array<string>"
+    )
+    fields = spark.createDataFrame(
+        [("whole", 0, "a.x", [run]), ("part", 0, "a.x", [run]), ("part", 1, "a.y", []),
+         ("part", 2, "a.z", ["q", run]), ("none", 0, "a.x", None)], FIELD
+    )
+    got = {tuple(r) for r in cat.run_requests(datasets, fields).collect()}
+    assert got == {("whole", None), ("part", "a.x"), ("part", "a.z")}
+    assert {tuple(r) for r in cat.tagged_field_counts(fields).collect()} == {("whole", 1), ("part", 2)}
+
+
+def test_search_ranks_equal_then_ending_then_containing(spark):
+    names = ["x.public.t1.old", "x.Public.T1", "public.t1", "public.t1"]
+    rows = [(f"u{i}", n, "p" if i < 3 else "q") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "urn string, name string, platform string")
+    assert cat.search_dataset(df, "public.t1", "p").first().urn == "u2"
+    assert cat.search_dataset(df.where("urn <> 'u2'"), "PUBLIC.t1", "p").first().urn == "u1"
+    assert cat.search_dataset(df, "nowhere", "p").isEmpty()
+
+
+def test_pages_cover_everything_once(spark):
+    df = spark.range(23).select(F.format_string("u%03d", "id").alias("urn"))
+    seen, after = [], ""
+    while rows := cat.page(df, after=after, size=10).collect():
+        seen += [r.urn for r in rows]
+        after = seen[-1]
+    assert seen == [f"u{i:03d}" for i in range(23)]
+
+
+def test_allow_is_anchored_at_the_start_only(spark):
+    df = spark.createDataFrame([("customers",), ("customers_old",), ("my_customers",)], "t string")
+    assert cat.allow(df, {"t": ["customers"]}).count() == 2
+    assert cat.allow(df, {"t": ["customers$", "my"]}).count() == 2
+    assert cat.allow(df, {"t": []}).isEmpty()
