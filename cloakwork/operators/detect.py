@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..constants import NAME_PATTERNS, VALIDATORS
 from ..functions.names import has_pii_tag, leaf_column
 from ..functions.patterns import matches
+from ..session import local_rows
 
 TIERS = ("explicit", "tag", "heuristic")
 
@@ -62,7 +63,7 @@ class Rules:
         return [(p.lower(), self.validators.get(p.lower())) for p in self.patterns]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.pairs(), "pattern string, validator string")
+        return local_rows(spark, self.pairs(), "pattern string, validator string")
 
 
 def _hit(validator: str) -> str:

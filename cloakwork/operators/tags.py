@@ -78,12 +78,12 @@ def with_tags(catalog: Catalog, state: DataFrame) -> Catalog:
             sets.where("field_path = ''").select("urn", "more"), "urn", "left"
         )
         .withColumn("global_tags", union("global_tags"))
-        .drop("more")
+        .select(*catalog.datasets.columns)
     )
     fields = (
         catalog.fields.join(sets.where("field_path <> ''"), ["urn", "field_path"], "left")
         .withColumn("tags", union("tags"))
-        .drop("more")
+        .select(*catalog.fields.columns)
     )
     return Catalog(datasets, fields)
 
@@ -105,7 +105,7 @@ def apply_outcomes(
     datasets = (
         catalog.datasets.join(status, key, "left")
         .withColumn("global_tags", change)
-        .drop("status")
+        .select(*catalog.datasets.columns)
     )
 
     succeeded = status.where(F.col("status") == SUCCESS)

@@ -32,7 +32,7 @@ from ..operators.rewrite import (
 )
 from ..operators.runs import AUDIT_SCHEMA, current_outputs
 from ..operators.tags import apply_outcomes
-from ..session import stored
+from ..session import local_rows, stored
 from ..sources.tables import Tables, UnsupportedPlatform, tables_of
 
 
@@ -62,7 +62,7 @@ class CycleResult:
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table of this library, made empty where it does not exist yet."""
-    spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
+    local_rows(spark, [], schema).write.mode("ignore").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -97,8 +97,7 @@ def run_cycle(
         pending = _by_dataset(decisions)
         while wave := list(islice(pending, config.wave)):
             rows = list(pool.map(lambda d: run_table(spark, *d, config), wave))
-            statuses = spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1)
-            statuses.write.mode("append").parquet(recorded)
+            local_rows(spark, rows, AUDIT_SCHEMA).write.mode("append").parquet(recorded)
     audit = spark.read.schema(AUDIT_SCHEMA).parquet(recorded)
     targets = decisions.select("urn", "column_name")
     after = apply_outcomes(catalog, audit.select("urn", "status"), targets)

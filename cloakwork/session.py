@@ -5,20 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benchmarks on one machine; a cluster brings its own."""
-    return (
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, **settings: str
+) -> SparkSession:
+    """Session for tests and benchmarks on one machine; a cluster brings its own.
+
+    Further settings are given with underscores for dots: ``spark_sql_warehouse_dir="/x"``.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cloakwork")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
+    return builder.getOrCreate()
 
 
 _local_roots: dict[str, str] = {}
@@ -50,3 +60,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = workspace(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows of this process, such as the statuses of a wave of runs.
+
+    Passed as Arrow, so the plan is a local scan in one partition and starts no Python worker.
+    """
+    fields = StructType.fromDDL(schema)
+    records = [dict(zip(fields.names, row, strict=True)) for row in rows]
+    table = pa.Table.from_pylist(records, schema=to_arrow_schema(fields))
+    return spark.createDataFrame(table, fields)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import dataset_urn
 from ..operators.catalog import Catalog, allow, no_tags
-from ..session import workspace
+from ..session import local_rows, workspace
 
 CRAWL_SCHEMA = (
     "platform string, database string, schema_name string, table_name string, "
@@ -86,8 +86,8 @@ def crawl_database(
 ) -> DataFrame:
     """Columns of the tables of a database of the session's own catalog."""
     listed = spark.catalog.listTables(schema_name)
-    names = spark.createDataFrame(
-        [(t.name,) for t in listed if not t.isTemporary], "table_name string"
+    names = local_rows(
+        spark, [(t.name,) for t in listed if not t.isTemporary], "table_name string"
     )
     if tables is not None:
         names = allow(names, {"table_name": tables})
@@ -107,13 +107,12 @@ def _register(
 ) -> DataFrame:
     """Written catalog rows of all tables, a page of tables at a time."""
     path = workspace(spark, "crawl")
-    spark.createDataFrame([], CRAWL_SCHEMA).coalesce(1).write.parquet(path)
-    listed = tables.orderBy("table_name").toLocalIterator()
+    local_rows(spark, [], CRAWL_SCHEMA).write.parquet(path)
+    listed = tables.toLocalIterator()
     with ThreadPoolExecutor(_READERS) as pool:  # waiting for footers, not computing
         while page := list(islice(listed, _PAGE)):
             rows = [row for columns in pool.map(describe, page) for row in columns]
-            found = spark.createDataFrame(rows, CRAWL_SCHEMA).coalesce(1)
-            found.write.mode("append").parquet(path)
+            local_rows(spark, rows, CRAWL_SCHEMA).write.mode("append").parquet(path)
     return spark.read.schema(CRAWL_SCHEMA).parquet(path)
 
 

@@ -27,10 +27,11 @@ from ..plans.cycle import CycleResult, RunConfig, read_table, run_cycle
 from ..session import stored
 from .rows import triggered
 
-# phase orders the outcome of a run after the changes the run has seen
+# phase puts the outcome of a run after all changes of the dataset that the run has seen
 STATE_SCHEMA = (
     "urn string, field_path string, tag string, op string, seq bigint, phase int"
 )
+_ORDER = ["seq", "phase"]
 
 
 class RequestLoop:
@@ -88,12 +89,9 @@ class RequestLoop:
         tagged = Catalog(stored(tagged.datasets, "datasets"), stored(tagged.fields, "fields"))
         result = run_cycle(spark, tagged, self.config)
         made = outcome_changes(tagged.fields, result.audit, result.targets)
-        seen = changes.groupBy("urn").agg(F.max("seq").alias("seq"))
-        ordered = made.join(seen, "urn", "left").select(
-            *ENTITY,
-            "op",
-            F.coalesce("seq", F.lit(0)).alias("seq"),
-            F.lit(1).alias("phase"),
+        seen = changes.groupBy("urn").agg(F.max(F.struct(*_ORDER)).alias("seen"))
+        ordered = made.join(seen, "urn").select(
+            *ENTITY, "op", "seen.seq", (F.col("seen.phase") + 1).alias("phase")
         )
         ordered.write.parquet(f"{self.path}/outcomes/run={uuid.uuid4().hex}")
         return result
@@ -111,4 +109,4 @@ class RequestLoop:
 
 
 def _fold(changes: DataFrame) -> DataFrame:
-    return fold_changes(changes, order=F.struct("seq", "phase"))
+    return fold_changes(changes, order=F.struct(*_ORDER))

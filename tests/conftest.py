@@ -11,13 +11,10 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
-
     from cloakwork.session import local_session
 
     root = tempfile.mkdtemp(prefix="cloakwork-test-")
-    SparkSession.builder.config("spark.sql.warehouse.dir", f"{root}/warehouse")
-    session = local_session(8, 4)
+    session = local_session(8, 4, spark_sql_warehouse_dir=f"{root}/warehouse")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -29,7 +29,7 @@ from cloakwork.operators import detect as det
 from cloakwork.operators import rewrite as rw
 from cloakwork.operators import runs, tags
 from cloakwork.plans.cycle import RunConfig, run_cycle
-from cloakwork.session import stored, workspace
+from cloakwork.session import local_rows, stored, workspace
 from cloakwork.sources.crawl import crawl_parquet, to_catalog
 from cloakwork.sources.seed import contacts
 from cloakwork.sources.tables import ParquetTables
@@ -453,7 +453,7 @@ def process_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (urn("databricks", "documents"), "", RUN_TAG),
         (urn("databricks", "documents"), "body", "urn:li:tag:sensitive"),
     ]
-    state = spark.createDataFrame(asked, "urn string, field_path string, tag string")
+    state = local_rows(spark, asked, "urn string, field_path string, tag string")
     found = to_catalog(reduce(DataFrame.unionByName, crawled))
     catalog = _written(tags.with_tags(found, state))
     config = RunConfig(platforms=platforms, audit=f"{root}/audit")
