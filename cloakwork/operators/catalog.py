@@ -45,14 +45,13 @@ def flatten_payloads(df: DataFrame, *, key: str = "urn", payload: str = "payload
     of losing their whole list.
     """
     doc = F.try_parse_json(F.col(payload))
-    parsed = df.select(F.col(key), doc.alias("doc")).where(
-        F.try_variant_get("doc", "$", "map<string,variant>").isNotNull()
-    )
+    parsed = df.select(F.col(key), doc.alias("doc"))
     properties = F.try_variant_get(
         "doc", "$.editableProperties.customProperties", "map<string,string>"
     )
     empty = no_tags()
-    datasets = parsed.select(
+    is_object = F.try_variant_get("doc", "$", "map<string,variant>").isNotNull()
+    datasets = parsed.where(is_object).select(
         key,
         F.try_variant_get("doc", "$.name", "string").alias("name"),
         tag_urns(F.try_variant_get("doc", "$.globalTags.tags", "array<variant>")).alias(

@@ -6,6 +6,7 @@ contain a rule's pattern, unless sampled values speak against it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -124,16 +125,19 @@ def profile_rows(profile: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 
 def _named_like_pii(name: Column, rules: Rules, sampled: bool) -> Column:
-    lowered = F.lower(name)
+    """The name contains a pattern whose validator, if any, passes on the samples.
 
-    def passes(validator_name: str) -> Column:
+    Patterns that need no look at samples are tested by one regular expression, so the name is
+    worked out once and not once per pattern.
+    """
+    lowered = F.lower(name)
+    checked = {p for p, validator in rules.pairs() if sampled and validator}
+    free = [re.escape(p) for p, _ in rules.pairs() if p not in checked]
+    tests = [lowered.rlike("|".join(free))] if free else []
+    for pattern in sorted(checked):
         # No sample at all says nothing; NULLs alone are samples that do not match.
-        return F.col("n").isNull() | (F.col("n") == 0) | F.col(_hit(validator_name))
-
-    tests = []
-    for pattern, validator in rules.pairs():
-        test = F.contains(lowered, F.lit(pattern))
-        tests.append(test & passes(pattern) if sampled and validator else test)
+        passes = F.col("n").isNull() | (F.col("n") == 0) | F.col(_hit(pattern))
+        tests.append(F.contains(lowered, F.lit(pattern)) & passes)
     return reduce(or_, tests)
 
 

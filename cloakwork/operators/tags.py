@@ -35,15 +35,20 @@ def tag_changes(entities: DataFrame, tag: str, op: str) -> DataFrame:
     )
 
 
-def fold_changes(changes: DataFrame, *, order: str | Column = "seq") -> DataFrame:
-    """Last change of every tag, with all its columns.
+def fold_changes(changes: DataFrame, *, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Last change of every tag: ``urn, field_path, tag, op`` and the order columns.
 
     The partial aggregate is one change per tag, so neither a long history nor a hot dataset
-    travels. Folding is associative: parts of a log may be folded first.
+    travels. With one numeric order column it holds only numbers and is a hash aggregate. Folding
+    is associative: parts of a log may be folded first.
     """
-    rest = [c for c in changes.columns if c not in ENTITY]
-    last = F.max_by(F.struct(*rest), order)
-    return changes.groupBy(*ENTITY).agg(last.alias("last")).select(*ENTITY, "last.*")
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    last = changes.groupBy(*ENTITY).agg(
+        F.max_by(F.col("op") == "add", by).alias("added"),
+        *[F.max_by(name, by).alias(name) for name in order],
+    )
+    op = F.when(F.col("added"), F.lit("add")).otherwise(F.lit("remove"))
+    return last.select(*ENTITY, op.alias("op"), *order)
 
 
 def tag_state(changes: DataFrame) -> DataFrame:

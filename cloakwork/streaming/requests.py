@@ -31,7 +31,7 @@ from .rows import triggered
 STATE_SCHEMA = (
     "urn string, field_path string, tag string, op string, seq bigint, phase int"
 )
-_ORDER = ["seq", "phase"]
+_ORDER = ("seq", "phase")
 
 
 class RequestLoop:
@@ -109,4 +109,4 @@ class RequestLoop:
 
 
 def _fold(changes: DataFrame) -> DataFrame:
-    return fold_changes(changes, order=F.struct(*_ORDER))
+    return fold_changes(changes, order=_ORDER)
