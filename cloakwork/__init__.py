@@ -7,7 +7,7 @@ from .operators.detect import Rules, detect
 from .operators.rewrite import candidates, idempotency_report, remaining_plaintext, run_metrics, tokenize
 from .plans.cycle import RunConfig, run_cycle
 from .session import local_session, workspace
-from .sources.tables import CatalogTables, DataSourceTables, ParquetTables
+from .sources.tables import CatalogTables, DataSourceTables, ParquetTables, PartitionedTables
 from .streaming.requests import RequestLoop
 from .streaming.rows import tokenize_stream
 
@@ -16,6 +16,7 @@ __all__ = [
     "CatalogTables",
     "DataSourceTables",
     "ParquetTables",
+    "PartitionedTables",
     "RequestLoop",
     "Rules",
     "RunConfig",

@@ -55,37 +55,34 @@ def candidates(
     return df.where(guard).select(column(key), *targets)
 
 
-def cutoff_key(found: DataFrame, limit: int, *, key: str = "id") -> Any:
-    """Key of the ``limit``-th candidate in key order; None if there are no more than that.
+def first_candidates(found: DataFrame, limit: int, *, key: str = "id") -> tuple[Column, int]:
+    """Condition on the table that holds for no candidates but the first ``limit`` in key order,
+    and the number of candidates beyond them.
 
-    Raises if the first ``limit`` candidates are not determined by their keys: a NULL key, or a
-    key that occurs twice among them.
+    Raises if these candidates are not determined by their keys: a NULL key, or a key that occurs
+    twice among them.
     """
+    if limit < 0:
+        raise RewriteError("A limit cannot be negative")
+    if limit == 0:
+        return F.lit(False), found.count()
     keys = found.select(column(key).alias("key"))
-    last = _nth_key(keys.where("key IS NOT NULL"), limit)
+    last = cutoff_key(keys.where("key IS NOT NULL"), limit)
     picked = F.lit(True) if last is None else F.col("key") <= F.lit(last)
-    nulls, rows, distinct = keys.agg(
+    total, nulls, rows, distinct = keys.agg(
+        F.count("*"),
         F.count_if(F.col("key").isNull()),
         F.count_if(picked & F.col("key").isNotNull()),
         F.count_distinct(F.when(picked, F.col("key"))),
     ).first()
     if nulls or rows != distinct:
         raise RewriteError(f"A limit needs unique keys that are not NULL in column {key}")
-    return last
-
-
-def within_limit(found: DataFrame, limit: int, *, key: str = "id") -> Column:
-    """Condition on the table that holds for no candidates but the first ``limit`` by key."""
-    if limit < 0:
-        raise RewriteError("A limit cannot be negative")
-    if limit == 0:
-        return F.lit(False)
-    last = cutoff_key(found, limit, key=key)
-    return F.lit(True) if last is None else F.coalesce(column(key) <= F.lit(last), F.lit(False))
+    within = F.lit(True) if last is None else F.coalesce(column(key) <= F.lit(last), F.lit(False))
+    return within, total - rows
 
 
-def _nth_key(keys: DataFrame, n: int) -> Any:
-    """The n-th smallest key, None if there are n keys or fewer.
+def cutoff_key(keys: DataFrame, n: int) -> Any:
+    """The n-th smallest value of column ``key``, None if there are fewer.
 
     For large n the range that holds it is narrowed by counting keys between pivots taken from a
     hash sample. Any pivots give the exact answer. One round moves at most 64 counts.
@@ -136,7 +133,7 @@ def tokenize(
     within = None
     if limit is not None:
         found = candidates(df, columns, key=key, mode=mode, skip_empty=skip_empty)
-        within = within_limit(found, limit, key=key)
+        within, _ = first_candidates(found, limit, key=key)
     return rewrite(df, columns, within=within, mode=mode, skip_empty=skip_empty)
 
 

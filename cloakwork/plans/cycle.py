@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from itertools import groupby, islice
+from itertools import groupby
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -19,21 +19,22 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FAILED, NO_COLUMNS_MESSAGE, SUCCESS, SUCCESS_MESSAGE
-from ..functions.tokens import TokenMode, token_mode
+from ..functions.tokens import TokenMode, any_needs_token, token_mode
 from ..operators.catalog import Catalog, run_requests, split_urns
 from ..operators.detect import Rules, detect
 from ..operators.rewrite import (
     RewriteError,
     candidates,
     check_columns,
+    column,
+    first_candidates,
     metrics,
     rewrite,
-    within_limit,
 )
 from ..operators.runs import AUDIT_SCHEMA, current_outputs
 from ..operators.tags import apply_outcomes
 from ..session import local_rows, stored
-from ..sources.tables import Tables, UnsupportedPlatform, tables_of
+from ..sources.tables import Rewrite, Tables, UnsupportedPlatform, tables_of
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,6 @@ class RunConfig:
     rules: Rules = field(default_factory=Rules)
     skip_empty: bool = False
     parallel_tables: int = 4
-    wave: int = 64
 
 
 @dataclass(frozen=True)
@@ -93,17 +93,29 @@ def run_cycle(
     decisions, rejected = decide(spark, catalog, config, profile)
     recorded = f"{config.audit}/cycle={cycle}"
     audit = read_table(spark, recorded, AUDIT_SCHEMA)
-    with ThreadPoolExecutor(config.parallel_tables) as pool:
-        pending = _by_dataset(decisions)
-        while wave := list(islice(pending, config.wave)):
-            rows = list(pool.map(lambda d: run_table(spark, *d, config), wave))
-            local_rows(spark, rows, AUDIT_SCHEMA).write.mode("append").parquet(recorded)
+    for rows in _finished(spark, _by_dataset(decisions), config):
+        local_rows(spark, rows, AUDIT_SCHEMA).write.mode("append").parquet(recorded)
     audit = spark.read.schema(AUDIT_SCHEMA).parquet(recorded)
     targets = decisions.select("urn", "column_name")
     after = apply_outcomes(catalog, audit.select("urn", "status"), targets)
     return CycleResult(cycle, targets, audit, after, rejected)
 
 
+def _finished(
+    spark: SparkSession, work: Iterator[tuple[Row, list[str]]], config: RunConfig
+) -> Iterator[list[tuple]]:
+    """Audit rows as runs end. A long run holds up no others, and few datasets are held at once."""
+    with ThreadPoolExecutor(config.parallel_tables) as pool:
+        running = set()
+        for dataset, columns in work:
+            running.add(pool.submit(run_table, spark, dataset, columns, config))
+            if len(running) >= 2 * config.parallel_tables:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                yield [run.result() for run in done]
+        if running:
+            yield [run.result() for run in running]
+
+
 def _by_dataset(decisions: DataFrame) -> Iterator[tuple[Row, list[str]]]:
     """Datasets one after the other, each with the sorted names of its target columns."""
     rows = decisions.orderBy("urn", "column_name").toLocalIterator()
@@ -153,12 +165,21 @@ def _rewrite_table(
     found = candidates(df, columns, key=config.key, **options)
     if found.isEmpty():  # nothing to change: read the target columns, write nothing
         return {"rows_updated": 0, "rows_skipped": 0, "rows_remaining": 0}, None
+    changed = any_needs_token([column(name) for name in columns], **options)
+    remaining = 0
     if config.limit is not None:
-        options["within"] = within_limit(found, config.limit, key=config.key)
-    seen = Observation()
-    watched = df.observe(seen, *metrics(columns, **options))
-    output = tables.write(rewrite(watched, columns, **options), dataset.ref, run_id)
-    return seen.get, output
+        within, remaining = first_candidates(found, config.limit, key=config.key)
+        options["within"] = within
+        changed = changed & within
+    counters = Observation()
+
+    def after(rows: DataFrame) -> DataFrame:
+        return rewrite(rows.observe(counters, *metrics(columns, **options)), columns, **options)
+
+    output = tables.write(
+        Rewrite(dataset.ref, run_id, df, changed, after, [config.key, *columns])
+    )
+    return {**counters.get, "rows_remaining": remaining}, output
 
 
 def _message(columns: list[str], counts: dict[str, int]) -> str:

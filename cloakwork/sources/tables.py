@@ -1,25 +1,45 @@
 """Where target tables are read from and written to, by platform.
 
-A platform's ``Tables`` gives the current rows of a table and stores a rewritten one. A rewrite
-always goes to a new place; which place is current is decided by the run audit, whose row is
-written after the data are complete. A run that dies half-way leaves the table as it was.
+A platform's ``Tables`` gives the current rows of a table and stores a rewrite of it. The run audit
+gets its row after the data are complete, and names the place of the rewritten table. A run that
+dies half-way leaves the table as it was.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import UNSUPPORTED_PLATFORM_MESSAGE
 
 
+@dataclass(frozen=True)
+class Rewrite:
+    """What to store: ``after`` turns current rows, all or some of them, into rewritten ones.
+
+    ``changed`` is the condition on current rows that the run changes; ``after`` may be used in
+    one query only, because it counts the rows that pass through.
+    """
+
+    ref: Row
+    run_id: str
+    before: DataFrame
+    changed: Column
+    after: Callable[[DataFrame], DataFrame]
+    key_and_targets: list[str]
+
+
 class Tables(Protocol):
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
         """Current rows; ``output`` is where the last rewrite went, None if there was none."""
 
-    def write(self, df: DataFrame, ref: Row, run_id: str) -> str:
+    def write(self, rewrite: Rewrite) -> str:
         """Store a rewritten table and return its place."""
 
 
@@ -27,28 +47,58 @@ class Tables(Protocol):
 class ParquetTables:
     """Folders ``source/<database>/<schema>/<table>``; rewrites go to ``target/.../<run_id>``.
 
-    Tables listed in ``locations`` (urn to path) are read from there instead. ``partition_by``
-    names the partition columns of the tables that have some.
+    Every version is complete and stays readable. ``partition_by`` names the partition columns of
+    tables (``schema.table``) that have some.
     """
 
     source: str
     target: str
     partition_by: dict[str, list[str]] = field(default_factory=dict)
 
-    def _path(self, root: str, ref: Row) -> str:
-        return f"{root}/{ref.database}/{ref.schema_name}/{ref.table_name}"
-
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
-        return spark.read.parquet(output or self._path(self.source, ref))
+        return spark.read.parquet(output or f"{self.source}/{_folder(ref)}")
 
-    def write(self, df: DataFrame, ref: Row, run_id: str) -> str:
-        path = f"{self._path(self.target, ref)}/{run_id}"
-        writer = df.write.mode("errorifexists")
+    def write(self, rewrite: Rewrite) -> str:
+        ref = rewrite.ref
+        path = f"{self.target}/{_folder(ref)}/{rewrite.run_id}"
+        writer = rewrite.after(rewrite.before).write.mode("errorifexists")
         parts = self.partition_by.get(f"{ref.schema_name}.{ref.table_name}")
         (writer.partitionBy(*parts) if parts else writer).parquet(path)
         return path
 
 
+@dataclass(frozen=True)
+class PartitionedTables:
+    """Partitioned parquet folders ``root/<database>/<schema>/<table>``, rewritten in place.
+
+    Only partitions that hold a row to change are read in full and replaced, so the cost follows
+    the new plaintext and not the table. Spark stages the new files and moves them when the job
+    commits. A commit cut short leaves whole old or whole new partitions, or a partition's new
+    files in the staging folder; tokens being stable, the next run completes the rest.
+    """
+
+    root: str
+    partition_by: dict[str, list[str]]
+    # With more partitions to replace than this, all are: a long condition would slow planning.
+    max_listed: int = 1000
+
+    def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/{_folder(ref)}")
+
+    def write(self, rewrite: Rewrite) -> str:
+        ref, rows = rewrite.ref, rewrite.before
+        parts = self.partition_by[f"{ref.schema_name}.{ref.table_name}"]
+        touched = rows.where(rewrite.changed).select(*parts).distinct()
+        listed = touched.limit(self.max_listed + 1).collect()
+        if len(listed) <= self.max_listed:
+            rows = rows.where(reduce(or_, [_equal(parts, values) for values in listed]))
+        path = f"{self.root}/{_folder(ref)}"
+        rewrite.after(rows).write.mode("overwrite").partitionBy(*parts).option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(path)
+        return path
+
+
 @dataclass(frozen=True)
 class CatalogTables:
     """Tables of the session's catalog; a rewrite is a new table ``<name>_<run_id>``."""
@@ -58,9 +108,11 @@ class CatalogTables:
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
         return spark.table(output or f"`{ref.schema_name}`.`{ref.table_name}`")
 
-    def write(self, df: DataFrame, ref: Row, run_id: str) -> str:
-        name = f"`{ref.schema_name}`.`{ref.table_name}_{run_id.replace('-', '')}`"
-        df.write.format(self.format).mode("errorifexists").saveAsTable(name)
+    def write(self, rewrite: Rewrite) -> str:
+        ref = rewrite.ref
+        name = f"`{ref.schema_name}`.`{ref.table_name}_{rewrite.run_id.replace('-', '')}`"
+        rows = rewrite.after(rewrite.before)
+        rows.write.format(self.format).mode("errorifexists").saveAsTable(name)
         return name
 
 
@@ -68,8 +120,9 @@ class CatalogTables:
 class DataSourceTables:
     """Any Spark data source that addresses tables by option, such as ``jdbc``.
 
-    ``options`` are passed on as they are (URL, credentials, partitioning of the read). A rewrite
-    is a new table ``<schema>.<table>_<run_id>``; swapping it in is a step of the database.
+    ``options`` are passed on as they are (URL, credentials, partitioning of the read). Spark
+    cannot update rows there, so key and target columns of the changed rows, and no others, go to
+    a table ``<schema>.<table>_<run_id>``; updating from it by key is a step of the database.
     """
 
     format: str
@@ -77,17 +130,26 @@ class DataSourceTables:
     table_option: str = "dbtable"
 
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
-        table = output or f"{ref.schema_name}.{ref.table_name}"
         reader = spark.read.format(self.format).options(**self.options)
-        return reader.option(self.table_option, table).load()
-
-    def write(self, df: DataFrame, ref: Row, run_id: str) -> str:
-        table = f"{ref.schema_name}.{ref.table_name}_{run_id.replace('-', '')}"
-        writer = df.write.format(self.format).options(**self.options)
-        writer.option(self.table_option, table).mode("errorifexists").save()
+        return reader.option(self.table_option, f"{ref.schema_name}.{ref.table_name}").load()
+
+    def write(self, rewrite: Rewrite) -> str:
+        ref = rewrite.ref
+        table = f"{ref.schema_name}.{ref.table_name}_{rewrite.run_id.replace('-', '')}"
+        rows = rewrite.after(rewrite.before.where(rewrite.changed))
+        writer = rows.select(*rewrite.key_and_targets).write.format(self.format)
+        writer.options(**self.options).option(self.table_option, table).mode("errorifexists").save()
         return table
 
 
+def _folder(ref: Row) -> str:
+    return f"{ref.database}/{ref.schema_name}/{ref.table_name}"
+
+
+def _equal(columns: list[str], values: Row) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, values)])
+
+
 class UnsupportedPlatform(ValueError):
     """No tables are registered for a platform."""
 

@@ -9,7 +9,12 @@ from cloakwork.plans.cycle import RunConfig, run_cycle
 from cloakwork.sources.crawl import crawl_database, crawl_parquet, field_rows, to_catalog
 from cloakwork.sources.payloads import read_payloads
 from cloakwork.sources.seed import seed_contacts
-from cloakwork.sources.tables import CatalogTables, DataSourceTables, ParquetTables
+from cloakwork.sources.tables import (
+    CatalogTables,
+    DataSourceTables,
+    ParquetTables,
+    PartitionedTables,
+)
 
 CONTACTS = ["email", "phone"]
 
@@ -145,16 +150,61 @@ def test_tables_of_the_session_catalog(spark, folder):
     assert statuses(run_cycle(spark, asked, config))[name].rows_updated == 0
 
 
-def test_generic_data_source_passes_options_on(spark, folder):
-    from pyspark.sql import Row
+def test_only_partitions_with_plaintext_are_replaced(spark, folder):
+    root = f"{folder}/s/main/public/customers"
+    rows = seed_contacts(spark).selectExpr("*", "IF(id % 4 = 3, NULL, id % 4) AS part", "'x' AS kind")
+    clean = rw.tokenize(rows.where("part <=> 0"), CONTACTS)
+    clean.unionByName(rows.where("NOT part <=> 0")).write.partitionBy("part", "kind").parquet(root)
+    crawled = crawl_parquet(spark, f"{folder}/s/main/public", platform="postgres", database="main", schema_name="public")
+    asked = tagged(spark, to_catalog(crawled), [(urn("customers"), "", RUN_TAG)])
+
+    def files():
+        paths = spark.read.parquet(root).select("part", F.col("_metadata.file_path").alias("p")).distinct().collect()
+        return {part: {r.p for r in paths if r.part == part} for part in {r.part for r in paths}}
+
+    for listed, changed in ((1000, 75), (1, 0)):
+        before = files()
+        tables = PartitionedTables(f"{folder}/s", {"public.customers": ["part", "kind"]}, listed)
+        row = statuses(run_cycle(spark, asked, RunConfig({"postgres": tables}, f"{folder}/audit")))[urn("customers")]
+        assert (row.status, row.rows_updated) == ("SUCCESS", changed)
+        after = files()
+        assert before[0] == after[0] and (before[None] != after[None]) == (changed > 0)
+    got = spark.read.parquet(root)
+    assert got.count() == 100 and rw.candidates(got, CONTACTS).isEmpty()
+    assert got.where("part IS NULL").count() == 25
+
+
+def test_many_partitions_are_all_replaced(spark, folder):
+    root = f"{folder}/s/main/public/customers"
+    seed_contacts(spark).selectExpr("*", "id % 5 AS part").write.partitionBy("part").parquet(root)
+    crawled = crawl_parquet(spark, f"{folder}/s/main/public", platform="postgres", database="main", schema_name="public")
+    asked = tagged(spark, to_catalog(crawled), [(urn("customers"), "", RUN_TAG)])
+    tables = PartitionedTables(f"{folder}/s", {"public.customers": ["part"]}, max_listed=2)
+    row = statuses(run_cycle(spark, asked, RunConfig({"postgres": tables}, f"{folder}/audit")))[urn("customers")]
+    got = spark.read.parquet(root)
+    assert row.rows_updated == got.count() == 100 and rw.candidates(got, CONTACTS).isEmpty()
 
-    ref = Row(platform="p", database="d", schema_name=f"{folder}/s", table_name="t")
-    seed_contacts(spark, 5).write.option("header", True).csv(f"{folder}/s.t")
-    tables = DataSourceTables("csv", {"header": "true"}, table_option="path")
-    rows = tables.read(spark, ref, None)
-    assert rows.columns == ["id", "email", "phone"] and rows.count() == 5
-    place = tables.write(rows, ref, "a-b")
-    assert place.endswith("s.t_ab") and tables.read(spark, ref, place).count() == 5
+
+def test_generic_data_source_gets_the_changed_rows(spark, folder):
+    def place(name):
+        return f"{folder}/public.{name}"
+
+    rows = rw.tokenize(seed_contacts(spark, 5), CONTACTS, limit=2).withColumn("city", F.lit("c"))
+    rows.write.option("header", True).csv("file://" + place("customers"))
+    crawled = spark.createDataFrame(
+        [("db", "main", f"{folder}/public", "customers", "", i, c, "string") for i, c in enumerate(["id", *CONTACTS])],
+        "platform string, database string, schema_name string, table_name string, location string, "
+        "pos int, field_path string, native_data_type string",
+    )
+    catalog = to_catalog(crawled)
+    name = catalog.datasets.first().urn
+    tables = DataSourceTables("csv", {"header": "true", "inferSchema": "true"}, table_option="path")
+    asked = tagged(spark, catalog, [(name, "", RUN_TAG)])
+    result = statuses(run_cycle(spark, asked, RunConfig({"db": tables}, f"{folder}/audit")))[name]
+    assert (result.status, result.rows_updated) == ("SUCCESS", 3)
+    staged = spark.read.option("header", True).csv(result.output)
+    assert staged.columns == ["id", *CONTACTS] and staged.count() == 3
+    assert {r.id for r in staged.collect()} == {"3", "4", "5"}
 
 
 def test_unknown_mode_fails_the_run(spark, store):

@@ -55,6 +55,19 @@ def test_limit_changes_the_first_candidates_by_key(customers, limit):
         assert row == want[row.id]
 
 
+def test_candidates_beyond_the_limit_are_counted(customers):
+    found = rw.candidates(customers, CONTACTS)
+    for limit in (0, 7, 100_000):
+        within, beyond = rw.first_candidates(found, limit)
+        assert beyond == max(0, found.count() - limit)
+        assert rw.run_metrics(customers, CONTACTS, within=within).first().rows_remaining == beyond
+
+
+def test_negative_limit(customers):
+    with pytest.raises(rw.RewriteError, match="negative"):
+        rw.tokenize(customers, CONTACTS, limit=-1)
+
+
 def test_limited_plan_has_no_join(customers):
     assert "Join" not in plan(rw.tokenize(customers, CONTACTS, limit=10))
 
@@ -64,8 +77,8 @@ def test_large_limits_count_instead_of_sorting(spark, monkeypatch, kind):
     monkeypatch.setattr(rw, "TOP_N_KEYS", 50)
     numbers = random.Random(7).sample(range(10_000_000), 3000)
     df = spark.createDataFrame([(n,) for n in numbers], "id bigint")
-    df = df.select(F.col("id").cast(kind).alias("id"))
-    keys = sorted(r.id for r in df.collect())
+    df = df.select(F.col("id").cast(kind).alias("key"))
+    keys = sorted(r.key for r in df.collect())
     for limit in (1, 50, 51, 1500, 2999, 3000, 3001):
         want = keys[limit - 1] if limit <= len(keys) else None
         assert rw.cutoff_key(df, limit) == want
@@ -73,7 +86,7 @@ def test_large_limits_count_instead_of_sorting(spark, monkeypatch, kind):
 
 def test_large_limit_rejects_repeated_keys(spark, monkeypatch):
     monkeypatch.setattr(rw, "TOP_N_KEYS", 50)
-    df = spark.range(1000).select(F.lit(5).alias("id"))
+    df = spark.range(1000).select(F.lit(5).alias("key"))
     with pytest.raises(rw.RewriteError):
         rw.cutoff_key(df, 500)
 

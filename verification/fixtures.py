@@ -80,14 +80,19 @@ VIEWS = {
                   WHEN 6 THEN 'urn:li:tag:PII' END AS tag
               FROM @lineitem) f
         JOIN @fx_catalog c ON c.k = f.k""",
+    # an edit of every field, most without a tag, and of one field that does not exist per dataset
     "fx_editable": """
-        SELECT k, urn, field_path, 'urn:li:tag:pii.phone' AS tag FROM @fx_fields WHERE (k + pos) % 37 = 0
+        SELECT k, urn, field_path, CASE WHEN (k + pos) % 37 = 0 THEN 'urn:li:tag:pii.phone' END AS tag
+        FROM @fx_fields
         UNION ALL
-        SELECT k, urn, 'ghost.x' AS field_path, 'urn:li:tag:pii' AS tag FROM @fx_catalog WHERE k % 17 = 0""",
+        SELECT k, urn, 'ghost.x' AS field_path, CASE WHEN k % 17 = 0 THEN 'urn:li:tag:pii' END AS tag
+        FROM @fx_catalog""",
+    # three names per dataset, NULL where there is none
     "fx_scope": """
-        SELECT k, urn, 't' || CAST(k AS string) || '.primary_phone' AS name FROM @fx_catalog WHERE k % 8 = 1
-        UNION ALL SELECT k, urn, 'customer_email' AS name FROM @fx_catalog WHERE k % 8 = 1
-        UNION ALL SELECT k, urn, 'no_such_field' AS name FROM @fx_catalog WHERE k % 8 IN (1, 2)""",
+        SELECT k, urn, CASE WHEN k % 8 = 1 THEN 't' || CAST(k AS string) || '.primary_phone' END AS name
+        FROM @fx_catalog
+        UNION ALL SELECT k, urn, CASE WHEN k % 8 = 1 THEN 'customer_email' END AS name FROM @fx_catalog
+        UNION ALL SELECT k, urn, CASE WHEN k % 8 IN (1, 2) THEN 'no_such_field' END AS name FROM @fx_catalog""",
     "fx_samples": """
         SELECT id, 'customer_email' AS col,
           CASE WHEN id % 3 = 0 THEN 'n/a' ELSE 'u' || CAST(id AS string) || '@example.com' END AS val
@@ -116,7 +121,7 @@ VIEWS = {
                ELSE 'email,phone' END AS columns,
           CASE WHEN event_type = 'error' OR event_id % 10 = 0 THEN 0 ELSE event_id % 100 END AS rows_updated,
           0 AS rows_skipped
-        FROM @events WHERE event_type IN ('purchase', 'error', 'view')""",
+        FROM @events""",
     # one catalog document per part, in all the shapes a catalog returns
     "fx_payload": """
         SELECT k, urn,

@@ -74,7 +74,7 @@ EXPLICIT = f"""
       ON s.k = f.k AND (s.name = f.field_path OR s.name = {leaf('f.field_path')}))"""
 
 TAGGED = f"""
-  tagged AS (SELECT DISTINCT k, {leaf('field_path')} AS column_name FROM eff WHERE {pii('tag')})"""
+  tagged AS (SELECT DISTINCT k, {leaf('field_path')} AS column_name FROM eff WHERE coalesce({pii('tag')}, false))"""
 
 # targets of the requested datasets: scope from the run tags, no samples
 REQUESTED = f"""
@@ -310,7 +310,7 @@ SELECT k, column_name FROM heur""",
     "detect_all": f"""
 WITH {PROFILE}, {HEURISTIC_SAMPLED}, {EXPLICIT}, {EFFECTIVE}, {TAGGED},
   tiers AS (
-    SELECT k, CASE WHEN k IN (SELECT k FROM @fx_scope) THEN 'explicit'
+    SELECT k, CASE WHEN k IN (SELECT k FROM @fx_scope WHERE name IS NOT NULL) THEN 'explicit'
                    WHEN k IN (SELECT k FROM tagged) THEN 'tag' ELSE 'heuristic' END AS tier
     FROM @fx_catalog),
   found AS (

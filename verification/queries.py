@@ -134,7 +134,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_metrics_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _customers(spark, sf_dir)
-    within = rw.within_limit(rw.candidates(customers, CONTACTS), LIMIT)
+    within, _ = rw.first_candidates(rw.candidates(customers, CONTACTS), LIMIT)
     return rw.run_metrics(customers, CONTACTS, within=within)
 
 
