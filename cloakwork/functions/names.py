@@ -18,6 +18,11 @@ from ..constants import (
 from .patterns import matches, spark_pattern
 
 
+def quoted(name: str) -> str:
+    """A column name for exact lookup, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def name_parts(name: Column) -> Column:
     return F.split(name, r"\.", -1)
 

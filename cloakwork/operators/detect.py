@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import NAME_PATTERNS, VALIDATORS
-from ..functions.names import has_pii_tag, leaf_column
+from ..functions.names import has_pii_tag, leaf_column, quoted
 from ..functions.patterns import matches
+
 from ..session import local_rows
 
 TIERS = ("explicit", "tag", "heuristic")
@@ -73,7 +74,7 @@ def _hit(validator: str) -> str:
 
 def sample_text(df: DataFrame, name: str) -> Column:
     """A sampled value as text. Booleans print as ``True`` and ``False``."""
-    text = F.col(name).cast("string")
+    text = F.col(quoted(name)).cast("string")
     return F.initcap(text) if isinstance(df.schema[name].dataType, T.BooleanType) else text
 
 
@@ -85,6 +86,12 @@ def _profile_columns(text: Column, rules: Rules) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *hits]
 
 
+def profile_schema(rules: Rules) -> str:
+    """Columns of a profile, without what it is a profile of."""
+    hits = "".join(f", `{_hit(name)}` boolean" for name in rules.validators)
+    return f"column_name string, n bigint{hits}"
+
+
 def profile_samples(
     samples: DataFrame, rules: Rules | None = None, *, keys: list[str], value: str = "val"
 ) -> DataFrame:
@@ -110,7 +117,7 @@ def profile_table(
     wide = df.agg(
         *[F.struct(*_profile_columns(sample_text(df, c), rules)).alias(c) for c in columns]
     )
-    long = wide.unpivot([], columns, "column_name", "profile")
+    long = wide.unpivot([], [quoted(c) for c in columns], "column_name", "profile")
     return long.select("column_name", "profile.*")
 
 
@@ -136,7 +143,7 @@ def _named_like_pii(name: Column, rules: Rules, sampled: bool) -> Column:
     tests = [lowered.rlike("|".join(free))] if free else []
     for pattern in sorted(checked):
         # No sample at all says nothing; NULLs alone are samples that do not match.
-        passes = F.col("n").isNull() | (F.col("n") == 0) | F.col(_hit(pattern))
+        passes = F.col("n").isNull() | (F.col("n") == 0) | F.col(quoted(_hit(pattern)))
         tests.append(F.contains(lowered, F.lit(pattern)) & passes)
     return reduce(or_, tests)
 
@@ -160,7 +167,7 @@ def heuristic_columns(
     if profile is None:
         return named
     keys = profile_keys or [key, "column_name"]
-    joined = named.join(profile.select(*keys, "n", *[_hit(v) for v in rules.validators]), keys, "left")
+    joined = named.join(profile.select(*keys, "n", *[quoted(_hit(v)) for v in rules.validators]), keys, "left")
     return joined.where(_named_like_pii(F.col("column_name"), rules, sampled=True)).select(
         key, "column_name"
     )
@@ -210,7 +217,7 @@ def detect(
     columns = fields.groupBy(key, name).agg(tagged)
     if profile is not None:
         keys = profile_keys or [key, "column_name"]
-        hits = [_hit(v) for v in rules.validators]
+        hits = [quoted(_hit(v)) for v in rules.validators]
         columns = columns.join(profile.select(*keys, "n", *hits), keys, "left")
     named = _named_like_pii(F.col("column_name"), rules, sampled=profile is not None)
     tiers_of_column = F.array_compact(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..functions.tokens import TokenMode, any_needs_token, needs_token, tokenize_if_needed
 
 # Up to this many keys a top-n runs in one task; beyond it the cut-off is found by counting.
@@ -25,8 +26,8 @@ class RewriteError(ValueError):
 
 
 def column(name: str) -> Column:
-    """Column by its exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by its exact name."""
+    return F.col(quoted(name))
 
 
 def check_columns(df: DataFrame, columns: list[str], *, cast_non_string: bool = False) -> None:
@@ -197,7 +198,7 @@ def remaining_plaintext(
 ) -> DataFrame:
     """Number of plaintext cells per target column, in one pass."""
     counts = df.agg(*[F.count_if(needs_token(column(c), mode)).alias(c) for c in columns])
-    return counts.unpivot([], [column(c) for c in columns], "column_name", "remaining")
+    return counts.unpivot([], [quoted(c) for c in columns], "column_name", "remaining")
 
 
 def idempotency_report(

@@ -7,11 +7,9 @@ then walks that list (names only, never table data) and starts one Spark job per
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from itertools import groupby
+from functools import partial
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import FAILED, NO_COLUMNS_MESSAGE, SUCCESS, SUCCESS_MESSAGE
 from ..functions.tokens import TokenMode, any_needs_token, token_mode
 from ..operators.catalog import Catalog, run_requests, split_urns
-from ..operators.detect import Rules, detect
+from ..operators.detect import Rules, detect, heuristic_columns, profile_schema, profile_table
 from ..operators.rewrite import (
     RewriteError,
     candidates,
@@ -33,13 +31,18 @@ from ..operators.rewrite import (
 )
 from ..operators.runs import AUDIT_SCHEMA, current_outputs
 from ..operators.tags import apply_outcomes
-from ..session import local_rows, stored
+from ..session import local_rows, stored, workspace
 from ..sources.tables import Rewrite, Tables, UnsupportedPlatform, tables_of
+from .work import by_dataset, finished
 
 
 @dataclass(frozen=True)
 class RunConfig:
-    """How runs are done. ``limit=None`` rewrites whole tables."""
+    """How runs are done. ``limit=None`` rewrites whole tables.
+
+    ``check_values`` looks into the tables before names alone decide: columns named like one of
+    the rules' validators are read, and count only if some value matches.
+    """
 
     platforms: dict[str, Tables]
     audit: str
@@ -48,6 +51,7 @@ class RunConfig:
     mode: str | TokenMode = "dummy"
     rules: Rules = field(default_factory=Rules)
     skip_empty: bool = False
+    check_values: bool = False
     parallel_tables: int = 4
 
 
@@ -73,16 +77,52 @@ def decide(
     usable, rejected = split_urns(catalog.datasets)
     requests = stored(run_requests(usable, catalog.fields), "requests")
     asked = requests.select("urn").distinct()
+    fields = catalog.fields.join(asked, "urn", "left_semi")
+    outputs = current_outputs(read_table(spark, config.audit, AUDIT_SCHEMA))
+    places = usable.select("urn", "ref").join(outputs, "urn", "left")
+    if config.check_values and profile is None:
+        profile = profile_datasets(spark, fields, places, config)
     targets = detect(
         asked,
-        catalog.fields.join(asked, "urn", "left_semi"),
+        fields,
         scope=requests.select("urn", F.col("field_path").alias("name")),
         profile=profile,
         rules=config.rules,
     )
-    outputs = current_outputs(read_table(spark, config.audit, AUDIT_SCHEMA))
-    decisions = targets.join(usable.select("urn", "ref"), "urn").join(outputs, "urn", "left")
-    return stored(decisions, "decisions"), rejected
+    return stored(targets.join(places, "urn"), "decisions"), rejected
+
+
+def profile_datasets(
+    spark: SparkSession, fields: DataFrame, places: DataFrame, config: RunConfig
+) -> DataFrame:
+    """Written profile ``urn, column_name, n, hit_*`` of the columns whose values matter.
+
+    One scan per table, of these columns only. A table that cannot be read has no profile; its run
+    will say why.
+    """
+    rules = config.rules
+    schema = "urn string, " + profile_schema(rules)
+    checked = Rules(tuple(p for p, v in rules.pairs() if v), rules.validators)
+    if not checked.patterns:
+        return local_rows(spark, [], schema)
+    path = workspace(spark, "profile")
+    found = read_table(spark, path, schema)
+
+    def run(dataset: Row, columns: list[str]) -> None:
+        try:
+            table = tables_of(config.platforms, dataset.ref.platform)
+            df = table.read(spark, dataset.ref, dataset.output)
+            known = [c for c in columns if c in df.columns]
+            if known:
+                rows = profile_table(df, known, rules).withColumn("urn", F.lit(dataset.urn))
+                rows.select(*found.columns).write.mode("append").parquet(path)
+        except (UnsupportedPlatform, PySparkException):
+            return
+
+    work = by_dataset(heuristic_columns(fields, checked).join(places, "urn"))
+    for _ in finished(run, work, config.parallel_tables):
+        pass
+    return spark.read.schema(schema).parquet(path)
 
 
 def run_cycle(
@@ -93,7 +133,8 @@ def run_cycle(
     decisions, rejected = decide(spark, catalog, config, profile)
     recorded = f"{config.audit}/cycle={cycle}"
     audit = read_table(spark, recorded, AUDIT_SCHEMA)
-    for rows in _finished(spark, _by_dataset(decisions), config):
+    run = partial(run_table, spark, config)
+    for rows in finished(run, by_dataset(decisions), config.parallel_tables):
         local_rows(spark, rows, AUDIT_SCHEMA).write.mode("append").parquet(recorded)
     audit = spark.read.schema(AUDIT_SCHEMA).parquet(recorded)
     targets = decisions.select("urn", "column_name")
@@ -101,30 +142,9 @@ def run_cycle(
     return CycleResult(cycle, targets, audit, after, rejected)
 
 
-def _finished(
-    spark: SparkSession, work: Iterator[tuple[Row, list[str]]], config: RunConfig
-) -> Iterator[list[tuple]]:
-    """Audit rows as runs end. A long run holds up no others, and few datasets are held at once."""
-    with ThreadPoolExecutor(config.parallel_tables) as pool:
-        running = set()
-        for dataset, columns in work:
-            running.add(pool.submit(run_table, spark, dataset, columns, config))
-            if len(running) >= 2 * config.parallel_tables:
-                done, running = wait(running, return_when=FIRST_COMPLETED)
-                yield [run.result() for run in done]
-        if running:
-            yield [run.result() for run in running]
-
-
-def _by_dataset(decisions: DataFrame) -> Iterator[tuple[Row, list[str]]]:
-    """Datasets one after the other, each with the sorted names of its target columns."""
-    rows = decisions.orderBy("urn", "column_name").toLocalIterator()
-    for _, group in groupby(rows, key=lambda row: row.urn):
-        group = list(group)
-        yield group[0], [row.column_name for row in group if row.column_name is not None]
-
-
-def run_table(spark: SparkSession, dataset: Row, columns: list[str], config: RunConfig) -> tuple:
+def run_table(
+    spark: SparkSession, config: RunConfig, dataset: Row, columns: list[str]
+) -> tuple:
     """Run one dataset and return its audit row."""
     run_id = str(uuid.uuid4())
     started = datetime.now(timezone.utc)

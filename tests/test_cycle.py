@@ -207,6 +207,28 @@ def test_generic_data_source_gets_the_changed_rows(spark, folder):
     assert {r.id for r in staged.collect()} == {"3", "4", "5"}
 
 
+def test_values_are_checked_on_request(spark, folder):
+    source = f"{folder}/source/main/public"
+    rows = seed_contacts(spark).selectExpr(
+        "id", "email", "'n/a' AS backup_email", "'n/a' AS contact_email", "CAST(NULL AS string) AS phone"
+    )
+    rows.write.parquet(f"{source}/customers")
+    crawled = crawl_parquet(spark, source, platform="postgres", database="main", schema_name="public")
+    asked = tagged(spark, to_catalog(crawled), [(urn("customers"), "", RUN_TAG)])
+    other = asked.datasets.withColumn("urn", F.lit(urn("gone")))
+    gone = asked.fields.withColumn("urn", F.lit(urn("gone")))
+    asked = type(asked)(asked.datasets.unionByName(other), asked.fields.unionByName(gone))
+    for check, columns in (
+        (True, ["contact_email", "email"]),
+        (False, ["backup_email", "contact_email", "email", "phone"]),
+    ):
+        platforms = {"postgres": ParquetTables(f"{folder}/source", f"{folder}/target")}
+        config = RunConfig(platforms, f"{folder}/audit-{check}", check_values=check)
+        got = statuses(run_cycle(spark, asked, config))
+        assert got[urn("customers")].columns == columns
+        assert got[urn("gone")].status == "FAILED" and len(got[urn("gone")].columns) == 4
+
+
 def test_unknown_mode_fails_the_run(spark, store):
     catalog, tables, audit = store
     asked = tagged(spark, catalog, [(urn("customers"), "", RUN_TAG)])
