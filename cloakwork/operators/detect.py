@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from ..constants import NAME_PATTERNS, VALIDATORS
 from ..functions.names import has_pii_tag, leaf_column, quoted
 from ..functions.patterns import matches
-
 from ..session import local_rows
 
 TIERS = ("explicit", "tag", "heuristic")
@@ -167,7 +166,8 @@ def heuristic_columns(
     if profile is None:
         return named
     keys = profile_keys or [key, "column_name"]
-    joined = named.join(profile.select(*keys, "n", *[quoted(_hit(v)) for v in rules.validators]), keys, "left")
+    hits = [quoted(_hit(v)) for v in rules.validators]
+    joined = named.join(profile.select(*keys, "n", *hits), keys, "left")
     return joined.where(_named_like_pii(F.col("column_name"), rules, sampled=True)).select(
         key, "column_name"
     )
@@ -225,22 +225,25 @@ def detect(
     )
     found = columns.select(key, "column_name", F.explode(tiers_of_column).alias("tier"))
 
-    marks = datasets.select(key, F.lit("heuristic").alias("tier"), F.lit(0).alias("columns"))
+    # A mark is twice the tier's rank, plus one if it stands for no column. The smallest mark of a
+    # dataset gives its tier and whether that tier found anything; being a number it is a hash
+    # aggregate, which shrinks every dataset to one row before the shuffle.
+    rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    opened = datasets.select(key, F.lit("heuristic").alias("tier"))
     if scope is not None:
         scope = scope.where(F.col("name").isNotNull())
         explicit = explicit_columns(fields, scope, key=key)
         found = found.unionByName(explicit.withColumn("tier", F.lit("explicit")))
-        marks = marks.unionByName(
-            scope.select(key, F.lit("explicit").alias("tier"), F.lit(0).alias("columns"))
-        )
-    # One row per dataset: its tier, and whether that tier found anything. The aggregate shrinks
-    # every dataset to one row before the shuffle.
-    marks = marks.unionByName(found.select(key, "tier", F.lit(1).alias("columns")))
-    rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
-    tiers = marks.groupBy(key).agg(
-        F.min(F.struct(rank.alias("rank"), (-F.col("columns")).alias("none"), "tier")).alias("first")
+        opened = opened.unionByName(scope.select(key, F.lit("explicit").alias("tier")))
+    marks = opened.select(key, (2 * rank + 1).alias("mark")).unionByName(
+        found.select(key, (2 * rank).alias("mark"))
+    )
+    first = marks.groupBy(key).agg(F.min("mark").alias("mark"))
+    tiers = first.select(
+        key,
+        F.element_at(F.array(*map(F.lit, TIERS)), (F.col("mark") / 2).cast("int")).alias("tier"),
+        (F.col("mark") % 2 == 0).alias("has_columns"),
     )
-    tiers = tiers.select(key, "first.tier", (F.col("first.none") < 0).alias("has_columns"))
     # Inner join, so that a dataset with a large share of all columns can be split at run time;
     # datasets without columns are added instead of kept by an outer join.
     none = tiers.where("NOT has_columns").select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row
 
 
 def by_dataset(columns: DataFrame) -> Iterator[tuple[Row, list[str]]]:
-    """Datasets one after the other, each with its sorted names in ``column_name``, NULLs left out."""
+    """Datasets one after the other, each with its sorted ``column_name``s that are not NULL."""
     rows = columns.orderBy("urn", "column_name").toLocalIterator()
     for _, group in groupby(rows, key=lambda row: row.urn):
         group = list(group)

@@ -37,6 +37,7 @@ def test_fold_sends_one_row_per_tag(spark, small):
     df = tags.tag_state(view(spark, small, "fx_tagevents"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_max_by" in plan
+    assert "SortAggregate" not in plan
 
 
 def test_tag_change_rows(spark):
