@@ -212,45 +212,50 @@ def detect(
     ``heuristic``.
     """
     rules = rules or Rules()
-    name = leaf_column(F.col("field_path")).alias("column_name")
-    tagged = F.bool_or(has_pii_tag(F.col("tags"), boundary=boundary)).alias("tagged")
-    columns = fields.groupBy(key, name).agg(tagged)
+    explicit, tag, heuristic = range(1, len(TIERS) + 1)
+    # Without this the optimizer adds it to some uses of the scan only, which then share nothing.
+    fields, datasets = fields.where(F.col(key).isNotNull()), datasets.where(F.col(key).isNotNull())
+
+    # Every field is looked at once; those that no tier can name are gone before any shuffle.
+    name = leaf_column(F.col("field_path"))
+    ranks = F.array(
+        F.when(has_pii_tag(F.col("tags"), boundary=boundary), tag),
+        F.when(_named_like_pii(name, rules, sampled=False), heuristic),
+    )
+    found = fields.select(key, name.alias("column_name"), F.explode(ranks).alias("rank"))
+    found = found.where("rank IS NOT NULL").distinct()
     if profile is not None:
         keys = profile_keys or [key, "column_name"]
         hits = [quoted(_hit(v)) for v in rules.validators]
-        columns = columns.join(profile.select(*keys, "n", *hits), keys, "left")
-    named = _named_like_pii(F.col("column_name"), rules, sampled=profile is not None)
-    tiers_of_column = F.array_compact(
-        F.array(F.when(F.col("tagged"), F.lit("tag")), F.when(named, F.lit("heuristic")))
-    )
-    found = columns.select(key, "column_name", F.explode(tiers_of_column).alias("tier"))
+        passes = _named_like_pii(F.col("column_name"), rules, sampled=True)
+        found = found.join(profile.select(*keys, "n", *hits), keys, "left")
+        found = found.where((F.col("rank") != heuristic) | passes)
+    found = found.select(key, "column_name", "rank")
+    opened = datasets.select(key, F.lit(heuristic).alias("rank"))
+    if scope is not None:
+        scope = scope.where(F.col("name").isNotNull() & F.col(key).isNotNull())
+        named = explicit_columns(fields, scope, key=key)
+        found = found.unionByName(named.withColumn("rank", F.lit(explicit)))
+        opened = opened.unionByName(scope.select(key, F.lit(explicit).alias("rank")))
 
     # A mark is twice the tier's rank, plus one if it stands for no column. The smallest mark of a
     # dataset gives its tier and whether that tier found anything; being a number it is a hash
     # aggregate, which shrinks every dataset to one row before the shuffle.
-    rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
-    opened = datasets.select(key, F.lit("heuristic").alias("tier"))
-    if scope is not None:
-        scope = scope.where(F.col("name").isNotNull())
-        explicit = explicit_columns(fields, scope, key=key)
-        found = found.unionByName(explicit.withColumn("tier", F.lit("explicit")))
-        opened = opened.unionByName(scope.select(key, F.lit("explicit").alias("tier")))
-    marks = opened.select(key, (2 * rank + 1).alias("mark")).unionByName(
-        found.select(key, (2 * rank).alias("mark"))
+    marks = opened.select(key, (F.col("rank") * 2 + 1).alias("mark")).unionByName(
+        found.select(key, (F.col("rank") * 2).alias("mark"))
     )
     first = marks.groupBy(key).agg(F.min("mark").alias("mark"))
     tiers = first.select(
-        key,
-        F.element_at(F.array(*map(F.lit, TIERS)), (F.col("mark") / 2).cast("int")).alias("tier"),
-        (F.col("mark") % 2 == 0).alias("has_columns"),
+        key, F.shiftright("mark", 1).alias("rank"), (F.col("mark") % 2 == 0).alias("has_columns")
     )
     # Inner join, so that a dataset with a large share of all columns can be split at run time;
     # datasets without columns are added instead of kept by an outer join.
     none = tiers.where("NOT has_columns").select(
-        key, "tier", F.lit(None).cast("string").alias("column_name")
+        key, "rank", F.lit(None).cast("string").alias("column_name")
     )
-    some = found.join(tiers.where("has_columns"), [key, "tier"])
-    return some.select(key, "tier", "column_name").unionByName(none)
+    some = found.join(tiers.where("has_columns"), [key, "rank"]).select(key, "rank", "column_name")
+    tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("rank"))
+    return some.unionByName(none).select(key, tier.alias("tier"), "column_name")
 
 
 def rule_usage(fields: DataFrame, rules: Rules | None = None, *, key: str = "urn") -> DataFrame:
