@@ -15,6 +15,7 @@ DATASET_URN_PATTERN = r"^urn:li:dataset:\((urn:li:dataPlatform:[^,]+),([^,]+),([
 PLATFORM_URN_PREFIX = "urn:li:dataPlatform:"
 TAG_URN_PREFIX = "urn:li:tag:"
 DEFAULT_DATABASE = "default"
+THREE_PART_PLATFORM = "databricks"
 
 # Default detection rules
 NAME_PATTERNS = ("email", "e_mail", "phone", "mobile", "contact", "ssn", "aadhaar")

@@ -14,6 +14,7 @@ from ..constants import (
     PII_TAG_SUFFIXES,
     PLATFORM_URN_PREFIX,
     TAG_URN_PREFIX,
+    THREE_PART_PLATFORM,
 )
 from .patterns import matches, spark_pattern
 
@@ -81,7 +82,7 @@ def table_expression(
 ) -> Column:
     """Name of the table in its own system."""
     return F.when(
-        platform == "databricks",
+        platform == THREE_PART_PLATFORM,
         F.format_string("`%s`.`%s`.`%s`", database, schema_name, table_name),
     ).otherwise(F.concat_ws(".", schema_name, table_name))
 

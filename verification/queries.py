@@ -71,7 +71,7 @@ def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_catalog(spark: SparkSession, sf_dir: str) -> cat.Catalog:
-    return _written(cat.Catalog(_datasets(spark, sf_dir), _effective(spark, sf_dir)))
+    return cat.Catalog(_datasets(spark, sf_dir), stored(_effective(spark, sf_dir), "fields"))
 
 
 def _written(catalog: cat.Catalog) -> cat.Catalog:
