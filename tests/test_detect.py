@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cloakwork.operators import detect as det
 
@@ -178,6 +179,33 @@ def test_uneven_catalog(spark):
     assert found(spark, rows) == want
 
 
+def test_a_dataset_with_a_third_of_the_fields_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        i = F.col("id")
+        urn = F.when(i % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (i / 20).cast("int")))
+        df = spark.range(0, 200_000, 1, 8).select(
+            urn.alias("urn"), F.concat(F.lit("t.email_"), i).alias("field_path"),
+            F.array().cast("array<string>").alias("tags"),
+        )
+        out = det.detect(df.select("urn").distinct(), df)
+        assert len(out.collect()) == 200_000
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "skew=true" in plan and plan.count("Exchange hashpartitioning(urn") >= 1
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_detection_needs_no_python_and_no_nested_loop(spark):
     rows = [("u", "t.email", [])]
     df = fields(spark, rows)
