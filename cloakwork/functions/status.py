@@ -14,9 +14,16 @@ STATUS_SCHEMA = (
 
 
 def iso_timestamp(value: Column) -> Column:
-    """ISO text of a UTC timestamp, without zone; microseconds only where there are any."""
-    whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(value, "SSSSSS")
+    """ISO text of a timestamp in UTC, without zone; microseconds only where there are any.
+
+    A timestamp without time zone is taken to be in UTC, whatever the session's zone.
+    """
+    local = value.cast("timestamp_ntz")
+    utc = F.when(
+        F.typeof(value) == "timestamp", F.convert_timezone(None, F.lit("UTC"), local)
+    ).otherwise(local)
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(utc, "SSSSSS")
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 

@@ -136,6 +136,16 @@ def test_iso_timestamps_equal_python(spark, micros):
     assert df.select(iso_timestamp(F.col("t"))).first()[0] == value.isoformat()
 
 
+def test_iso_timestamps_are_utc_in_any_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp'2024-01-01 12:00:00.5Z' AS t, timestamp_ntz'2024-01-01 12:00:00' AS n")
+        df = df.select(iso_timestamp(F.col("t")), iso_timestamp(F.col("n")))
+        assert tuple(df.first()) == ("2024-01-01T12:00:00.500000", "2024-01-01T12:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_property_keeps_the_others(spark):
     df = status_row(spark).withColumn("old", F.create_map(F.lit("n"), F.lit(5), F.lit(STATUS_PROPERTY), F.lit(6)))
     new = df.select(upsert_property(F.col("old"), STATUS_PROPERTY, status_json()).alias("p"))
