@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_crf
+from . import bpe, decontaminate, line_crf, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings that occur twice, as counts and a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.remove_repeats(docs, drop=True)
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, by a model of labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_crf": op8_line_crf,
     "op10_decontaminate": op10_decontaminate,
 }
