@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_crf, suffix_dedup
+from . import bpe, decontaminate, line_crf, ngram_join, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links by four-word shingles and a similarity of 0.85."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings that occur twice, as counts and a digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,6 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_crf": op8_line_crf,
     "op10_decontaminate": op10_decontaminate,
