@@ -103,10 +103,8 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.
     return sets
 
 
-def required(n: Column | int, percent: int) -> Column | int:
+def required(n: int, percent: int) -> int:
     """Least overlap of a set of ``n`` with any set it links with."""
-    if isinstance(n, Column):
-        return F.floor((n * percent + 99) / 100).cast("int")
     return (n * percent + 99) // 100
 
 
@@ -207,25 +205,21 @@ def _groups(classes: DataFrame, percent: int) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(often, "token")
     per_class = shared.groupBy("class", "n").agg(F.collect_list(F.struct("df", "token", "place")).alias("all"))
-    first = F.col("n").cast("int") - required(F.col("n"), percent)
-
-    def at(level: Column) -> Column:
-        """The prefix of a level, most frequent shingle first."""
-        return F.reverse(F.array_sort(F.filter("all", lambda t: t["place"] < first + level)))
-
-    def promise(level: Column) -> Column:
-        rest = F.slice(at(level), level, F.greatest(F.size("all"), F.lit(1)))
-        return F.aggregate(rest, F.lit(0).cast("long"), lambda s, t: s + t["df"] - 1)
-
-    levels = F.sequence(F.lit(1), F.least(F.lit(LEVELS), required(F.col("n"), percent)))
-    chosen = F.array_min(F.transform(levels, lambda k: F.struct(promise(k).alias("cost"), k.alias("level"))))
-    per_class = per_class.withColumn("level", chosen["level"])
-    per_class = per_class.withColumn("sorted", at(F.col("level")))
-    home = F.try_element_at("sorted", F.col("level"))["token"]  # the most frequent that is looked at
-    per_class = per_class.select("class", "n", "level", home.alias("home"), "sorted").where("home IS NOT NULL")
-    looked = per_class.select("class", "n", "level", "home", F.posexplode("sorted").alias("rank", "t"))
-    looked = looked.select("class", "n", "level", "home", "t.token", (F.col("rank") < F.col("level") - 1).alias("left_out"))
-    looked = stored(looked, "prefixes")
+    schema = "class long, n long, level int, home long, token long, left_out boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (c, n, *prefix)
+                for c, n, all_ in zip(*(x.to_pylist() for x in batch.columns))
+                for prefix in adaptive_prefix(n, [tuple(t.values()) for t in all_], percent)
+            ]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "level", "home", "token", "left_out"])
+
+    looked = stored(per_class.mapInArrow(run, schema), "prefixes")
     homes = looked.groupBy("token", F.col("home").alias("group")).agg(F.min("left_out").alias("all_left_out"))
     visits = looked.join(homes, "token").where("group > home AND NOT (left_out AND all_left_out)")
     visits = visits.select("group", "class", "level", "n").distinct().withColumn("native", F.lit(False))
@@ -235,6 +229,27 @@ def _groups(classes: DataFrame, percent: int) -> DataFrame:
     return both.join(many, "group").select("group", "class", "native", "level", "n")
 
 
+def adaptive_prefix(n: int, shared: list[tuple[int, int, int]], percent: int) -> list[tuple]:
+    """``level, home, token, left_out`` of a class, for the level with the fewest likely candidates.
+
+    ``shared`` has ``df, token, place`` of the shingles in its longest prefix that others have too.
+    ``home`` is the most frequent shingle that is looked at; the ``level - 1`` above it are left out.
+    """
+    first = n - required(n, percent)
+    shared = sorted(shared, reverse=True)
+    best = None
+    for level in range(1, min(LEVELS, required(n, percent)) + 1):
+        within = [t for t in shared if t[2] < first + level]
+        cost = sum(t[0] - 1 for t in within[level - 1 :])
+        if best is None or cost < best[0]:
+            best = cost, level, within
+    _, level, within = best
+    if len(within) < level:
+        return []
+    home = within[level - 1][1]
+    return [(level, home, token, i < level - 1) for i, (_, token, _) in enumerate(within)]
+
+
 def _compare(
     texts: DataFrame, classes: DataFrame, groups: DataFrame, components: DataFrame | None, words: int,
     percent: int, frequent: np.ndarray,
