@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_crf, ngram_join, suffix_dedup
+from ..session import local_rows, workspace
+from . import (
+    ann_forest, bpe, decontaminate, html_consensus, line_crf, ngram_join, suffix_dedup, token_counts, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,11 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
     return bpe.Vocabulary.load(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector id among all other rows."""
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as counts and digests."""
     words = vocabulary()
@@ -40,6 +48,29 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(docs).select("doc_id", "n_shingles", "component_id")
 
 
+URL_RULES = [
+    url_filter.Rule("org", "/", True),
+    url_filter.Rule("example.org", "/es/", False),
+    url_filter.Rule("example.org", "/en/1", False),
+    url_filter.Rule("com", "/fr/", True),
+    url_filter.Rule("com", "/de/", False),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules, or else by its n-grams."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = local_rows(spark, url_filter.labelled_urls(), "url string, label int")
+    judged = url_filter.judge_urls(pages, URL_RULES, url_filter.fit_labelled(labelled))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_consensus.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings that occur twice, as counts and a digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +97,36 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after loading all documents, counting them by a second version, and two corrections.
+
+    Version ``words`` counts runs of other than white space, ``letters`` runs of ASCII letters. Toxic
+    documents are then deleted; documents of low quality get distinct words for their count. The first
+    two batches are sent twice.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    totals = token_counts.TokenTotals(spark, workspace(spark, "token-counts"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    letters = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+
+    def counted(rows: DataFrame, version: str, count: F.Column) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("version"), count.alias("tokens"))
+
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    low = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    low = low.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    first = token_counts.inserts(counted(docs, "words", F.size(words)))
+    gone = token_counts.deletes(counted(toxic, "words", F.size(words)))
+    distinct = counted(low, "words", F.size(F.array_distinct(words)))
+    totals.apply("load", first)
+    totals.apply("letters", token_counts.inserts(counted(docs, "letters", F.size(letters))))
+    totals.apply("toxic", gone)
+    totals.apply("load", first)
+    totals.apply("revised", token_counts.revisions(counted(low, "words", F.size(words)), distinct))
+    totals.apply("toxic", gone)
+    return totals.totals()
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie in windows of benchmark items, and these items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,11 +143,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ann_forest": op1_ann_forest,
     "op2_bpe": op2_bpe,
     "op4_ngram_join": op4_ngram_join,
+    "op5_url_filter": op5_url_filter,
+    "op6_html_consensus": op6_html_consensus,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_crf": op8_line_crf,
+    "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_token_counts": r"""
+WITH d AS (
+  SELECT doc_id, source, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    len(regexp_extract_all(text, '[A-Za-z]+')) AS n_letters,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS low
+  FROM documents)
+SELECT source, lang, 'words' AS version, count(*) AS n_docs,
+  CAST(sum(CASE WHEN low THEN len(list_distinct(w)) ELSE len(w) END) AS BIGINT) AS n_tokens
+FROM d WHERE NOT toxic GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'letters' AS version, count(*) AS n_docs, CAST(sum(n_letters) AS BIGINT) AS n_tokens
+FROM d GROUP BY ALL""",
+}
