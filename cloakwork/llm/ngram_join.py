@@ -59,12 +59,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.ndarray) -> list[np.ndarray]:
-    """Each text's distinct shingles in the common order: 63-bit hashes, above 2**63 if frequent."""
-    n = len(places) - 1
+def word_hashes(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where each text's words begin and end."""
     if not len(data):
-        return [np.zeros(0, np.uint64)] * n
-    # word ends: before a separator, and at the end of each text
+        return np.zeros(0, np.uint64), np.zeros(len(places), np.int64)
     inside = ~_SPLIT[data]
     begins_text, ends_text = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     begins_text[places[:-1]] = True
@@ -79,11 +77,26 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
     hashes = _mixed((sums[stops] - sums[starts]) * backs[starts] + (stops - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, places)
+    return hashes, np.searchsorted(starts, places)
+
+
+def shingle_hashes(data: np.ndarray, places: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of all strings of ``words`` words, those across texts included; bounds of texts."""
+    hashes, bounds = word_hashes(data, places)
+    return _rolled(hashes, words), bounds
+
+
+def _rolled(hashes: np.ndarray, words: int) -> np.ndarray:
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for i in range(words):
-        rolled = rolled * _A + hashes[i : len(hashes) - words + 1 + i]
-    rolled = _mixed(rolled) >> np.uint64(1)
+        rolled = rolled * _A + hashes[i : i + len(rolled)]
+    return _mixed(rolled) >> np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.ndarray) -> list[np.ndarray]:
+    """Each text's distinct shingles in the common order: 63-bit hashes, above 2**63 if frequent."""
+    hashes, bounds = word_hashes(data, places)
+    rolled = _rolled(hashes, words)
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= words:
@@ -346,3 +359,21 @@ def forest(sets, classes, native, level, block, percent: int, across: bool) -> l
                 parent[root(x)] = root(y)
                 found.append((int(classes[x]), int(classes[y])))
     return found
+
+
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component, one row with the smallest id.
+
+    Texts without words are linked with nothing, so all their rows stay. A component whose ids are
+    all NULL keeps one row too.
+    """
+    names = docs.columns
+    linked = link_documents(docs, doc_id, text, words=words, percent=percent)
+    linked = stored(linked, "linked")
+    alone = linked.where("component IS NULL")
+    sizes = linked.where("component IS NOT NULL").groupBy("component").agg(F.count("*").alias("rows"))
+    rest = linked.join(sizes, "component")
+    first = rest.where((F.col("rows") > 1) & column(doc_id).eqNullSafe(F.col("component_id")))
+    one = first.groupBy("component").agg(F.first(F.struct(*map(column, names))).alias("row")).select("row.*")
+    single = rest.where("rows = 1").select(*map(column, names))
+    return alone.select(*map(column, names)).union(single).union(one)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_rows, workspace
 from . import (
-    ann_forest, bpe, decontaminate, html_consensus, line_crf, ngram_join, suffix_dedup, token_counts, url_filter,
+    ann_forest, bpe, chaining, decontaminate, html_consensus, line_crf, ngram_join, suffix_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share; copies of a text are linked to its smallest id."""
+    return chaining.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links by four-word shingles and a similarity of 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -145,6 +150,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ann_forest": op1_ann_forest,
     "op2_bpe": op2_bpe,
+    "op3_chaining": op3_chaining,
     "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op6_html_consensus": op6_html_consensus,

@@ -387,7 +387,6 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 _REMOVED = [
-    T.StructField("kept", T.BinaryType()),
     T.StructField("n_bytes", T.LongType()),
     T.StructField(
         "removed", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "stop")]))
@@ -395,14 +394,18 @@ _REMOVED = [
 ]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, drop: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, drop: bool = False, as_text: bool = False
+) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that are left), ``n_bytes`` and ``removed``.
 
     ``removed`` has the maximal removed runs, as bytes ``start`` to before ``stop``. ``drop`` leaves
-    the texts out.
+    the texts out. ``as_text`` gives ``kept`` as a string, without what is left of characters that a
+    cut goes through.
     """
+    fields = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *_REMOVED]
     spans = stored(repeated_spans(docs, text, length), "spans")
-    kept = kept_columns(docs, [f.name for f in _REMOVED] + ([text] if drop else []))
+    kept = kept_columns(docs, [f.name for f in fields] + ([text] if drop else []))
     source = docs.select(*map(column, kept), F.coalesce(column(text), F.lit("")).alias("_text"))
     source = source.withColumn("_key", text_key(F.col("_text")))
     source = source.join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
@@ -411,7 +414,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, dr
     runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = kept + [f.name for f in _REMOVED]
+        names = kept + [f.name for f in fields]
         for batch in batches:
             for start, stop in text_steps(batch.column(n), STEP_BYTES * 2):
                 part = batch.slice(start, stop - start)
@@ -423,12 +426,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, dr
                     keep = np.ones(len(one), bool)
                     for span in merged:
                         keep[span["start"] : span["stop"]] = False
-                    left.append(one[keep].tobytes() if merged else one.tobytes())
+                    left.append(_joined_text(one, merged) if as_text else one[keep].tobytes())
                     removed.append(merged)
-                new = [pa.array(left, pa.binary()), pa.array(np.diff(places), pa.int64()), pa.array(removed, runs)]
+                new = [pa.array(left, pa.string() if as_text else pa.binary()), pa.array(np.diff(places), pa.int64()), pa.array(removed, runs)]
                 yield pa.RecordBatch.from_arrays(part.columns[:n] + new, names=names)
 
-    return source.mapInArrow(run, T.StructType(source.schema.fields[:n] + _REMOVED))
+    return source.mapInArrow(run, T.StructType(source.schema.fields[:n] + fields))
+
+
+def _joined_text(data: np.ndarray, removed: list[dict]) -> str:
+    edges = [0, *(x for span in removed for x in (span["start"], span["stop"])), len(data)]
+    parts = [data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])]
+    return "".join(part.decode(errors="ignore") for part in parts)
 
 
 def _merged(spans: list[dict], length: int) -> list[dict]:
