@@ -11,9 +11,10 @@ only one, and without words the set is empty and linked with nothing. Two docume
    class takes the level ``l`` that promises the fewest candidates: its prefix is then longer by
    ``l - 1`` shingles, and its ``l - 1`` most frequent ones need no look of their own.
 3. A class belongs to the group of its most frequent prefix shingle, and visits the groups of
-   classes it shares another one with. Groups get the texts, so a pair meets about once, and not
-   once per shared shingle. A pair is verified if it shares as many prefix shingles as the lower
-   level of the two asks, and if 1024-bit parity signatures do not rule it out.
+   classes it shares another one with, so a pair meets about once, and not once per shared shingle.
+   Groups first get parity signatures, which rule out most pairs; only classes that have a partner
+   left send their texts. A pair is verified if it shares as many prefix shingles as the lower level
+   of the two asks.
 4. Large groups are cut into blocks. All blocks first meet the first block only; what this joins
    into the largest component is not compared with itself again. Tasks hand on a spanning forest of
    the links they find, never all pairs.
@@ -25,6 +26,7 @@ are. Equal rows stay rows of their own. Columns named like result columns are re
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +118,18 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.
     return sets
 
 
+def signature(one: np.ndarray) -> np.ndarray:
+    """Parities of the set's counts in two bits or more for each shingle, a power of two of bits."""
+    bits = 1 << max(9, int(2 * len(one) - 1).bit_length()) if len(one) else 512
+    return np.packbits(np.bincount((one & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def folded(signs: list[np.ndarray]) -> np.ndarray:
+    """Signatures brought to the size of the smallest: halves of a larger one are added."""
+    least = min(len(s) for s in signs)
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, least), axis=0) for s in signs]).view(np.uint64)
+
+
 def required(n: int, percent: int) -> int:
     """Least overlap of a set of ``n`` with any set it links with."""
     return (n * percent + 99) // 100
@@ -151,6 +165,7 @@ def _with_sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray,
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("_set", T.BinaryType())]
     if prefix:
         fields.append(T.StructField("_prefix", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("_sign", T.BinaryType()))
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(*text_bytes(texts), words, sent.value)
@@ -159,6 +174,7 @@ def _with_sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray,
         if prefix:
             parts = [s[: len(s) - required(len(s), percent) + LEVELS].view(np.int64) for s in sets]
             new.append(pa.array(parts, pa.list_(pa.int64())))
+            new.append(pa.array([signature(s).tobytes() for s in sets], pa.binary()))
         return new
 
     return add_columns(docs, "text", fields, compute, drop=prefix)
@@ -178,7 +194,7 @@ def link_documents(
     rows = stored(_with_sets(keyed, words, percent, frequent, True).where("n_shingles > 0"), "sets")
     classes = rows.groupBy("_set").agg(
         F.min("id").alias("id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"),
-        F.first("_prefix").alias("prefix"),
+        F.first("_prefix").alias("prefix"), F.first("_sign").alias("sign"),
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     texts = source.select("text")
@@ -214,10 +230,16 @@ def _blocks() -> Column:
 
 def _groups(classes: DataFrame, percent: int) -> DataFrame:
     """``group, class, native, level, n``: the groups of at least two classes."""
-    tokens = classes.select("class", "n", F.posexplode("prefix").alias("place", "token"))
+    width = -4 * math.log(percent / 100)
+    low = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    high = F.floor(F.log(F.col("n") * (100 / percent + 1e-9)) / width).cast("int")
+    sized = classes.select("class", "prefix", F.explode(F.array_distinct(F.array(low, high))).alias("size"))
+    tokens = sized.select("class", "size", F.posexplode("prefix").alias("place", "token"))
+    tokens = tokens.select("class", "size", "place", F.xxhash64("token", "size").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(often, "token")
-    per_class = shared.groupBy("class", "n").agg(F.collect_list(F.struct("df", "token", "place")).alias("all"))
+    per_class = shared.groupBy("class", "size").agg(F.collect_list(F.struct("df", "token", "place")).alias("all"))
+    per_class = per_class.join(classes.select("class", "n"), "class").select("class", "n", "all")
     schema = "class long, n long, level int, home long, token long, left_out boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +260,7 @@ def _groups(classes: DataFrame, percent: int) -> DataFrame:
     visits = visits.select("group", "class", "level", "n").distinct().withColumn("native", F.lit(False))
     natives = looked.select(F.col("home").alias("group"), "class", "level", "n").distinct()
     both = natives.withColumn("native", F.lit(True)).unionByName(visits)
+    both = stored(both, "memberships")
     many = both.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group")
     return both.join(many, "group").select("group", "class", "native", "level", "n")
 
@@ -301,14 +324,26 @@ def _compare(
         )
         outer = F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
         pairs = F.when(F.col("outside"), others).otherwise(outer)
-    tasks = dealt.select("class", "native", "level", "group", "block", F.explode(F.array_distinct(pairs)).alias("pair"))
-    to = F.struct("class", "native", "level", "group", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    tasks = dealt.select("class", "n", "native", "level", "group", "block", F.explode(F.array_distinct(pairs)).alias("pair"))
+    tasks = tasks.select("class", "n", "native", "level", "group", "block", "pair.i", "pair.j")
+    across = components is not None
+    schema = "class long, native boolean, level int, group long, block int, i int, j int"
+
+    def near(key: tuple, group: pa.Table) -> pa.Table:
+        n, native, block = (group.column(c).to_numpy(zero_copy_only=False) for c in ("n", "native", "block"))
+        signs = [np.frombuffer(s, np.uint8) for s in group.column("sign").to_pylist()]
+        keep = with_partner(n, signs, native.astype(bool), block, percent, across)
+        return group.select([f.split()[0] for f in schema.split(", ")]).filter(pa.array(keep))
+
+    signed = tasks.join(classes.select("class", "sign"), "class")
+    tasks = signed.groupBy("group", "i", "j").applyInArrow(near, schema)
+    to = F.struct("class", "native", "level", "group", "block", "i", "j")
     lists = tasks.join(classes.select("class", "key"), "class").groupBy("key").agg(F.collect_list(to).alias("to"))
+    lists = stored(lists, "tasks")
     keyed = texts.select(text_key(F.col("text")).alias("key"), "text")
     one = keyed.join(lists.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     rows = one.join(lists, "key").select("text", F.explode("to").alias("t")).select("text", "t.*")
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
-    across = components is not None
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         sets = shingle_sets(*text_bytes(group.column("text").combine_chunks()), words, sent.value)
@@ -319,6 +354,33 @@ def _compare(
     return rows.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _partners(x: int, n: np.ndarray, signs: np.ndarray, native: np.ndarray, block: np.ndarray, percent: int, across: bool) -> np.ndarray:
+    """Which of the smaller sets, in order of size, may link with set ``x``."""
+    low = int(np.searchsorted(n[: x + 1], required(int(n[x]), percent)))
+    both = n[low:x] + n[x]
+    most = both - 2 * -(-percent * both // (100 + percent))  # largest symmetric difference of a link
+    maybe = np.bitwise_count(signs[low:x] ^ signs[x]).sum(1, dtype=np.int64) <= most
+    maybe &= native[low:x] | native[x]
+    if across:
+        maybe &= block[low:x] != block[x]
+    return np.flatnonzero(maybe) + low
+
+
+def with_partner(n: np.ndarray, signs: list[np.ndarray], native: np.ndarray, block: np.ndarray, percent: int, across: bool) -> np.ndarray:
+    """Which sets of a task have another one that they may link with."""
+    order = np.argsort(n, kind="stable")
+    small, across = folded([signs[i] for i in order]), across and len(set(block.tolist())) > 1
+    keep = np.zeros(len(n), bool)
+    n, native, block = n[order], native[order], block[order]
+    for x in range(1, len(n)):
+        found = _partners(x, n, small, native, block, percent, across)
+        if len(found):
+            keep[found] = keep[x] = True
+    result = np.zeros(len(n), bool)
+    result[order] = keep
+    return result
+
+
 def forest(sets, classes, native, level, block, percent: int, across: bool) -> list[tuple[int, int]]:
     """Links that join these sets' components; two visitors are not compared.
 
@@ -328,8 +390,7 @@ def forest(sets, classes, native, level, block, percent: int, across: bool) -> l
     order = np.lexsort((classes, n))
     sets = [sets[i] for i in order]
     n, classes, native, level, block = n[order], classes[order], native[order].astype(bool), level[order], block[order]
-    signs = np.stack([np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1) for s in sets])
-    signs = signs.view(np.uint64)
+    signs, across = folded([signature(s) for s in sets]), across and len(set(block.tolist())) > 1
     first = [len(s) - required(len(s), percent) for s in sets]
     parent = list(range(len(sets)))
 
@@ -339,16 +400,9 @@ def forest(sets, classes, native, level, block, percent: int, across: bool) -> l
             i = parent[i]
         return i
 
-    found, several = [], len(set(block.tolist())) > 1
+    found = []
     for x in range(1, len(sets)):
-        low = int(np.searchsorted(n, required(int(n[x]), percent)))
-        both = n[low:x] + n[x]
-        most = both - 2 * -(-percent * both // (100 + percent))  # largest symmetric difference of a link
-        apart = np.bitwise_count(signs[low:x] ^ signs[x]).sum(1, dtype=np.int64)
-        maybe = (apart <= most) & (native[low:x] | native[x])
-        if several and across:
-            maybe &= block[low:x] != block[x]
-        for y in (np.flatnonzero(maybe) + low).tolist():
+        for y in _partners(x, n, signs, native, block, percent, across).tolist():
             if root(x) == root(y):
                 continue
             k = int(min(level[x], level[y]))

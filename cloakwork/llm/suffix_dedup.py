@@ -3,9 +3,10 @@
 A byte is removed if it is covered by a string of ``length`` bytes that also starts anywhere else in
 the corpus, the same document included. Strings never cross documents and are judged on the input.
 
-1. Every window of ``length`` bytes has a mark: the smallest hash of the 32-byte strings inside it.
-   Equal windows have equal marks. Neighbouring windows with one mark form a stretch, so a document
-   has about one stretch for every 180 bytes. Only digests of stretches are shuffled.
+1. Every window of ``length`` bytes has a mark: the smallest hash of the strings of a third of its
+   length inside it (so what is shared by less than that has no mark in common). Equal windows have
+   equal marks. Neighbouring windows with one mark form a stretch, so a document has about one
+   stretch for every 130 bytes. Only digests of stretches are shuffled.
 2. Stretches whose mark occurs nowhere else are clean. A stretch that occurs twice as a whole is
    repeated as a whole. What is left, mostly the ends of shared passages, goes to shards by its mark.
 3. A shard sorts its suffixes by Larsson-Sadakane refinement and gets their common prefixes by
@@ -34,7 +35,6 @@ from ..session import stored
 from .common import STEP_BYTES, column, kept_columns, text_bytes, text_steps
 
 LENGTH = 400
-_GRAM = 32
 #: Bytes of stretches in one shard.
 SHARD_BYTES = 1 << 20
 #: Stretches of one mark in one shard; a mark with more is dealt over several.
@@ -87,8 +87,9 @@ def stretches(data: np.ndarray, places: np.ndarray, length: int) -> Iterator[tup
     """
     if len(data) < length:
         return
-    grams = gram_hashes(data, _GRAM)
-    width = length - _GRAM + 1
+    gram = max(1, length // 3)
+    grams = gram_hashes(data, gram)
+    width = length - gram + 1
     marks = sliding_minimum(grams, width)
     owner = np.searchsorted(places, np.arange(len(marks)), side="right") - 1
     owner[np.arange(len(marks)) + length > places[owner + 1]] = -1
@@ -153,32 +154,34 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         value <<= 9
         inside = place + i < ends
         value[inside] |= data[np.minimum(place + i, n - 1)][inside].astype(np.int64) + 1
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     changes = np.concatenate([[True], np.diff(value[order]) != 0])
     group = np.empty(n, np.int64)
     group[order] = np.maximum.accumulate(np.where(changes, np.arange(n), 0))
-    h = 7
     depth = int((ends - np.arange(n)).max(initial=0))
+    h = 7
+    at = np.arange(n)
     while h < depth:
-        starts = np.flatnonzero(changes)
-        lone = np.zeros(n, bool)
-        lone[starts[np.diff(np.append(starts, n)) == 1]] = True
-        at = np.flatnonzero(~lone)
+        alone = changes[at] & np.append(changes[1:], True)[at]  # groups of one are in their place
+        at = at[~alone]
         if not len(at):
             break
         suffixes = order[at]
         later = suffixes + h
+        following = np.zeros(len(at), np.int64)
         inside = later < ends[suffixes]
-        following = np.full(len(at), -1)
-        following[inside] = group[later[inside]]
-        by = np.lexsort((following, group[suffixes]))
-        suffixes, following = suffixes[by], following[by]
+        following[inside] = group[later[inside]] + 1
+        own = group[suffixes]
+        key = own * (n + 1) + following  # shards are small, so this fits
+        by = np.argsort(key)
+        suffixes, key, own = suffixes[by], key[by], own[by]
         order[at] = suffixes
-        changes[at[1:]] |= (np.diff(following) != 0) & (np.diff(group[suffixes]) == 0)
-        heads = np.maximum.accumulate(np.where(changes, np.arange(n), 0))
-        group[order] = heads
+        fresh = np.concatenate([[True], np.diff(key) != 0])
+        changes[at[fresh]] = True
+        starts = np.maximum.accumulate(np.where(fresh, at, 0))
+        group[suffixes] = starts
         h *= 2
-    return order
+    return order[np.argsort(group[order] * n + order)]
 
 
 def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
