@@ -43,7 +43,9 @@ from .suffix_dedup import text_key
 #: Highest level of the adaptive prefixes.
 LEVELS = 4
 #: Shingles put last in the order, at most. The order decides costs, not results.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
+#: Shingles that a task counts together.
+COUNTED = 4_000_000
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 200_000
 
@@ -136,22 +138,28 @@ def required(n: int, percent: int) -> int:
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents: those found often in some batch of texts, most frequent first.
+    """Shingles of many documents: those found three times or more among ``COUNTED`` in some task.
 
-    Every text is counted. At most ``FREQUENT`` are kept, so they are small enough for every task.
+    Every text is counted. The ``FREQUENT`` most frequent are kept, so they fit into every task.
     """
 
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(sets), return_counts=True)
+        many = counts >= 3
+        arrays = [pa.array(found[many].view(np.int64)), pa.array(counts[many].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        none, held, size = np.zeros(0, np.uint64), [], 0
         for batch in batches:
             for start, stop in text_steps(batch.column(0)):
-                sets = shingle_sets(*text_bytes(batch.column(0).slice(start, stop - start)), words, none)
-                found, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= max(4, len(sets) // 256)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                    names=["shingle", "n"],
-                )
+                held += shingle_sets(*text_bytes(batch.column(0).slice(start, stop - start)), words, none)
+                size = sum(map(len, held))
+                if size >= COUNTED:
+                    yield often(held)
+                    held = []
+        if held:
+            yield often(held)
 
     counts = docs.select("text").mapInArrow(run, "shingle long, n long")
     counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 16")

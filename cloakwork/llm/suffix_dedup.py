@@ -41,6 +41,8 @@ SHARD_BYTES = 1 << 20
 SHARD_STRETCHES = 128
 #: Window digests in one merge.
 MERGE_WINDOWS = 1 << 18
+#: Windows of one stretch: repetitive texts have long ones, which would hold up the other strings.
+_LONGEST = 512
 #: Windows of a text that are looked at in one step.
 _STEP_WINDOWS = 4 << 20
 
@@ -96,7 +98,7 @@ def stretches(data: np.ndarray, places: np.ndarray, length: int) -> Iterator[tup
     edges = np.flatnonzero((np.diff(marks) != 0) | (np.diff(owner) != 0)) + 1
     firsts = np.concatenate([[0], edges])
     lasts = np.concatenate([edges, [len(marks)]]) - 1
-    for first, last in zip(firsts.tolist(), lasts.tolist()):
+    for first, last in _pieces(firsts.tolist(), lasts.tolist()):
         text = int(owner[first])
         if text >= 0:
             mark = marks[first]
@@ -105,6 +107,13 @@ def stretches(data: np.ndarray, places: np.ndarray, length: int) -> Iterator[tup
             yield text, int(mark.view(np.int64)), first - begin, last - begin, weight
 
 
+def _pieces(firsts: list[int], lasts: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``_LONGEST`` windows."""
+    for first, last in zip(firsts, lasts):
+        for cut in range(first, last + 1, _LONGEST):
+            yield cut, min(cut + _LONGEST - 1, last)
+
+
 def _find_stretches(docs: DataFrame, length: int) -> DataFrame:
     """Rows ``_STRETCH`` of the texts in column ``text``."""
 
@@ -350,7 +359,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         F.coalesce(F.sum(F.col("stop") - F.col("start") + length), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(F.when(F.col("shards") > 1, F.col("stop") - F.col("start") + 1)), F.lit(0)).alias("windows"),
     ).first()
-    shards = max(1, -(-total["bytes"] // (SHARD_BYTES // 2)))
+    shards = max(1, -(-total["bytes"] // SHARD_BYTES))
     own = F.pmod(F.xxhash64("mark"), F.lit(shards))
     spread = F.xxhash64("mark", F.pmod(F.xxhash64("digest"), F.col("shards")))
     shard = F.when(F.col("shards") > 1, spread.bitwiseOR(F.lit(-(1 << 63)))).otherwise(own)
