@@ -73,7 +73,9 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
     return known.select("item", F.explode(windows).alias("window")).distinct()
 
 
-def _automaton(windows: list[tuple[str, str]]) -> ahocorasick.Automaton:
+def _automaton(windows: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
+    if not windows:
+        return None
     items: dict[str, list[str]] = {}
     for item, window in windows:
         items.setdefault(f" {window} ".encode().decode("latin-1"), []).append(item)
@@ -84,13 +86,13 @@ def _automaton(windows: list[tuple[str, str]]) -> ahocorasick.Automaton:
     return automaton
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
+_automata: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def _scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, set[str], list[dict]]:
+def _scan(text: bytes, automaton: ahocorasick.Automaton | None) -> tuple[int, set[str], list[dict]]:
     words = text.translate(_NORMAL).split()
-    if not words:
-        return 0, set(), []
+    if not words or automaton is None:
+        return len(words), set(), []
     normal = b" " + b" ".join(words) + b" "
     ends, lengths, items = [], [], set()
     for end, (n, found) in automaton.iter(normal.decode("latin-1")):
