@@ -1,12 +1,15 @@
 """Python regular expressions as Spark (Java) patterns.
 
-Python's ``re.match`` and Java's ``find`` differ in three ways that change results: the anchor,
-what ``$`` accepts before the end, and which characters ``\\s``, ``\\d`` and ``\\w`` cover.
-Everything else is passed on unchanged. The output is also valid RE2.
+Python's ``re.match`` and Java's ``find`` differ in the anchor, in what ``$`` and ``\\Z`` accept at
+the end, in the line ends that ``.`` leaves out, in which characters ``\\s``, ``\\d`` and ``\\w`` cover,
+in brackets and ``&&`` inside classes, and in the spelling of named groups and of ``{,n}``. What has
+no equal in Java (conditionals, named back references, global flags) is refused at once. The output
+is also valid RE2, but for a ``$`` that is not the last sign.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -16,6 +19,7 @@ _SPACE = (
     r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+_REFUSED = re.compile(r"\(\?(\(|P=|[aiLmsux-]+[:)])|\\b|\\B")
 _CLASSES = {"s": _SPACE, "d": r"\p{Nd}", "w": r"\p{L}\p{N}_"}
 
 
@@ -23,8 +27,10 @@ _CLASSES = {"s": _SPACE, "d": r"\p{Nd}", "w": r"\p{L}\p{N}_"}
 def spark_pattern(python_pattern: str) -> str:
     """Pattern for ``rlike`` that accepts what ``re.match(python_pattern, text)`` accepts.
 
-    ``$`` is rewritten only where it ends the pattern.
     """
+    re.compile(python_pattern)
+    if unknown := _REFUSED.search(python_pattern):
+        raise ValueError(f"Spark has no equal of {unknown[0]} in {python_pattern}")
     out = []
     in_class = False
     i, end = 0, len(python_pattern)
@@ -36,16 +42,29 @@ def spark_pattern(python_pattern: str) -> str:
             continue
         if char == "[" and not in_class:
             in_class = True
-        elif char == "]" and in_class:
-            in_class = False
-        elif char == "$" and not in_class and i == end - 1:
-            char = r"\n?\z"
+            if python_pattern[i + 1 : i + 2] == "^":
+                char, i = "[^", i + 1
+            if python_pattern[i + 1 : i + 2] == "]":  # a bracket that comes first is a member
+                char, i = char + r"\]", i + 1
+        elif in_class:
+            in_class = char != "]"
+            char = "\\" + char if char in "[&" else char
+        elif char == "$":
+            char = r"\n?\z" if i == end - 1 else r"(?=\n?\z)"
+        elif char == ".":
+            char = r"[^\n]"
+        elif python_pattern.startswith("(?P<", i):
+            char, i = "(?<", i + 3
+        elif python_pattern.startswith("{,", i) and re.match(r"\{,\d+\}", python_pattern[i:]):
+            char = "{0"
         out.append(char)
         i += 1
     return r"\A(?:" + "".join(out) + ")"
 
 
 def _escape(letter: str, in_class: bool) -> str:
+    if letter == "Z" and not in_class:
+        return r"\z"
     members = _CLASSES.get(letter.lower())
     if members is None:
         return "\\" + letter

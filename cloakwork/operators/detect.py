@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..constants import NAME_PATTERNS, VALIDATORS
 from ..functions.names import has_pii_tag, leaf_column, quoted
-from ..functions.patterns import matches
+from ..functions.patterns import matches, spark_pattern
 from ..session import local_rows
 
 TIERS = ("explicit", "tag", "heuristic")
@@ -34,6 +34,10 @@ class Rules:
     patterns: tuple[str, ...] = NAME_PATTERNS
     validators: dict[str, str] = field(default_factory=lambda: dict(VALIDATORS))
 
+    def __post_init__(self) -> None:
+        for pattern in self.validators.values():
+            spark_pattern(pattern)  # raises here, not in a job, if it cannot be expressed
+
     @classmethod
     def from_dict(cls, config: dict) -> Rules:
         """Missing or empty entries fall back to the defaults."""
@@ -126,7 +130,7 @@ def profile_rows(profile: DataFrame, rules: Rules | None = None) -> DataFrame:
     hits = [_hit(v) for v in rules.validators]
     keys = [c for c in profile.columns if c not in hits]
     long = profile.unpivot(keys, hits, "validator", "any_match")
-    name = F.substring("validator", len(_hit("")) + 1, 1_000_000)
+    name = F.expr(f"substring(validator, {len(_hit('')) + 1})")
     return long.withColumn("validator", name)
 
 

@@ -40,15 +40,15 @@ def fold_changes(changes: DataFrame, *, order: tuple[str, ...] = ("seq",)) -> Da
 
     The partial aggregate is one change per tag, so neither a long history nor a hot dataset
     travels. With one numeric order column it holds only numbers and is a hash aggregate. Folding
-    is associative: parts of a log may be folded first.
+    is associative: parts of a log may be folded first. Of two changes with one order, the addition counts.
     """
     by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    last = changes.groupBy(*ENTITY).agg(
-        F.max_by(F.col("op") == "add", by).alias("added"),
-        *[F.max_by(name, by).alias(name) for name in order],
-    )
-    op = F.when(F.col("added"), F.lit("add")).otherwise(F.lit("remove"))
-    return last.select(*ENTITY, op.alias("op"), *order)
+    add = F.col("op") == "add"
+    last = changes.groupBy(*ENTITY).agg(F.max(F.when(add, by)).alias("add"), F.max(F.when(~add, by)).alias("remove"))
+    last = last.withColumn("last", F.greatest("add", "remove"))
+    op = F.when(F.col("add") == F.col("last"), F.lit("add")).otherwise(F.lit("remove"))
+    names = [F.col("last").alias(order[0])] if len(order) == 1 else [F.col("last")[name].alias(name) for name in order]
+    return last.select(*ENTITY, op.alias("op"), *names)
 
 
 def tag_state(changes: DataFrame) -> DataFrame:

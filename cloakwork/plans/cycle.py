@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from functools import partial
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -105,8 +106,8 @@ def profile_datasets(
     checked = Rules(tuple(p for p, v in rules.pairs() if v), rules.validators)
     if not checked.patterns:
         return local_rows(spark, [], schema)
-    path = workspace(spark, "profile")
-    found = read_table(spark, path, schema)
+    path = workspace(spark, "profile")  # a folder for each table, as jobs that run together must not share one
+    found = read_table(spark, f"{path}/table-none", schema)
 
     def run(dataset: Row, columns: list[str]) -> None:
         try:
@@ -115,14 +116,14 @@ def profile_datasets(
             known = [c for c in columns if c in df.columns]
             if known:
                 rows = profile_table(df, known, rules).withColumn("urn", F.lit(dataset.urn))
-                rows.select(*found.columns).write.mode("append").parquet(path)
-        except (UnsupportedPlatform, PySparkException):
+                rows.select(*found.columns).write.parquet(f"{path}/table-{uuid.uuid4().hex}")
+        except (UnsupportedPlatform, PySparkException, Py4JJavaError):
             return
 
     work = by_dataset(heuristic_columns(fields, checked).join(places, "urn"))
     for _ in finished(run, work, config.parallel_tables):
         pass
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(f"{path}/table-*")
 
 
 def run_cycle(
@@ -191,15 +192,20 @@ def _rewrite_table(
         within, remaining = first_candidates(found, config.limit, key=config.key)
         options["within"] = within
         changed = changed & within
-    counters = Observation()
+    counters: list[Observation] = []
 
     def after(rows: DataFrame) -> DataFrame:
-        return rewrite(rows.observe(counters, *metrics(columns, **options)), columns, **options)
+        counters.append(Observation())
+        return rewrite(rows.observe(counters[-1], *metrics(columns, **options)), columns, **options)
 
     output = tables.write(
         Rewrite(dataset.ref, run_id, df, changed, after, [config.key, *columns])
     )
-    return {**counters.get, "rows_remaining": remaining}, output
+    counts = {"rows_updated": 0, "rows_skipped": 0, "rows_remaining": remaining}
+    for counter in counters:
+        for name in ("rows_updated", "rows_skipped"):
+            counts[name] += counter.get[name] or 0
+    return counts, output
 
 
 def _message(columns: list[str], counts: dict[str, int]) -> str:
@@ -214,4 +220,6 @@ def _safe_message(error: Exception) -> str:
         return str(error)
     if isinstance(error, PySparkException) and error.getCondition():
         return f"{type(error).__name__}: {error.getCondition()}"
+    if isinstance(error, Py4JJavaError):
+        return f"{type(error).__name__}: {error.java_exception.getClass().getName()}"
     return type(error).__name__

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.names import dataset_urn
 from ..operators.catalog import Catalog, allow, no_tags
 from ..session import local_rows, workspace
+from .tables import read_parquet
 
 CRAWL_SCHEMA = (
     "platform string, database string, schema_name string, table_name string, "
@@ -71,7 +75,7 @@ def crawl_parquet(
 
     def describe(table: Row) -> list[tuple]:
         place = (platform, database, schema_name, table.table_name, table.location)
-        columns = field_rows(spark.read.parquet(table.location).schema)
+        columns = field_rows(read_parquet(spark, table.location).schema)
         return [(*place, pos, *column) for pos, column in enumerate(columns)]
 
     return _register(spark, found, describe)
@@ -105,13 +109,24 @@ def crawl_database(
 def _register(
     spark: SparkSession, tables: DataFrame, describe: Callable[[Row], list[tuple]]
 ) -> DataFrame:
-    """Written catalog rows of all tables, a page of tables at a time."""
+    """Written catalog rows of all tables, a page of tables at a time.
+
+    A table that cannot be read is named in a warning and left out; the others go on.
+    """
+
+    def rows_of(table: Row) -> list[tuple]:
+        try:
+            return describe(table)
+        except (PySparkException, Py4JJavaError) as error:
+            warnings.warn(f"{table.table_name} cannot be read: {type(error).__name__}", stacklevel=2)
+            return []
+
     path = workspace(spark, "crawl")
     local_rows(spark, [], CRAWL_SCHEMA).write.parquet(path)
     listed = tables.toLocalIterator()
     with ThreadPoolExecutor(_READERS) as pool:  # waiting for footers, not computing
         while page := list(islice(listed, _PAGE)):
-            rows = [row for columns in pool.map(describe, page) for row in columns]
+            rows = [row for columns in pool.map(rows_of, page) for row in columns]
             local_rows(spark, rows, CRAWL_SCHEMA).write.mode("append").parquet(path)
     return spark.read.schema(CRAWL_SCHEMA).parquet(path)
 

@@ -9,14 +9,14 @@ from ..constants import SEED_EMAIL, SEED_PHONE_DIGITS, SEED_PHONE_PREFIX
 
 
 def contacts(keys: DataFrame, key: str = "id") -> DataFrame:
-    """``id, email, phone`` for every key. Keys longer than four digits are cut in the phone."""
+    """``id, email, phone`` for every key. Short keys are padded in the phone, long ones stay whole."""
     number = F.col(key)
+    text = number.cast("string")
+    padded = F.when(F.length(text) < SEED_PHONE_DIGITS, F.lpad(text, SEED_PHONE_DIGITS, "0")).otherwise(text)
     return keys.select(
         number.alias("id"),
         F.format_string(SEED_EMAIL, number).alias("email"),
-        F.concat(
-            F.lit(SEED_PHONE_PREFIX), F.lpad(number.cast("string"), SEED_PHONE_DIGITS, "0")
-        ).alias("phone"),
+        F.concat(F.lit(SEED_PHONE_PREFIX), padded).alias("phone"),
     )
 
 

@@ -1,8 +1,7 @@
 """Where target tables are read from and written to, by platform.
 
 A platform's ``Tables`` gives the current rows of a table and stores a rewrite of it. The run audit
-gets its row after the data are complete, and names the place of the rewritten table. A run that
-dies half-way leaves the table as it was.
+gets its row after the data are complete, and names the place of the rewritten table.
 """
 
 from __future__ import annotations
@@ -10,21 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 from operator import and_, or_
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import UNSUPPORTED_PLATFORM_MESSAGE
+from ..session import stored
 
 
 @dataclass(frozen=True)
 class Rewrite:
     """What to store: ``after`` turns current rows, all or some of them, into rewritten ones.
 
-    ``changed`` is the condition on current rows that the run changes; ``after`` may be used in
-    one query only, because it counts the rows that pass through.
+    ``changed`` is the condition on current rows that the run changes. What one call of ``after``
+    gives may be used in one query only, because it counts the rows that pass through.
     """
 
     ref: Row
@@ -43,6 +45,22 @@ class Tables(Protocol):
         """Store a rewritten table and return its place."""
 
 
+def read_parquet(spark: SparkSession, path: str, parts: list[str] | None = None) -> DataFrame:
+    """A parquet table with the columns of all its files and partition values as they are written.
+
+    One file's footer does not stand for the others: schemas are merged, and types that do not go
+    together are an error. Partition columns (``parts``, or those a file's path shows) are strings,
+    so that ``00`` is not read as 0.
+    """
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    if parts is None:
+        one = found.select(F.input_file_name().alias("file")).first()
+        folders = one.file.split("/")[:-1] if one else []
+        parts = [f.split("=", 1)[0] for f in folders if "=" in f]
+    fields = [T.StructField(f.name, T.StringType()) if f.name in parts else f for f in found.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 @dataclass(frozen=True)
 class ParquetTables:
     """Folders ``source/<database>/<schema>/<table>``; rewrites go to ``target/.../<run_id>``.
@@ -56,7 +74,8 @@ class ParquetTables:
     partition_by: dict[str, list[str]] = field(default_factory=dict)
 
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
-        return spark.read.parquet(output or f"{self.source}/{_folder(ref)}")
+        parts = self.partition_by.get(f"{ref.schema_name}.{ref.table_name}")
+        return read_parquet(spark, output or f"{self.source}/{_folder(ref)}", parts)
 
     def write(self, rewrite: Rewrite) -> str:
         ref = rewrite.ref
@@ -79,23 +98,24 @@ class PartitionedTables:
 
     root: str
     partition_by: dict[str, list[str]]
-    # With more partitions to replace than this, all are: a long condition would slow planning.
-    max_listed: int = 1000
+    # Partitions replaced by one job: a long condition would slow planning.
+    wave: int = 500
 
     def read(self, spark: SparkSession, ref: Row, output: str | None) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{_folder(ref)}")
+        parts = self.partition_by[f"{ref.schema_name}.{ref.table_name}"]
+        return read_parquet(spark, f"{self.root}/{_folder(ref)}", parts)
 
     def write(self, rewrite: Rewrite) -> str:
         ref, rows = rewrite.ref, rewrite.before
         parts = self.partition_by[f"{ref.schema_name}.{ref.table_name}"]
-        touched = rows.where(rewrite.changed).select(*parts).distinct()
-        listed = touched.limit(self.max_listed + 1).collect()
-        if len(listed) <= self.max_listed:
-            rows = rows.where(reduce(or_, [_equal(parts, values) for values in listed]))
+        touched = stored(rows.where(rewrite.changed).select(*parts).distinct(), "touched")
         path = f"{self.root}/{_folder(ref)}"
-        rewrite.after(rows).write.mode("overwrite").partitionBy(*parts).option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(path)
+        listed = touched.toLocalIterator()
+        while wave := list(islice(listed, self.wave)):
+            part = rows.where(reduce(or_, [_equal(parts, values) for values in wave]))
+            rewrite.after(part).write.mode("overwrite").partitionBy(*parts).option(
+                "partitionOverwriteMode", "dynamic"
+            ).parquet(path)
         return path
 
 

@@ -14,6 +14,7 @@ from cloakwork.sources.tables import (
     DataSourceTables,
     ParquetTables,
     PartitionedTables,
+    read_parquet,
 )
 
 CONTACTS = ["email", "phone"]
@@ -174,12 +175,50 @@ def test_only_partitions_with_plaintext_are_replaced(spark, folder):
     assert got.where("part IS NULL").count() == 25
 
 
+def test_partition_values_and_later_columns_survive(spark, folder):
+    root = f"{folder}/s/main/public/customers"
+    rows = seed_contacts(spark, 8).selectExpr("id", "email", "format_string('%02d', id % 4) AS hour")
+    rows.write.partitionBy("hour").parquet(root)
+    later = seed_contacts(spark, 4).selectExpr("id + 100 AS id", "email", "phone", "'00' AS hour")
+    later.write.mode("append").partitionBy("hour").parquet(root)
+    crawled = crawl_parquet(spark, f"{folder}/s/main/public", platform="postgres", database="main", schema_name="public")
+    asked = tagged(spark, to_catalog(crawled), [(urn("customers"), "", RUN_TAG)])
+    tables = PartitionedTables(f"{folder}/s", {"public.customers": ["hour"]}, wave=1)
+    for limit, updated in ((0, 0), (None, 12)):
+        config = RunConfig({"postgres": tables}, f"{folder}/audit{limit}", limit=limit)
+        row = statuses(run_cycle(spark, asked, config))[urn("customers")]
+        assert (row.status, row.rows_updated) == ("SUCCESS", updated)
+    got = read_parquet(spark, root, ["hour"])
+    assert sorted(got.columns) == ["email", "hour", "id", "phone"] and got.count() == 12
+    assert {r.hour for r in got.select("hour").collect()} == {"00", "01", "02", "03"}
+    assert rw.candidates(got, CONTACTS).isEmpty() and got.where("phone IS NOT NULL").count() == 4
+
+
+def test_many_tables_are_profiled_together(spark, folder):
+    for i in range(8):
+        seed_contacts(spark, 5).selectExpr("id", "'no' AS email", "phone").write.parquet(f"{folder}/s/main/public/t{i}")
+    crawled = crawl_parquet(spark, f"{folder}/s/main/public", platform="postgres", database="main", schema_name="public")
+    asked = tagged(spark, to_catalog(crawled), [(urn(f"t{i}"), "", RUN_TAG) for i in range(8)])
+    config = RunConfig({"postgres": ParquetTables(f"{folder}/s", f"{folder}/t")}, f"{folder}/audit", check_values=True)
+    rows = statuses(run_cycle(spark, asked, config))
+    assert {(r.status, tuple(r.columns)) for r in rows.values()} == {("SUCCESS", ("phone",))} and len(rows) == 8
+
+
+def test_an_unreadable_table_is_left_out_of_the_crawl(spark, folder):
+    seed_contacts(spark, 3).write.parquet(f"{folder}/s/good")
+    with open(f"{folder}/s/bad.parquet", "w") as file:
+        file.write("not parquet")
+    with pytest.warns(UserWarning, match="bad"):
+        crawled = crawl_parquet(spark, f"{folder}/s")
+    assert {r.table_name for r in crawled.collect()} == {"good"}
+
+
 def test_many_partitions_are_all_replaced(spark, folder):
     root = f"{folder}/s/main/public/customers"
     seed_contacts(spark).selectExpr("*", "id % 5 AS part").write.partitionBy("part").parquet(root)
     crawled = crawl_parquet(spark, f"{folder}/s/main/public", platform="postgres", database="main", schema_name="public")
     asked = tagged(spark, to_catalog(crawled), [(urn("customers"), "", RUN_TAG)])
-    tables = PartitionedTables(f"{folder}/s", {"public.customers": ["part"]}, max_listed=2)
+    tables = PartitionedTables(f"{folder}/s", {"public.customers": ["part"]}, wave=2)
     row = statuses(run_cycle(spark, asked, RunConfig({"postgres": tables}, f"{folder}/audit")))[urn("customers")]
     got = spark.read.parquet(root)
     assert row.rows_updated == got.count() == 100 and rw.candidates(got, CONTACTS).isEmpty()

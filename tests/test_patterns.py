@@ -19,6 +19,7 @@ TEXTS = (
 PATTERNS = [
     *VALIDATORS.values(), TOKEN_PATTERN, DATASET_URN_PATTERN, r"\d+$", r"\w+$", r"\S+$", r"[^\s]+",
     r"a\$", r"[$]5", r"a|b$", r"ab", r"", r"\W", r"\D+",
+    r"a.b", r".+\Z", r"(a$|555.*$)", r"[[]|x", r"(?P<n>a)@", r"5{,2}1?", r"[a&&b]+@", r"[]a]", r"[^]a]",
 ]
 
 
@@ -29,12 +30,19 @@ def test_same_answer_as_python(spark, pattern):
         assert got == bool(re.match(pattern, text)), (pattern, text)
 
 
+@pytest.mark.parametrize("pattern", [r"(?i)a", r"(a)(?(1)b|c)", r"(?P<n>a)(?P=n)", "("])
+def test_what_cannot_be_expressed_is_refused(pattern):
+    with pytest.raises((ValueError, re.error)):
+        spark_pattern(pattern)
+
+
 def test_null_stays_null(spark):
     df = spark.createDataFrame([(None,)], "v string")
     assert df.select(matches(F.col("v"), "a")).first()[0] is None
 
 
-def test_only_a_final_dollar_is_rewritten():
+def test_dollar():
+    assert spark_pattern("a$b|c") == r"\A(?:a(?=\n?\z)b|c)"
     assert spark_pattern("a$") == r"\A(?:a\n?\z)"
     assert spark_pattern(r"a\$") == r"\A(?:a\$)"
     assert spark_pattern("[$]") == r"\A(?:[$])"

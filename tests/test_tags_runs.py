@@ -36,7 +36,7 @@ def test_fold_sends_one_row_per_tag(spark, small):
 
     df = tags.tag_state(view(spark, small, "fx_tagevents"))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "partial_max_by" in plan
+    assert plan.count("Exchange") == 1 and "partial_max" in plan
     assert "SortAggregate" not in plan
 
 
@@ -180,3 +180,10 @@ def test_outcome_of_one_run_is_not_that_of_an_earlier_one(spark):
     assert {r.urn: r.outcome for r in runs.run_outcomes(asked, latest).collect()} == {"u": "failed", "w": "waiting"}
     by_run = runs.run_outcomes(asked, audit, on=["urn", "run_id"])
     assert {r.urn: r.outcome for r in by_run.collect()} == {"u": "waiting", "w": "waiting"}
+
+
+def test_an_addition_wins_a_tie(spark):
+    rows = [("u", "", "t", "add", 1), ("u", "", "t", "remove", 1)]
+    for order in (rows, rows[::-1]):
+        changes = spark.createDataFrame(order, "urn string, field_path string, tag string, op string, seq long")
+        assert tags.tag_state(changes.coalesce(1)).count() == 1

@@ -195,7 +195,7 @@ SELECT id, CASE WHEN {plain('email')} THEN 'tok_' || sha256(email) || '_poc' ELS
 FROM @fx_customers""",
     "seed_rows": """
 SELECT c_custkey AS id, 'user' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email,
-  '+1-555-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone
+  '+1-555-' || CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END AS phone
 FROM @customer""",
     "parse_urns": f"""
 WITH m AS (
