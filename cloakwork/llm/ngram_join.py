@@ -223,11 +223,11 @@ def link_documents(
     kept = kept_columns(docs, ["n_shingles", "component_id", "component"])
     own = docs.select(*map(column, kept), column(text).alias("_text"), column(doc_id).alias("_own"))
     own = _with_sets(own.withColumnRenamed("_text", "text") if "text" not in kept else own.drop("_text"), words, percent, frequent, False)
-    full = own.where("_set IS NOT NULL").join(names, "_set").select(*kept, "n_shingles", "component_id", "component")
-    empty = own.where("_set IS NULL").select(
-        *kept, "n_shingles", F.col("_own").alias("component_id"), F.lit(None).cast("long").alias("component")
-    )
-    return full.union(empty)
+    # empty sets get keys of their own, so they match nothing and do not meet in one task
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id()).cast("binary")
+    own = own.withColumn("_set", F.coalesce("_set", alone)).join(names, "_set", "left")
+    component_id = F.when(F.col("n_shingles") == 0, F.col("_own")).otherwise(F.col("component_id"))
+    return own.select(*map(column, kept), "n_shingles", component_id.alias("component_id"), "component")
 
 
 def _blocks() -> Column:
