@@ -46,6 +46,8 @@ LEVELS = 4
 FREQUENT = 1 << 18
 #: Shingles that a task counts together.
 COUNTED = 4_000_000
+#: Words of 64 bits in the filter of texts that are compared: what is broadcast has as many rows at most.
+FILTER_WORDS = 1 << 20
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 200_000
 
@@ -349,7 +351,8 @@ def _compare(
     lists = tasks.join(classes.select("class", "key"), "class").groupBy("key").agg(F.collect_list(to).alias("to"))
     lists = stored(lists, "tasks")
     keyed = texts.select(text_key(F.col("text")).alias("key"), "text")
-    one = keyed.join(lists.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # copies of a text meet in their own task first, so a frequent one is sent once by each
+    one = _likely(keyed, "key", lists).groupBy("key").agg(F.first("text").alias("text"))
     rows = one.join(lists, "key").select("text", F.explode("to").alias("t")).select("text", "t.*")
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -362,6 +365,20 @@ def _compare(
     return rows.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``; a join must follow.
+
+    Every wanted key sets one of 64 * ``FILTER_WORDS`` bits. The more keys there are, the more
+    others pass, but the filter that is broadcast does not grow.
+    """
+    hashed = F.xxhash64(key)
+    word = F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int").alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int")).alias("_bit")
+    bits = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    both = rows.select("*", word, bit).join(F.broadcast(bits), "_word")
+    return both.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def _partners(x: int, n: np.ndarray, signs: np.ndarray, native: np.ndarray, block: np.ndarray, percent: int, across: bool) -> np.ndarray:
     """Which of the smaller sets, in order of size, may link with set ``x``."""
     low = int(np.searchsorted(n[: x + 1], required(int(n[x]), percent)))

@@ -191,6 +191,18 @@ def test_links_of_odd_tables(spark):
     assert ngram_join.keep_one_each(odd_documents(spark)).columns == odd_documents(spark).columns
 
 
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_filter_of_texts_loses_none(spark, monkeypatch, words):
+    monkeypatch.setattr(ngram_join, "FILTER_WORDS", words)
+    rows = spark.range(3000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS key", "id", "id AS word")
+    wanted = rows.where("id % 10 = 0").select("key")
+    left = ngram_join._likely(rows, "key", wanted)
+    assert left.columns == rows.columns
+    assert left.where("id % 10 = 0").count() == 300
+    assert left.count() < 320 or words == 1
+    assert ngram_join._likely(rows, "key", wanted.limit(0)).count() == 0
+
+
 def test_no_query_cuts_its_table(spark, small):
     n = queries.table(spark, small, "documents").count()
     for name in ("op2_bpe", "op4_ngram_join", "op8_line_crf", "op10_decontaminate"):
