@@ -366,17 +366,23 @@ def _compare(
 
 
 def _likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``wanted``; a join must follow.
+    """``rows`` without most of those whose ``key`` is not in ``wanted``; a join must follow."""
+    return _marked(rows, key, wanted).where("_maybe").drop("_maybe")
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only if ``key`` is not in ``wanted``.
 
     Every wanted key sets one of 64 * ``FILTER_WORDS`` bits. The more keys there are, the more
-    others pass, but the filter that is broadcast does not grow.
+    others are marked, but the filter that is broadcast does not grow.
     """
     hashed = F.xxhash64(key)
     word = F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int").alias("_word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int")).alias("_bit")
     bits = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    both = rows.select("*", word, bit).join(F.broadcast(bits), "_word")
-    return both.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+    both = rows.select("*", word, bit).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return both.select(*rows.columns, maybe.alias("_maybe"))
 
 
 def _partners(x: int, n: np.ndarray, signs: np.ndarray, native: np.ndarray, block: np.ndarray, percent: int, across: bool) -> np.ndarray:
@@ -443,16 +449,33 @@ def forest(sets, classes, native, level, block, percent: int, across: bool) -> l
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, one row with the smallest id.
 
-    Texts without words are linked with nothing, so all their rows stay. A component whose ids are
-    all NULL keeps one row too.
+    Of several texts with that id one stays, and of rows that repeat both, any one. Texts without
+    words are linked with nothing, so all their rows stay. A component whose ids are all NULL keeps
+    one row too. All columns stay as they are.
+
+    What goes is decided on ids and digests; of the texts, only those that go and the few that the
+    filter takes for such are shuffled.
     """
-    names = docs.columns
-    linked = link_documents(docs, doc_id, text, words=words, percent=percent)
-    linked = stored(linked, "linked")
-    alone = linked.where("component IS NULL")
-    sizes = linked.where("component IS NOT NULL").groupBy("component").agg(F.count("*").alias("rows"))
-    rest = linked.join(sizes, "component")
-    first = rest.where((F.col("rows") > 1) & column(doc_id).eqNullSafe(F.col("component_id")))
-    one = first.groupBy("component").agg(F.first(F.struct(*map(column, names))).alias("row")).select("row.*")
-    single = rest.where("rows = 1").select(*map(column, names))
-    return alone.select(*map(column, names)).union(single).union(one)
+    narrow = docs.select(column(doc_id).alias("id"), column(text).alias("text"))
+    linked = link_documents(narrow, "id", "text", words=words, percent=percent).where("component IS NOT NULL")
+    linked = stored(linked.select(
+        _row_key(F.col("id"), F.col("text")).alias("_key"), F.col("id").eqNullSafe(F.col("component_id")).alias("least"), "component",
+    ), "linked")
+    chosen = linked.where("least").groupBy("component").agg(F.min("_key").alias("chosen"))
+    counts = linked.groupBy("_key", "component").agg(F.count("*").alias("rows")).join(chosen, "component")
+    counts = counts.select("_key", "rows", (F.col("_key") == F.col("chosen")).alias("stays"))
+    moved = stored(counts.where("rows > 1 OR NOT stays").select("_key", "stays"), "moved")
+    repeated = moved.where("stays").select("_key")
+    row = F.struct(*map(column, docs.columns)).alias("row")
+    rows = docs.select(_row_key(column(doc_id), column(text)).alias("_key"), row)
+    marked = _marked(rows, "_key", moved)
+    alone = marked.where("NOT _maybe").select("row.*")
+    others = marked.where("_maybe").join(moved, "_key", "left_anti").select("row.*")
+    one = _likely(rows, "_key", repeated).groupBy("_key").agg(F.first("row").alias("row"))
+    return alone.union(others).union(one.join(repeated, "_key", "left_semi").select("row.*"))
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for an id and a text; NULL is an id of its own."""
+    name = F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(text_key(text), name.cast("binary"))))
