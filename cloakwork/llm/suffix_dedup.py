@@ -15,6 +15,11 @@ the corpus, the same document included. Strings never cross documents and are ju
    digests of its windows as sorted runs, cut by digest ranges; the runs of a range are merged by
    binary search, and windows found in two shards are repeated.
 
+``remove_repeats`` can remove repeated passages of a number of words as well, whatever bytes they have.
+These are searched in the same way, in texts whose words are replaced by codes of ``_CODE`` bytes.
+Words are what stands between white space; equal codes are taken for equal words (35-bit hashes, of
+which all in a passage have to agree). White space inside a passage may differ.
+
 NULL is an empty text. Rows with equal texts are copies of each other, whatever their other columns
 hold. Columns named like result columns are replaced.
 """
@@ -43,6 +48,8 @@ SHARD_STRETCHES = 128
 MERGE_WINDOWS = 1 << 18
 #: Windows of one stretch: repetitive texts have long ones, which would hold up the other strings.
 _LONGEST = 512
+#: Bytes, of seven bits each, that stand for a word.
+_CODE = 5
 #: Windows of a text that are looked at in one step.
 _STEP_WINDOWS = 4 << 20
 
@@ -385,6 +392,74 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     return whole.union(partly).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
 
 
+_SPLIT = np.zeros(256, bool)
+_SPLIT[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _word_places(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts start and stop."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~_SPLIT[data]
+    fresh, over = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    fresh[places], over[places] = True, True
+    starts = np.flatnonzero(inside & (fresh[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    stops = np.flatnonzero(inside & (over[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    return starts, stops
+
+
+def _word_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """``_CODE`` bytes below 128 for each word, one after the other."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+    powers, backs = np.full(len(data), base), np.full(len(data), back)
+    if len(data):
+        powers[0] = backs[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(backs, out=backs)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+    hashes = (sums[stops] - sums[starts]) * backs[starts] + (stops - starts).astype(np.uint64)
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    hashes ^= hashes >> np.uint64(31)
+    shifts = np.arange(_CODE, dtype=np.uint64) * np.uint64(7)
+    return ((hashes[:, None] >> shifts) & np.uint64(127)).astype(np.uint8).ravel()
+
+
+def repeated_word_spans(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``key, word_spans``: for each distinct text with repeated passages of ``words`` words, spans of first words.
+
+    ``key`` is ``text_key`` of the text. Every passage that begins at a word from ``start`` to ``stop`` is repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in text_steps(batch.column(0)):
+                data, places = text_bytes(batch.column(0).slice(start, stop - start))
+                starts, stops = _word_places(data, places)
+                codes = _word_codes(data, starts, stops).tobytes()
+                ends = np.searchsorted(starts, places) * _CODE
+                raw = data.tobytes()
+                keys = [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(places[:-1], places[1:])]
+                coded = [codes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                new = [pa.array(keys, pa.binary()), pa.array(coded, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(new, names=["key", "text"])
+
+    coded = docs.select(column(text).alias("text")).mapInArrow(run, "key binary, text string")
+    found = repeated_spans(coded, "text", words * _CODE).withColumnRenamed("key", "code_key")
+    names = coded.select("key", text_key(F.col("text")).alias("code_key")).distinct()
+    # windows that begin inside a word's code are none of words
+    aligned = F.transform(
+        "spans",
+        lambda s: F.struct(
+            F.ceil(s["start"] / _CODE).cast("long").alias("start"), F.floor(s["stop"] / _CODE).cast("long").alias("stop")
+        ),
+    )
+    aligned = F.filter(aligned, lambda s: s["start"] <= s["stop"])
+    return names.join(found, "code_key").select("key", aligned.alias("word_spans")).where(F.size("word_spans") > 0)
+
+
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``digest, shard, dealt, bytes``: the bytes of wanted stretches; one row each."""
     lists = wanted.groupBy("key").agg(
@@ -407,13 +482,15 @@ _REMOVED = [
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", length: int = LENGTH, drop: bool = False, as_text: bool = False
+    docs: DataFrame, text: str = "text", length: int = LENGTH, drop: bool = False, as_text: bool = False,
+    words: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that are left), ``n_bytes`` and ``removed``.
 
     ``removed`` has the maximal removed runs, as bytes ``start`` to before ``stop``. ``drop`` leaves
     the texts out. ``as_text`` gives ``kept`` as a string, without what is left of characters that a
-    cut goes through.
+    cut goes through. With ``words``, what lies in a passage of so many words that also starts
+    anywhere else goes too, from its first word to its last.
     """
     fields = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *_REMOVED]
     spans = stored(repeated_spans(docs, text, length), "spans")
@@ -421,7 +498,12 @@ def remove_repeats(
     source = docs.select(*map(column, kept), F.coalesce(column(text), F.lit("")).alias("_text"))
     source = source.withColumn("_key", text_key(F.col("_text")))
     source = source.join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
-    source = source.select(*map(column, kept), "_text", "_spans")
+    more = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("_words")
+    if words is not None:
+        passages = stored(repeated_word_spans(docs, text, words), "passages")
+        source = source.join(passages.select(F.col("key").alias("_key"), F.col("word_spans").alias("_words")), "_key", "left")
+        more = F.col("_words")
+    source = source.select(*map(column, kept), "_text", "_spans", more)
     n = len(kept)
     runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -432,9 +514,13 @@ def remove_repeats(
                 part = batch.slice(start, stop - start)
                 data, places = text_bytes(part.column(n))
                 left, removed = [], []
-                for i, spans in enumerate(part.column(n + 1).to_pylist()):
+                for i, (spans, passages) in enumerate(zip(part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist())):
                     one = data[places[i] : places[i + 1]]
                     merged = _merged(spans or [], length)
+                    if passages:
+                        starts, stops = _word_places(one, np.array([0, len(one)]))
+                        cuts = [(int(starts[p["start"]]), int(stops[p["stop"] + words - 1])) for p in passages]
+                        merged = _united([*((m["start"], m["stop"]) for m in merged), *cuts])
                     keep = np.ones(len(one), bool)
                     for span in merged:
                         keep[span["start"] : span["stop"]] = False
@@ -460,3 +546,14 @@ def _merged(spans: list[dict], length: int) -> list[dict]:
         else:
             merged.append({"start": first, "stop": last + length})
     return merged
+
+
+def _united(cuts: list[tuple[int, int]]) -> list[dict]:
+    """Maximal runs of bytes that lie in ``cuts``."""
+    united: list[dict] = []
+    for start, stop in sorted(cuts):
+        if united and start <= united[-1]["stop"]:
+            united[-1]["stop"] = max(united[-1]["stop"], stop)
+        else:
+            united.append({"start": start, "stop": stop})
+    return united

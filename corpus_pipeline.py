@@ -3,8 +3,8 @@
 1. ``quality``: documents that the line model rejects go. It learns from ``labels``, but not from
    documents that are held out.
 2. ``near_duplicates``: of documents linked by five-word shingles at 0.8, the smallest id stays.
-3. ``repeats``: strings of 400 bytes that occur twice are cut out wherever they are; a document
-   of which nothing is left stays, with an empty text. ``n_chars`` follows the text.
+3. ``repeats``: passages of 51 words, and strings of 400 bytes, that occur twice are cut out wherever
+   they are; a document of which nothing is left stays, without words. ``n_chars`` follows the text.
 4. ``benchmark``: documents that hold a window of a benchmark item go.
 5. ``tokens``: byte-level BPE; the result has ids as little-endian 32-bit integers in one binary
    value, their number, and whether they decode to the text.
@@ -23,6 +23,10 @@ from cloakwork.llm.queries import table, vocabulary
 from cloakwork.session import stored
 
 
+#: Words of a passage that is cut out where it repeats: more than 50.
+PASSAGE_WORDS = 51
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = line_crf.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = line_crf.score_quality(docs, model, keep_lines=False)
@@ -34,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.remove_repeats(docs, as_text=True, drop=True)
+    left = suffix_dedup.remove_repeats(docs, as_text=True, drop=True, words=PASSAGE_WORDS)
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return left.withColumns(new).select(*docs.columns)
 

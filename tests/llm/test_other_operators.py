@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -130,6 +131,36 @@ def test_repeats_in_odd_tables(spark):
     assert suffix_dedup.remove_repeats(empty_documents(spark)).count() == 0
 
 
+def plain_word_repeats(texts, n):
+    split = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t.encode())] for t in texts]
+    counts = Counter(tuple(w[2] for w in one[i : i + n]) for one in split for i in range(len(one) - n + 1))
+    left = []
+    for t, one in zip(texts, split):
+        gone = np.zeros(len(t.encode()), bool)
+        for i in range(len(one) - n + 1):
+            if counts[tuple(w[2] for w in one[i : i + n])] > 1:
+                gone[one[i][0] : one[i + n - 1][1]] = True
+        left.append(bytes(b for b, g in zip(t.encode(), gone) if not g).decode())
+    return left
+
+
+def test_pipeline_cuts_short_words(spark):
+    rng = random.Random(5)
+    passage = words(rng, 51).split()
+    texts = [words(rng, 70) + "\n" + " ".join(passage) + "\n" + words(rng, 90), words(rng, 60) + " " + "  ".join(passage) + " é " + words(rng, 40)]
+    texts += [words(rng, 30) + " " + " ".join(passage[:-1]) + " " + words(rng, 40) for _ in range(2)]  # 50 words stay
+    texts += [words(rng, 9) + " " + " ".join(passage[3:] + ["z"] * 3) for _ in range(2)] + ["z " * 55 + "end", "", words(rng, 80)]
+    assert len(" ".join(passage)) < 400
+    table = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    rows = sorted(corpus_pipeline.repeats(spark, table, "").collect())
+    assert [row.text for row in rows] == plain_word_repeats(texts, 51)
+    assert rows[0].text != texts[0] and rows[2].text == texts[2] and all(row.n_chars == len(row.text) for row in rows)
+    # strings of 400 bytes with few words go as before
+    long = "".join(rng.choice("abc") for _ in range(500))
+    table = spark.createDataFrame([(i, f"{i} {long}", 1) for i in range(2)], "doc_id long, text string, n_chars long")
+    assert all(len(row.text) < 4 for row in corpus_pipeline.repeats(spark, table, "").collect())
+
+
 def test_fenwick_chains_equal_a_plain_search():
     rng = random.Random(6)
     for _ in range(30):
