@@ -53,14 +53,19 @@ _CLOSES = {
     "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"),
 }
 _LISTS = frozenset("ul ol dl table".split())
+#: Elements whose text belongs to the container around them.
+_PARTS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt ul ol dl table thead tbody tfoot tr caption figure figcaption hgroup".split()
+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "never", "score")
+    __slots__ = ("tag", "parent", "path", "never", "score", "article")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, never: bool):
+    def __init__(self, tag: str, parent: Node | None, path: str, never: bool, article: bool = False):
         self.tag, self.parent, self.path, self.never, self.score = tag, parent, path, never, 0.0
+        self.article = article
 
 
 class _Page(HTMLParser):
@@ -117,7 +122,8 @@ class _Page(HTMLParser):
         if tag == "header" and not any(n.tag in ("article", "main") for n in self.stack):
             never = True
         step = re.sub(r"\d+", "#", ".".join([tag, *classes]))
-        self.stack.append(Node(tag, self.stack[-1], f"{self.stack[-1].path}/{step}", never))
+        article = tag in ("article", "main") or (values.get("role") or "").lower() in ("article", "main")
+        self.stack.append(Node(tag, self.stack[-1], f"{self.stack[-1].path}/{step}", never, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,8 +166,8 @@ def parse(html: str | None) -> _Page:
             continue
         weight = max(0, len(text) - 2 * linked)
         container = holder
-        if holder.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "dd", "dt"):
-            container = holder.parent or holder
+        while container.tag in _PARTS and container.parent is not None:
+            container = container.parent
         container.score += weight
         if container.parent is not None:
             container.parent.score += weight / 2
@@ -173,9 +179,7 @@ def _scores(page: _Page) -> dict[str, float]:
     seen: dict[int, Node] = {}
     for holder, _, _ in page.blocks:
         node: Node | None = holder
-        for _ in range(3):
-            if node is None:
-                break
+        while node is not None and id(node) not in seen:
             seen[id(node)] = node
             node = node.parent
     found: dict[str, float] = {}
@@ -185,6 +189,14 @@ def _scores(page: _Page) -> dict[str, float]:
     return found
 
 
+def _at(holder: Node, path: str) -> Node | None:
+    """The innermost element around ``holder``, itself included, at ``path``."""
+    node: Node | None = holder
+    while node is not None and node.path != path:
+        node = node.parent
+    return node
+
+
 def main_text(html: str | None, paths: list[str]) -> str:
     """Text of the containers at the first of ``paths`` that has text here, else of the page's best."""
     page = parse(html)
@@ -192,10 +204,18 @@ def main_text(html: str | None, paths: list[str]) -> str:
     ranked = [path for path in paths if path in own]
     ranked += sorted(own, key=lambda p: (-own[p], p))[:1]
     for path in ranked:
+        whole = set()  # the winners, or the articles they stand for
+        for holder, _, _ in page.blocks:
+            node = _at(holder, path)
+            if node is not None and not holder.never:
+                article: Node | None = node
+                while article is not None and not article.article:
+                    article = article.parent
+                whole.add(id(article or node))
         texts = []
         for holder, text, _ in page.blocks:
-            node: Node | None = holder
-            while node is not None and node.path != path:
+            node = holder
+            while node is not None and id(node) not in whole:
                 node = node.parent
             if node is not None and not holder.never:
                 texts.append(text)

@@ -95,6 +95,23 @@ def test_pages(spark):
     assert html_consensus.extract_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1>H</h1><div class=lead><p>{0}</p></div><div class=body><p>{1}</p></div></article>", "H\n{0}\n{1}"),
+        ("<article><h1>H</h1><section><p>{1}</p></section><section><p>{0}</p></section></article>", "H\n{1}\n{0}"),
+        ("<div class=post><h1>H</h1><p>{0}</p><ul><li>{1}</li></ul><blockquote><p>{1}</p></blockquote></div>", "H\n{0}\n{1}\n{1}"),
+        ("<main><article><h1>H</h1><div><div><p>{1}</p></div></div><p>{0}</p></article><div class=related><p>{1}</p></div></main>", "H\n{1}\n{0}"),
+    ],
+)
+def test_split_articles_are_whole(page, text):
+    short, long = "s" * 100, "l" * 1000
+    html = "<html><body><div class=top><p>Site</p></div>" + page.format(short, long) + "<footer>F</footer></body></html>"
+    own = html_consensus._scores(html_consensus.parse(html))
+    assert html_consensus.main_text(html, []) == text.format(short, long)
+    assert html_consensus.main_text(html, sorted(own, key=lambda p: -own[p])) == text.format(short, long)
+
+
 def plain_repeats(docs, length):
     texts = [(text or "").encode() for _, text in docs]
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
