@@ -28,7 +28,7 @@ from ..session import stored
 from .common import column, kept_columns
 from .url_filter import host_of
 
-#: Paths of a host that are handed to its pages, best first.
+#: Paths of a host that are handed to its pages, best first. Others are looked up by the pages that need them.
 PATHS_PER_HOST = 16
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,11 +197,16 @@ def _at(holder: Node, path: str) -> Node | None:
     return node
 
 
-def main_text(html: str | None, paths: list[str]) -> str:
-    """Text of the containers at the first of ``paths`` that has text here, else of the page's best."""
+def main_text(html: str | None, paths: list[str], more: bool | None = False) -> str | None:
+    """Text of the containers at the first of ``paths`` that has text here, else of the page's best.
+
+    None if the page has none of ``paths`` and there are ``more``.
+    """
     page = parse(html)
     own = _scores(page)
     ranked = [path for path in paths if path in own]
+    if more and own and not ranked:
+        return None
     ranked += sorted(own, key=lambda p: (-own[p], p))[:1]
     for path in ranked:
         whole = set()  # the winners, or the articles they stand for
@@ -224,8 +229,8 @@ def main_text(html: str | None, paths: list[str]) -> str:
     return ""
 
 
-def host_paths(pages: DataFrame, url: str = "url", html: str = "html", most: int = PATHS_PER_HOST) -> DataFrame:
-    """``host, paths``: the best-voted paths of each host, best first; ties by the path itself."""
+def path_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host, path, votes``, as whole numbers."""
     source = pages.select(host_of(column(url)).alias("host"), column(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,20 +248,28 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html", most: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "votes"])
 
     votes = source.mapInArrow(run, "host string, path string, votes long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+
+
+def host_paths(votes: DataFrame, most: int) -> DataFrame:
+    """``host, paths, more``: the ``most`` best-voted paths of each host, best first, ties by the path itself.
+
+    ``more`` says whether the host has others.
+    """
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    best = votes.withColumn("place", place).where(F.col("place") <= most)
+    best = votes.withColumn("place", place).where(F.col("place") <= most + 1)
     paths = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    return best.groupBy("host").agg(paths.alias("paths"))
+    return best.groupBy("host").agg(F.slice(paths, 1, most).alias("paths"), (F.count("*") > most).alias("more"))
 
 
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", most: int = PATHS_PER_HOST) -> DataFrame:
     """``pages`` without the markup, with ``text`` and ``n_chars``, its number of characters."""
-    winners = stored(host_paths(pages, url, html), "paths")
+    votes = stored(path_votes(pages, url, html), "votes")
+    winners = stored(host_paths(votes, most), "paths")
     kept = kept_columns(pages, ["text", "n_chars", html])
     source = pages.select(*map(column, kept), column(html).alias("_html"), host_of(column(url)).alias("_host"))
-    names = winners.select(F.col("host").alias("_host"), F.col("paths").alias("_paths"))
-    source = source.join(names, "_host", "left").select(*map(column, kept), "_html", "_paths")
+    names = winners.select(F.col("host").alias("_host"), F.col("paths").alias("_paths"), F.col("more").alias("_more"))
+    source = source.join(names, "_host", "left").select(*map(column, kept), "_html", "_paths", "_more", "_host")
     n = len(kept)
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
@@ -264,8 +277,40 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [main_text(h.as_py(), p or []) for h, p in zip(part.column(n), part.column(n + 1).to_pylist())]
+                texts, which = [], []
+                given = zip(part.column(n), part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist())
+                for i, (h, p, more) in enumerate(given):
+                    text = main_text(h.as_py(), p or [], more)
+                    if text is not None:
+                        texts.append(text)
+                        which.append(i)
+                columns = [c.take(pa.array(which, pa.int64())) for c in part.columns[:n]]
                 new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(part.columns[:n] + new, names=[*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(columns + new, names=[*kept, "text", "n_chars"])
 
-    return source.mapInArrow(run, T.StructType(source.schema.fields[:n] + fields))
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found, which = [], []
+                for i, (h, p) in enumerate(zip(part.column(n), part.column(n + 1).to_pylist())):
+                    own = _scores(parse(h.as_py()))
+                    if own and own.keys().isdisjoint(p or []):
+                        found.append(sorted(own))
+                        which.append(i)
+                take = pa.array(which, pa.int64())
+                columns = [part.column(i).take(take) for i in (*range(n + 1), n + 3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], names=[*kept, "_html", "_host", "_own"])
+
+    schema = T.StructType(source.schema.fields[:n] + fields)
+    decided = source.mapInArrow(run, schema)
+    # pages without any of the paths handed out: few, and only on hosts that have more paths than these
+    rest_schema = T.StructType([*source.schema.fields[: n + 1], source.schema["_host"], T.StructField("_own", T.ArrayType(T.StringType()))])
+    rest = stored(source.where("_more").mapInArrow(others, rest_schema), "other-pages")
+    rest = stored(rest.withColumn("_row", F.monotonically_increasing_id()), "other-rows")
+    own = rest.select("_row", F.col("_host").alias("host"), F.explode("_own").alias("path"))
+    best = own.join(votes, ["host", "path"]).groupBy("_row").agg(F.min(F.struct(-F.col("votes"), "path")).getField("path").alias("path"))
+    looked = rest.join(best, "_row", "left").select(
+        *map(column, kept), "_html", F.array("path").alias("_paths"), F.lit(False).alias("_more"), "_host"
+    )
+    return decided.unionByName(looked.mapInArrow(run, schema))

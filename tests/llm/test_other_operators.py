@@ -112,6 +112,18 @@ def test_split_articles_are_whole(page, text):
     assert html_consensus.main_text(html, sorted(own, key=lambda p: -own[p])) == text.format(short, long)
 
 
+def test_pages_of_a_host_with_many_templates(spark):
+    pages = []
+    for t in range(40):
+        for i in range(3 if t else 40):
+            body, talk = (20, 90) if i == 2 else (90, 20)  # on every third page the talk outweighs the story
+            html = f"<div class=t{chr(97 + t % 26)}{'x' * (t // 26)}><div class=story><p>{'s' * body}</p></div><div class=talk><p>{'t' * talk}</p></div></div>"
+            pages.append((len(pages), "http://h.org/1", html))
+    table = spark.createDataFrame([*pages, pages[5]], "page_id long, url string, html string").repartition(3)
+    rows = html_consensus.extract_text(table).collect()
+    assert len(rows) == len(pages) + 1 and all(set(row.text) == {"s"} for row in rows)
+
+
 def plain_repeats(docs, length):
     texts = [(text or "").encode() for _, text in docs]
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
