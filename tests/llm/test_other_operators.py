@@ -222,6 +222,17 @@ def test_planted_passages_are_found(spark):
     assert chaining.shared_passages(empty_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rare", [chaining.RARE, 4])
+def test_passages_whose_parts_stand_elsewhere(spark, rare):
+    rng = random.Random(1)  # all common seeds of 10 and 20 stand in 1-4 and in 91-94 too
+    passage = words(rng, 60).split()
+    docs = [(i, words(rng, 50) + " " + " ".join(passage) + " " + words(rng, 50)) for i in (10, 20)]
+    for i, start in enumerate((0, 14, 28, 42)):  # parts of 18 words, in smaller and in larger ids
+        docs += [(first + i, words(rng, 40) + " " + " ".join(passage[start : start + 18]) + " " + words(rng, 40)) for first in (1, 91)]
+    rows = chaining.shared_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), rare=rare).collect()
+    assert [(r.doc_id, r.other_id) for r in rows] == [(20, 10)] and rows[0].n_equal >= 60
+
+
 def test_token_totals(spark, folder):
     totals = token_counts.TokenTotals(spark, folder)
     schema = "source string, lang string, version string, tokens long, other int"
