@@ -1,6 +1,7 @@
 """Search, URLs, pages, repeats, passages, totals and the pipeline against plain versions."""
 
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter
@@ -233,6 +234,27 @@ def test_passages_whose_parts_stand_elsewhere(spark, rare):
     assert [(r.doc_id, r.other_id) for r in rows] == [(20, 10)] and rows[0].n_equal >= 60
 
 
+@pytest.mark.parametrize("n, share", [(30, 0.8), (30, 0.85), (30, 0.9), (60, 0.8)])
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_of_changed_passages(spark, n, share, even):
+    rng, found, trials = random.Random(n), 0, 40
+    for _ in range(trials):
+        own = lambda size: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(size)]
+        first = own(n)
+        second, changes = list(first), int(n * (1 - share) + 1e-9)
+        for i in [int((i + 0.5) * n / changes) for i in range(changes)] if even else rng.sample(range(1, n - 1), changes):
+            second[i] = own(1)[0]
+        texts = [" ".join(own(60) + one + own(50)).encode() for one in (first, second)]
+        data, places = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        settings = inspect.signature(chaining.shared_passages).parameters
+        k, window = settings["k"].default, settings["window"].default
+        (one, at), (other, there) = chaining._seeds(data, places, k, window)
+        points = [(int(x), int(y)) for h, x in zip(one, at) for g, y in zip(other, there) if h == g]
+        passages = [p for c in chaining.chains(points, k) if len(c) > 1 for p in chaining.align_chain(*(t.split() for t in texts), c, k)]
+        found += any(min(x2 - x1, y2 - y1) >= n and same >= share * max(x2 - x1, y2 - y1) for x1, x2, y1, y2, same in passages)
+    assert found >= 0.95 * trials
+
+
 def test_token_totals(spark, folder):
     totals = token_counts.TokenTotals(spark, folder)
     schema = "source string, lang string, version string, tokens long, other int"
