@@ -91,8 +91,9 @@ def cutoff_key(keys: DataFrame, n: int) -> Any:
     while n > TOP_N_KEYS:
         sample = keys.orderBy(F.xxhash64("key"), "key").limit(_PIVOTS).collect()
         pivots = sorted({row.key for row in sample})
-        if len(pivots) < len(sample):
-            raise RewriteError("A limit needs unique keys")
+        if len(pivots) < len(sample):  # a key that repeats; beyond the first n it may
+            sample = keys.distinct().orderBy(F.xxhash64("key"), "key").limit(_PIVOTS).collect()
+            pivots = sorted(row.key for row in sample)
         if not pivots:
             return None
         above = sum((F.col("key") > F.lit(p)).cast("int") for p in pivots)
@@ -105,6 +106,10 @@ def cutoff_key(keys: DataFrame, n: int) -> Any:
             n -= counts.get(number, 0)
         if chosen is None:
             return None
+        if len(pivots) < _PIVOTS and chosen < len(pivots):
+            if counts[chosen] > 1:  # all keys are pivots, and the cut-off itself repeats
+                raise RewriteError("A limit needs unique keys")
+            return pivots[chosen]
         if chosen > 0:
             keys = keys.where(F.col("key") > F.lit(pivots[chosen - 1]))
         if chosen < len(pivots):

@@ -143,3 +143,17 @@ def test_idempotency_report(spark, customers):
     assert passes[3] == passes[4] == 0
     seeded = customers.where("email <> ''")
     assert [r.rows_updated for r in rw.idempotency_report(seeded, CONTACTS).orderBy("pass_no").collect()][1] == 0
+
+
+@pytest.mark.parametrize("top", [10, 1000])
+def test_limit_takes_keys_that_repeat_beyond_it(spark, monkeypatch, top):
+    monkeypatch.setattr(rw, "TOP_N_KEYS", top)
+    keys = [*range(60), *[100 + i % 5 for i in range(500)], *[200] * 300]
+    table = spark.createDataFrame([(k,) for k in keys], "key long")
+    assert rw.cutoff_key(table, 60) == 59 and rw.cutoff_key(table, 900) is None
+    rows = spark.createDataFrame([(k, "a@b.co") for k in keys], "id long, email string")
+    done = rw.tokenize(rows, ["email"], limit=60, key="id").where("email = 'a@b.co'")
+    assert done.count() == len(keys) - 60
+    for limit in (100, 700):
+        with pytest.raises(rw.RewriteError):
+            rw.tokenize(rows, ["email"], limit=limit, key="id").count()
