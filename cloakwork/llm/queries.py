@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import local_rows, workspace
 from . import (
-    ann_forest, bpe, chaining, decontaminate, html_consensus, line_crf, ngram_join, suffix_dedup, token_counts, url_filter,
+    ann_forest, bpe, chaining, decontaminate, html_consensus, line_crf, ngram_join, packing, ranked_search, suffix_dedup,
+    token_counts, url_filter, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +148,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the principal components of the distinct ones, in units of their deviation."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened_rows(rows, whitening.fit_whitening(rows))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in pieces, and the sequence and place of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ann_forest": op1_ann_forest,
     "op2_bpe": op2_bpe,
@@ -158,6 +177,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_crf": op8_line_crf,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whitening": op11_whitening,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,4 +196,31 @@ FROM d WHERE NOT toxic GROUP BY ALL
 UNION ALL
 SELECT source, lang, 'letters' AS version, count(*) AS n_docs, CAST(sum(n_letters) AS BIGINT) AS n_tokens
 FROM d GROUP BY ALL""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d WHERE len(words) > 0),
+p AS (
+  SELECT r, doc_id, len(words) AS n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, words, unnest(words) AS term FROM d) GROUP BY ALL),
+i AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM p, s WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs),
+x AS (
+  SELECT item_id, r, doc_id,
+    CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+WHERE rank <= 20""",
 }
