@@ -199,7 +199,7 @@ def _rewrite_table(
         return rewrite(rows.observe(counters[-1], *metrics(columns, **options)), columns, **options)
 
     output = tables.write(
-        Rewrite(dataset.ref, run_id, df, changed, after, [config.key, *columns])
+        Rewrite(dataset.ref, run_id, df, changed, after, [config.key, *columns], config.limit is not None)
     )
     counts = {"rows_updated": 0, "rows_skipped": 0, "rows_remaining": remaining}
     for counter in counters:

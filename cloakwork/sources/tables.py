@@ -35,6 +35,7 @@ class Rewrite:
     changed: Column
     after: Callable[[DataFrame], DataFrame]
     key_and_targets: list[str]
+    limited: bool = False
 
 
 class Tables(Protocol):
@@ -49,18 +50,21 @@ def read_parquet(spark: SparkSession, path: str, parts: list[str] | None = None)
     """A parquet table with the columns of all its files and partition values as they are written.
 
     One file's footer does not stand for the others: schemas are merged, and types that do not go
-    together are an error. Partition columns (``parts``, or those a file's path shows) are strings,
-    so that ``00`` is not read as 0.
+    together are an error. Partition columns (``parts``, or those that Spark finds in folder names
+    below ``path``) are strings, so that ``00`` is not read as 0.
     """
     found = spark.read.option("mergeSchema", "true").parquet(path)
-    if parts is None:
-        one = found.select(F.input_file_name().alias("file")).first()
-        folders = one.file.split("/")[:-1] if one else []
-        parts = [f.split("=", 1)[0] for f in folders if "=" in f]
+    parts = partition_columns(found) if parts is None else parts
     fields = [T.StructField(f.name, T.StringType()) if f.name in parts else f for f in found.schema.fields]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def partition_columns(df: DataFrame) -> list[str]:
+    """Columns of a table of files that Spark takes from folder names."""
+    leaf = df._jdf.queryExecution().analyzed().collectLeaves().head()
+    return list(leaf.relation().partitionSchema().fieldNames())
+
+
 @dataclass(frozen=True)
 class ParquetTables:
     """Folders ``source/<database>/<schema>/<table>``; rewrites go to ``target/.../<run_id>``.
@@ -112,7 +116,7 @@ class PartitionedTables:
         path = f"{self.root}/{_folder(ref)}"
         listed = touched.toLocalIterator()
         while wave := list(islice(listed, self.wave)):
-            part = rows.where(reduce(or_, [_equal(parts, values) for values in wave]))
+            part = rows.where(reduce(or_, [equal(parts, values) for values in wave]))
             rewrite.after(part).write.mode("overwrite").partitionBy(*parts).option(
                 "partitionOverwriteMode", "dynamic"
             ).parquet(path)
@@ -166,7 +170,8 @@ def _folder(ref: Row) -> str:
     return f"{ref.database}/{ref.schema_name}/{ref.table_name}"
 
 
-def _equal(columns: list[str], values: Row) -> Column:
+def equal(columns: list[str], values: Row) -> Column:
+    """Condition that columns have the values of a row, NULLs included."""
     return reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, values)])
 
 
