@@ -7,16 +7,21 @@ from .operators.detect import Rules, detect
 from .operators.rewrite import candidates, idempotency_report, remaining_plaintext, run_metrics, tokenize
 from .plans.cycle import RunConfig, run_cycle
 from .session import local_session, workspace
+from .sources.audit import AuditLog
+from .sources.published import FileTables, PublishedTables, remove_retired
 from .sources.tables import CatalogTables, DataSourceTables, ParquetTables, PartitionedTables
 from .streaming.requests import RequestLoop
 from .streaming.rows import tokenize_stream
 
 __all__ = [
+    "AuditLog",
     "Catalog",
     "CatalogTables",
     "DataSourceTables",
+    "FileTables",
     "ParquetTables",
     "PartitionedTables",
+    "PublishedTables",
     "RequestLoop",
     "Rules",
     "RunConfig",
@@ -28,6 +33,7 @@ __all__ = [
     "register_mode",
     "register_sql_functions",
     "remaining_plaintext",
+    "remove_retired",
     "run_cycle",
     "run_metrics",
     "tokenize",

@@ -35,22 +35,18 @@ def success_message(columns: Column, rows_updated: Column, rows_skipped: Column)
     )
 
 
-def status_json() -> Column:
-    """Status row (``STATUS_SCHEMA``, timestamps as such) as JSON text, NULLs written out."""
-    return F.to_json(
-        F.struct(
-            F.col("run_id"),
-            iso_timestamp(F.col("started_at")).alias("started_at"),
-            iso_timestamp(F.col("ended_at")).alias("ended_at"),
-            F.col("platform"),
-            F.col("columns"),
-            F.col("rows_updated"),
-            F.col("rows_skipped"),
-            F.col("status"),
-            F.col("message"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
+def status_json(prefix: str = "") -> Column:
+    """Status row (``STATUS_SCHEMA``, timestamps as such) as JSON text, NULLs written out.
+
+    The columns of the row may carry a ``prefix``.
+    """
+
+    def cell(name: str) -> Column:
+        value = F.col(prefix + name)
+        return (iso_timestamp(value) if name in ("started_at", "ended_at") else value).alias(name)
+
+    names = [field.split()[0] for field in STATUS_SCHEMA.split(", ")]
+    return F.to_json(F.struct(*map(cell, names)), {"ignoreNullFields": "false"})
 
 
 def upsert_property(properties: Column, key: str, value: Column) -> Column:

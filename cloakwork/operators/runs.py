@@ -23,7 +23,7 @@ def latest_runs(audit: DataFrame, *, order: list[str] | None = None) -> DataFram
     by = order or ["ended_at", "run_id"]
     rest = [c for c in audit.columns if c != "urn"]
     last = F.max_by(F.struct(*rest), F.struct(*by))
-    return audit.groupBy("urn").agg(last.alias("last")).select("urn", "last.*")
+    return audit.where("urn IS NOT NULL").groupBy("urn").agg(last.alias("last")).select("urn", "last.*")
 
 
 def run_outcomes(asked: DataFrame, runs: DataFrame, *, on: list[str] | None = None) -> DataFrame:
@@ -43,6 +43,18 @@ def current_outputs(audit: DataFrame) -> DataFrame:
     return latest_runs(audit.where(F.col("output").isNotNull())).select("urn", "output")
 
 
+def record_runs(datasets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Catalog datasets with the status of their run, failed ones too, among their ``properties``.
+
+    ``runs`` has at most one row for each dataset; others keep the status of an earlier run.
+    """
+    names = [c for c in runs.columns if c != "urn"]
+    one = runs.where("urn IS NOT NULL").select("urn", *[F.col(c).alias(f"_run_{c}") for c in names])
+    recorded = upsert_property(F.col("properties"), STATUS_PROPERTY, status_json("_run_"))
+    new = F.when(F.col("_run_run_id").isNull(), F.col("properties")).otherwise(recorded)
+    return datasets.join(one, "urn", "left").withColumn("properties", new).select(*datasets.columns)
+
+
 def with_status_property(df: DataFrame, properties: Column) -> DataFrame:
     """Run rows with the dataset's property map, the run's status recorded in it."""
     recorded = upsert_property(properties, STATUS_PROPERTY, status_json())

@@ -66,28 +66,33 @@ def requested(state: DataFrame) -> DataFrame:
     return whole.unionByName(parts.join(whole.select("urn"), "urn", "left_anti"))
 
 
-def with_tags(catalog: Catalog, state: DataFrame) -> Catalog:
+def with_tags(catalog: Catalog, state: DataFrame, removed: DataFrame | None = None) -> Catalog:
     """The catalog with the tags of a tag state added to datasets and fields.
 
-    Tags of fields the catalog does not have are ignored.
+    ``removed`` has tags ``urn, field_path, tag`` that are no longer in force though the catalog may still
+    name them. Tags of fields the catalog does not have are ignored.
     """
+    rows = state.select(*ENTITY, F.lit(True).alias("on"))
+    if removed is not None:
+        rows = rows.unionByName(removed.select(*ENTITY, F.lit(False).alias("on")))
     # One entity's distinct tags, at most the vocabulary in size.
-    sets = state.groupBy("urn", "field_path").agg(F.collect_set("tag").alias("more"))
+    some = [F.collect_set(F.when(on, F.col("tag"))).alias(name) for name, on in (("more", F.col("on")), ("less", ~F.col("on")))]
+    sets = rows.groupBy("urn", "field_path").agg(*some)
 
-    def union(tags: str) -> Column:
-        both = F.array_union(F.coalesce(tags, no_tags()), F.coalesce("more", no_tags()))
-        return F.array_sort(both)
+    def changed(tags: str) -> Column:
+        kept = F.array_except(F.coalesce(tags, no_tags()), F.coalesce("less", no_tags()))
+        return F.array_sort(F.array_union(kept, F.coalesce("more", no_tags())))
 
     datasets = (
         catalog.datasets.join(
-            sets.where("field_path = ''").select("urn", "more"), "urn", "left"
+            sets.where("field_path = ''").select("urn", "more", "less"), "urn", "left"
         )
-        .withColumn("global_tags", union("global_tags"))
+        .withColumn("global_tags", changed("global_tags"))
         .select(*catalog.datasets.columns)
     )
     fields = (
         catalog.fields.join(sets.where("field_path <> ''"), ["urn", "field_path"], "left")
-        .withColumn("tags", union("tags"))
+        .withColumn("tags", changed("tags"))
         .select(*catalog.fields.columns)
     )
     return Catalog(datasets, fields)

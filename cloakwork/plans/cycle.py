@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from functools import partial
+from itertools import islice
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -30,13 +30,18 @@ from ..operators.rewrite import (
     metrics,
     rewrite,
 )
-from ..operators.runs import AUDIT_SCHEMA, current_outputs
+from ..operators.runs import current_outputs, record_runs
 from ..operators.tags import apply_outcomes
 from ..session import local_rows, stored, workspace
+from ..sources.audit import AuditLog
 from ..sources.tables import Rewrite, Tables, UnsupportedPlatform, tables_of
 from .work import by_dataset, finished
 
 
+#: Runs that are noted by one file before they begin. The next ones wait for the last of them.
+JOURNAL_WAVE = 500
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """How runs are done. ``limit=None`` rewrites whole tables.
@@ -79,7 +84,7 @@ def decide(
     requests = stored(run_requests(usable, catalog.fields), "requests")
     asked = requests.select("urn").distinct()
     fields = catalog.fields.join(asked, "urn", "left_semi")
-    outputs = current_outputs(read_table(spark, config.audit, AUDIT_SCHEMA))
+    outputs = current_outputs(AuditLog(spark, config.audit).rows())
     places = usable.select("urn", "ref").join(outputs, "urn", "left")
     if config.check_values and profile is None:
         profile = profile_datasets(spark, fields, places, config)
@@ -129,25 +134,40 @@ def profile_datasets(
 def run_cycle(
     spark: SparkSession, catalog: Catalog, config: RunConfig, *, profile: DataFrame | None = None
 ) -> CycleResult:
-    """Run everything the catalog asks for. A dataset that fails does not stop the others."""
+    """Run everything the catalog asks for. A dataset that fails does not stop the others.
+
+    Runs that an earlier cycle has begun and not ended are recorded first. The catalog of the result has
+    the tags after the runs, and every run's status among its dataset's properties.
+    """
     cycle = uuid.uuid4().hex
+    log = AuditLog(spark, config.audit)
+    log.recover()
     decisions, rejected = decide(spark, catalog, config, profile)
-    recorded = f"{config.audit}/cycle={cycle}"
-    audit = read_table(spark, recorded, AUDIT_SCHEMA)
-    run = partial(run_table, spark, config)
-    for rows in finished(run, by_dataset(decisions), config.parallel_tables):
-        local_rows(spark, rows, AUDIT_SCHEMA).write.mode("append").parquet(recorded)
-    audit = spark.read.schema(AUDIT_SCHEMA).parquet(recorded)
+    work = by_dataset(decisions)
+    while wave := [(str(uuid.uuid4()), *one) for one in islice(work, JOURNAL_WAVE)]:
+        now = datetime.now(timezone.utc)
+        log.begin(cycle, [(run_id, d.urn, now, d.ref.platform, columns) for run_id, d, columns in wave])
+        ids = {dataset.urn: run_id for run_id, dataset, _ in wave}
+
+        def run(dataset: Row, columns: list[str]) -> tuple:
+            return run_table(spark, config, dataset, columns, run_id=ids[dataset.urn])
+
+        for rows in finished(run, ((dataset, columns) for _, dataset, columns in wave), config.parallel_tables):
+            log.end(cycle, rows)
+    log.close(cycle)
+    audit = log.of_cycle(cycle)
     targets = decisions.select("urn", "column_name")
     after = apply_outcomes(catalog, audit.select("urn", "status"), targets)
+    if "properties" in after.datasets.columns:
+        after = Catalog(record_runs(after.datasets, audit), after.fields)
     return CycleResult(cycle, targets, audit, after, rejected)
 
 
 def run_table(
-    spark: SparkSession, config: RunConfig, dataset: Row, columns: list[str]
+    spark: SparkSession, config: RunConfig, dataset: Row, columns: list[str], *, run_id: str | None = None
 ) -> tuple:
     """Run one dataset and return its audit row."""
-    run_id = str(uuid.uuid4())
+    run_id = run_id or str(uuid.uuid4())
     started = datetime.now(timezone.utc)
     counts = {"rows_updated": 0, "rows_skipped": 0, "rows_remaining": 0}
     output = None
@@ -156,7 +176,7 @@ def run_table(
             counts, output = _rewrite_table(spark, dataset, columns, config, run_id)
         status, message = SUCCESS, _message(columns, counts)
     except Exception as error:
-        status, message = FAILED, _safe_message(error)
+        status, message = FAILED, safe_message(error)
     return (
         run_id,
         dataset.urn,
@@ -214,7 +234,7 @@ def _message(columns: list[str], counts: dict[str, int]) -> str:
     return SUCCESS_MESSAGE % (", ".join(columns), counts["rows_updated"], counts["rows_skipped"])
 
 
-def _safe_message(error: Exception) -> str:
+def safe_message(error: Exception) -> str:
     """Text for the audit. Messages of Spark errors may quote cell values, so only their kind."""
     if isinstance(error, (RewriteError, UnsupportedPlatform, NotImplementedError)):
         return str(error)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from contextvars import copy_context
 from itertools import groupby
 from typing import Any
 
@@ -25,7 +26,7 @@ def finished(
     with ThreadPoolExecutor(parallel) as pool:
         running = set()
         for dataset, columns in work:
-            running.add(pool.submit(run, dataset, columns))
+            running.add(pool.submit(copy_context().run, run, dataset, columns))
             if len(running) >= 2 * parallel:
                 done, running = wait(running, return_when=FIRST_COMPLETED)
                 yield [task.result() for task in done]

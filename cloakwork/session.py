@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,7 @@ def local_session(
 
 
 _local_roots: dict[str, str] = {}
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
@@ -49,7 +53,28 @@ def workspace(spark: SparkSession, purpose: str) -> str:
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="cloakwork-")
         root = _local_roots[app]
-    return f"{root.rstrip('/')}/cloakwork/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/cloakwork/{purpose}-{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables that are written inside, once nothing reads them any more.
+
+    For loops: what a step leaves behind would grow with every turn. Only this thread's tables count,
+    and those of threads that were given a copy of its context.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

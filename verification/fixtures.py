@@ -47,6 +47,15 @@ VIEWS = {
             WHEN 12 THEN 'ünï€😀 ' || text
             ELSE text END AS v
         FROM @documents""",
+    # shipments in parts of which few hold plaintext; one part has no name
+    "fx_shipments": """
+        SELECT l_orderkey * 10 + l_linenumber AS id,
+          CASE WHEN l_partkey % 20 IN (3, 19) OR l_partkey % 20 = 7 AND l_linenumber = 2
+               THEN 'order' || CAST(l_orderkey AS string) || '@example.com'
+               ELSE @TOK(l_linestatus) END AS email,
+          CASE WHEN l_linenumber > 3 THEN l_returnflag END AS note,
+          CASE WHEN l_partkey % 20 < 19 THEN lpad(CAST(l_partkey % 20 AS string), 2, '0') END AS hour
+        FROM @lineitem""",
     "fx_catalog": """
         SELECT k, platform,
           CASE WHEN k % 50 = 49 THEN 'urn:li:chart:' || CAST(k AS string)

@@ -386,6 +386,30 @@ SELECT 'urn:li:dataset:(urn:li:dataPlatform:' || platform || ',main.public.' ||
        ELSE 'Tokenised columns ' || replace(columns, ',', ', ') || '; updated '
             || CAST(rows_updated AS VARCHAR) || ' rows, skipped 0.' END AS message
 FROM runs""",
+    "process_partitioned": f"SELECT id, {needed('email')} AS email, note, hour FROM @fx_shipments",
+    "published_tables": f"""
+SELECT 'customers' AS name, id, {needed('email')} AS email, {needed('phone')} AS phone FROM @fx_customers
+UNION ALL SELECT 'shipments' AS name, id, {needed('email')} AS email, hour AS phone FROM @fx_shipments""",
+    "cycle_properties": f"""
+WITH counts AS (SELECT count(*) AS n FROM @fx_customers WHERE {ROW}),
+  runs AS (
+  SELECT 'customers' AS name, 'SUCCESS' AS status, n AS rows_updated, 'email,phone' AS columns,
+    'Tokenised columns email, phone; updated ' || CAST(n AS VARCHAR) || ' rows, skipped 0.' AS message,
+    'urn:li:tag:tokenize/done,urn:li:tag:tokenize/status:SUCCESS' AS tags FROM counts
+  UNION ALL SELECT 'numbers', 'FAILED', 0, 'phone', 'Only string columns can be tokenized: phone is bigint',
+    'urn:li:tag:tokenize/run,urn:li:tag:tokenize/status:FAILED' FROM counts
+  UNION ALL SELECT 'parts', NULL, -1, NULL, NULL, '' FROM counts)
+SELECT 'urn:li:dataset:(urn:li:dataPlatform:postgres,main.public.' || name || ',PROD)' AS urn, tags, status,
+  CAST(rows_updated AS BIGINT) AS rows_updated, columns, message
+FROM runs""",
+    "stream_runs": """
+SELECT 'urn:li:dataset:(urn:li:dataPlatform:postgres,main.public.' || name || ',PROD)' AS urn, field_path,
+  'urn:li:tag:' || tag AS tag
+FROM (VALUES ('customers', '', 'tokenize/done'), ('customers', '', 'tokenize/status:SUCCESS'),
+  ('customers', 'email', 'tokenized'), ('customers', 'phone', 'tokenized'),
+  ('numbers', '', 'tokenize/run'), ('numbers', '', 'tokenize/status:FAILED'),
+  ('parts', '', 'tokenize/done'), ('parts', '', 'tokenize/status:SUCCESS')) t(name, field_path, tag)
+WHERE EXISTS (SELECT 1 FROM @customer)""",
     "stream_tokenize": f"SELECT event_id, event_type, {needed('props')} AS props FROM @events",
     "stream_requests": STATE,
 }

@@ -30,9 +30,10 @@ from cloakwork.operators import rewrite as rw
 from cloakwork.operators import runs, tags
 from cloakwork.plans.cycle import RunConfig, run_cycle
 from cloakwork.session import local_rows, stored, workspace
-from cloakwork.sources.crawl import crawl_parquet, to_catalog
+from cloakwork.sources.crawl import crawl_database, crawl_parquet, to_catalog
 from cloakwork.sources.seed import contacts
-from cloakwork.sources.tables import ParquetTables
+from cloakwork.sources.published import FileTables, PublishedTables
+from cloakwork.sources.tables import ParquetTables, read_parquet
 from cloakwork.streaming.requests import RequestLoop
 from cloakwork.streaming.rows import tokenize_stream, write_files
 
@@ -463,6 +464,67 @@ def process_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dataset(platform: str, name: str) -> str:
+    return f"urn:li:dataset:(urn:li:dataPlatform:{platform},main.{name},PROD)"
+
+
+def _asking(spark: SparkSession, crawled: DataFrame, *urns: str) -> cat.Catalog:
+    """The catalog of crawled tables with run tags."""
+    state = local_rows(spark, [(u, "", RUN_TAG) for u in urns], "urn string, field_path string, tag string")
+    return _written(tags.with_tags(to_catalog(crawled), state))
+
+
+def process_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table with evolved columns after a cycle that replaced its files with plaintext."""
+    root = workspace(spark, "process-partitioned")
+    folder = f"{root}/main/public/shipments"
+    rows = view(spark, sf_dir, "fx_shipments")
+    for part in (rows.where("note IS NULL").drop("note"), rows.where("note IS NOT NULL")):
+        part.write.mode("append").partitionBy("hour").parquet(folder)
+    crawled = crawl_parquet(spark, f"{root}/main/public", platform="postgres", database="main", schema_name="public")
+    tables = FileTables(root, {"public.shipments": ["hour"]})
+    catalog = _asking(spark, crawled, _dataset("postgres", "public.shipments"))
+    run_cycle(spark, catalog, RunConfig({"postgres": tables}, f"{root}/audit"))
+    return read_parquet(spark, folder, ["hour"]).select("id", "email", "note", "hour")
+
+
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the session's catalog, read by their own names after a cycle."""
+    root = workspace(spark, "published")
+    database = "published_" + root.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/tables'")
+    _customers(spark, sf_dir).write.saveAsTable(f"{database}.customers")
+    view(spark, sf_dir, "fx_shipments").write.partitionBy("hour").saveAsTable(f"{database}.shipments")
+    crawled = crawl_database(spark, database, platform="postgres").withColumn("database", F.lit("main"))
+    catalog = _asking(spark, crawled, *[_dataset("postgres", f"{database}.{n}") for n in ("customers", "shipments")])
+    run_cycle(spark, catalog, RunConfig({"postgres": PublishedTables(f"{root}/retired")}, f"{root}/audit"))
+    customers = spark.table(f"{database}.customers").select(F.lit("customers").alias("name"), "id", "email", "phone")
+    shipments = spark.table(f"{database}.shipments").select(F.lit("shipments").alias("name"), "id", "email", F.col("hour").alias("phone"))
+    return customers.unionByName(shipments)
+
+
+def _store(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Crawled tables of which one can be tokenized, one holds nothing to do, and one fails."""
+    folder = f"{root}/main/public"
+    _customers(spark, sf_dir).write.parquet(f"{folder}/customers")
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name").write.parquet(f"{folder}/parts")
+    orders = table(spark, sf_dir, "orders")
+    orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("phone")).write.parquet(f"{folder}/numbers")
+    return crawl_parquet(spark, folder, platform="postgres", database="main", schema_name="public")
+
+
+def cycle_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset's status property after a cycle; one dataset was not asked for."""
+    root = workspace(spark, "cycle-properties")
+    crawled = _store(spark, sf_dir, root)
+    catalog = _asking(spark, crawled, *[_dataset("postgres", f"public.{n}") for n in ("customers", "numbers")])
+    result = run_cycle(spark, catalog, RunConfig({"postgres": FileTables(root)}, f"{root}/audit"))
+    run = parse_status(F.col("properties"))
+    rows = result.catalog.datasets.select("urn", csv(F.col("global_tags")).alias("tags"), run.alias("run"))
+    updated = F.coalesce("run.rows_updated", F.lit(-1).cast("long")).alias("rows_updated")
+    return rows.select("urn", "tags", "run.status", updated, F.array_join("run.columns", ",").alias("columns"), "run.message")
+
+
 # --- streaming ------------------------------------------------------------------------------------
 
 
@@ -492,6 +554,35 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop.state()
 
 
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags after streamed requests: runs of every table, a failed one tried again, and idle batches."""
+    root = workspace(spark, "stream-runs")
+    crawled = stored(_store(spark, sf_dir, root), "crawled")
+    schema = "urn string, field_path string, tag string, op string, seq bigint"
+    # every customer's event asks for the customers, or takes that back; the last word is to run
+    events = table(spark, sf_dir, "events").select(
+        F.lit(_dataset("postgres", "public.customers")).alias("urn"),
+        F.lit("").alias("field_path"),
+        F.lit(RUN_TAG).alias("tag"),
+        F.when(F.col("event_type") == "error", F.lit("remove")).otherwise(F.lit("add")).alias("op"),
+        F.col("event_id").alias("seq"),
+    )
+    last = (1 << 40, RUN_TAG)
+    more = [(_dataset("postgres", f"public.{n}"), "", last[1], "add", last[0]) for n in ("customers", "numbers", "parts")]
+    events.unionByName(local_rows(spark, more, schema)).write.parquet(f"{root}/changes")
+    loop = RequestLoop(
+        spark,
+        f"{root}/state",
+        catalog=_written(to_catalog(crawled)),
+        config=RunConfig({"postgres": FileTables(root)}, f"{root}/audit"),
+    )
+    changes = spark.readStream.schema(schema).parquet(f"{root}/changes")
+    loop.start(changes, f"{root}/checkpoint").awaitTermination()
+    for batch in (1, 2):
+        loop.process_batch(local_rows(spark, [], schema), batch)
+    return loop.state()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -540,7 +631,11 @@ QUERIES = {
         status_properties,
         run_messages,
         process_runs,
+        process_partitioned,
+        published_tables,
+        cycle_properties,
         stream_tokenize,
         stream_requests,
+        stream_runs,
     )
 }
