@@ -2,6 +2,7 @@
 
 import hashlib
 import inspect
+import pathlib
 import random
 import re
 from collections import Counter
@@ -273,6 +274,35 @@ def test_token_totals(spark, folder):
         totals.apply(None, token_counts.inserts(first))
 
 
+def test_two_writers_of_token_totals(spark, folder, monkeypatch):
+    schema = "source string, lang string, version string, tokens long"
+    one = token_counts.inserts(spark.createDataFrame([("a", "en", "1", 5)], schema))
+    two = token_counts.inserts(spark.createDataFrame([("a", "en", "1", 7)], schema))
+    first, second = (token_counts.TokenTotals(spark, folder) for _ in range(2))
+    take, late = token_counts.TokenTotals._take, []
+
+    def other_first(self, attempt, number):
+        if self is first and not late:
+            late.append(second.apply("b2", two))  # both saw the same state
+        return take(self, attempt, number)
+
+    monkeypatch.setattr(token_counts.TokenTotals, "_take", other_first)
+    assert first.apply("b1", one) and late == [True]
+    assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "1", 2, 12)]
+    assert not first.apply("b2", two) and not second.apply("b1", one)
+    assert not list(pathlib.Path(folder).glob("attempt-*"))
+
+
+def test_ids_of_many_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(token_counts, "TOGETHER", 3)
+    totals = token_counts.TokenTotals(spark, folder)
+    row = spark.createDataFrame([("a", "en", "1", 1)], "source string, lang string, version string, tokens long")
+    for i in range(8):
+        assert totals.apply(f"b{i}", token_counts.inserts(row))
+    assert not any(totals.apply(f"b{i}", token_counts.inserts(row)) for i in range(8))
+    assert totals.totals().first().n_tokens == 8
+
+
 def test_token_totals_equal_sql(spark, small):
     ours = queries.op9_token_counts(spark, small).toPandas()
     theirs = duckdb_over(small).execute(queries.ORACLE_SQL["op9_token_counts"]).df()
