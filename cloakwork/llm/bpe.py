@@ -30,9 +30,12 @@ from .common import STEP_BYTES, add_columns
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Characters up to here get a pattern of the standard library, which is faster than Unicode classes.
 _NEAR = 0x24F
-#: Encoded pre-tokens that a worker remembers, twice over, before it forgets the older half. Results
-#: do not depend on it.
-_REMEMBERED = 250_000
+#: Bytes, roughly, of encoded pre-tokens that a worker remembers, twice over, before it forgets the older
+#: half; longer pre-tokens are not remembered. Results do not depend on it.
+_REMEMBERED = 24 << 20
+_LONGEST_REMEMBERED = 64
+#: What a remembered pre-token takes besides its bytes.
+_ENTRY = 250
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -190,6 +193,7 @@ class Encoder:
         self.far = re.compile(f"[^\\x00-{chr(_NEAR)}]").search
         self.recent: dict[bytes, list[int]] = {}
         self.older: dict[bytes, list[int]] = {}
+        self.size = 0
 
     def pieces(self, text: str) -> list[str]:
         return (self.pattern if self.far(text) else self.near).findall(text)
@@ -197,17 +201,21 @@ class Encoder:
     def lookup(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of distinct, non-empty pre-tokens."""
         ranks = self.at[self.table.places(byte_hashes(*_joined(pieces)))].tolist()
-        if len(self.recent) > _REMEMBERED:
-            self.recent, self.older = {}, self.recent
         tokens, recent, older, found = self.tokens, self.recent, self.older, []
         for piece, r in zip(pieces, ranks):
             if tokens[r] == piece:
                 found.append([r])
-            else:
-                ids = recent.get(piece)
-                if ids is None:
-                    ids = recent[piece] = older.get(piece) or merge(piece, self.ranks)
-                found.append(ids)
+                continue
+            ids = recent.get(piece)
+            if ids is None:
+                ids = older.get(piece) or merge(piece, self.ranks)
+                if len(piece) <= _LONGEST_REMEMBERED:
+                    recent[piece] = ids
+                    self.size += len(piece) + _ENTRY
+                    if self.size > _REMEMBERED:
+                        older, recent, self.size = recent, {}, 0
+            found.append(ids)
+        self.recent, self.older = recent, older
         return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,10 +246,13 @@ def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) // 4 - 1, [None, offsets, pa.py_buffer(data)])
 
 
-def encode_texts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", drop: bool = False) -> DataFrame:
+def encode_texts(
+    df: DataFrame, vocabulary: Vocabulary, text: str = "text", drop: bool = False, decode: bool = False
+) -> DataFrame:
     """``df`` with ``ids``: the token ids as little-endian unsigned 32-bit integers, one binary value.
 
-    ``drop`` leaves the texts out of the result.
+    ``drop`` leaves the texts out of the result. ``decode`` adds ``decoded`` as :func:`decode_ids` does,
+    in the same pass.
     """
     vocabulary.hashed  # built once, here; workers get it with the vocabulary
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -251,10 +262,18 @@ def encode_texts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", drop
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(sent.value)
-        ids, places = _encoders[key].encode(texts.to_pylist())
-        return [_binary(ids.astype("<u4").tobytes(), places * 4)]
+        encoder = _encoders[key]
+        ids, places = encoder.encode(texts.to_pylist())
+        packed = _binary(ids.astype("<u4").tobytes(), places * 4)
+        return [packed, _decoded(packed, encoder.tokens)] if decode else [packed]
+
+    names = ["ids", "decoded"] if decode else ["ids"]
+    return add_columns(df, text, [T.StructField(n, T.BinaryType()) for n in names], compute, STEP_BYTES, drop)
+
 
-    return add_columns(df, text, [T.StructField("ids", T.BinaryType())], compute, STEP_BYTES * 2, drop)
+def _decoded(packed: pa.Array, tokens: list[bytes]) -> pa.Array:
+    numbers = (np.frombuffer(one.as_buffer() or b"", "<u4").tolist() if one.is_valid else [] for one in packed)
+    return pa.array([b"".join([tokens[i] for i in row]) for row in numbers], pa.binary())
 
 
 def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
@@ -265,10 +284,6 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataF
     sent = df.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
     def compute(packed: pa.Array) -> list[pa.Array]:
-        tokens, decoded = sent.value, []
-        for one in packed.to_pylist():
-            numbers = np.frombuffer(one or b"", "<u4").tolist()
-            decoded.append(b"".join([tokens[i] for i in numbers]))
-        return [pa.array(decoded, pa.binary())]
+        return [_decoded(packed, sent.value)]
 
     return add_columns(df, ids, [T.StructField("decoded", T.BinaryType())], compute)

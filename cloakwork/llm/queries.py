@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_rows, workspace
+from ..session import local_rows, stored, workspace
 from . import (
     ann_forest, bpe, chaining, decontaminate, html_consensus, line_crf, ngram_join, packing, ranked_search, suffix_dedup,
     token_counts, url_filter, whitening,
@@ -34,7 +34,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as counts and digests."""
     words = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode_ids(bpe.encode_texts(docs, words, drop=True), words)
+    coded = bpe.encode_texts(docs, words, drop=True, decode=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -108,27 +108,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Version ``words`` counts runs of other than white space, ``letters`` runs of ASCII letters. Toxic
     documents are then deleted; documents of low quality get distinct words for their count. The first
-    two batches are sent twice.
+    and the third batch are sent twice. Texts are counted where they are read; only counts are joined.
     """
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels")
     totals = token_counts.TokenTotals(spark, workspace(spark, "token-counts"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     letters = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", words.alias("words"), F.size(letters).alias("letters"))
+    distinct = F.size(F.array_distinct("words")).alias("distinct")
+    docs = stored(docs.select("doc_id", "source", "lang", F.size("words").alias("words"), distinct, "letters"), "counts")
 
-    def counted(rows: DataFrame, version: str, count: F.Column) -> DataFrame:
-        return rows.select("source", "lang", F.lit(version).alias("version"), count.alias("tokens"))
+    def counted(rows: DataFrame, version: str, count: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("version"), F.col(count).alias("tokens"))
 
     toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     low = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
     low = low.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    first = token_counts.inserts(counted(docs, "words", F.size(words)))
-    gone = token_counts.deletes(counted(toxic, "words", F.size(words)))
-    distinct = counted(low, "words", F.size(F.array_distinct(words)))
+    first = token_counts.inserts(counted(docs, "words", "words"))
+    gone = token_counts.deletes(counted(toxic, "words", "words"))
     totals.apply("load", first)
-    totals.apply("letters", token_counts.inserts(counted(docs, "letters", F.size(letters))))
+    totals.apply("letters", token_counts.inserts(counted(docs, "letters", "letters")))
     totals.apply("toxic", gone)
     totals.apply("load", first)
-    totals.apply("revised", token_counts.revisions(counted(low, "words", F.size(words)), distinct))
+    totals.apply("revised", token_counts.revisions(counted(low, "words", "words"), counted(low, "words", "distinct")))
     totals.apply("toxic", gone)
     return totals.totals()
 
