@@ -49,8 +49,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    words = vocabulary()
-    coded = bpe.decode_ids(bpe.encode_texts(docs, words), words)
+    coded = bpe.encode_texts(docs, vocabulary(), decode=True)
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
     return coded.select(
         "doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
