@@ -32,7 +32,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NEAR = 0x24F
 #: Bytes, roughly, of encoded pre-tokens that a worker remembers, twice over, before it forgets the older
 #: half; longer pre-tokens are not remembered. Results do not depend on it.
-_REMEMBERED = 24 << 20
+_REMEMBERED = 64 << 20
 _LONGEST_REMEMBERED = 64
 #: What a remembered pre-token takes besides its bytes.
 _ENTRY = 250
@@ -268,7 +268,7 @@ def encode_texts(
         return [packed, _decoded(packed, encoder.tokens)] if decode else [packed]
 
     names = ["ids", "decoded"] if decode else ["ids"]
-    return add_columns(df, text, [T.StructField(n, T.BinaryType()) for n in names], compute, STEP_BYTES, drop)
+    return add_columns(df, text, [T.StructField(n, T.BinaryType()) for n in names], compute, STEP_BYTES * 2, drop)
 
 
 def _decoded(packed: pa.Array, tokens: list[bytes]) -> pa.Array:
