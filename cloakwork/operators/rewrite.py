@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from ..functions.names import quoted
 from ..functions.tokens import TokenMode, any_needs_token, needs_token, tokenize_if_needed
+from ..session import stored
 
-# Up to this many keys a top-n runs in one task; beyond it the cut-off is found by counting.
-TOP_N_KEYS = 100_000
-_PIVOTS = 63
+# Keys that one task sorts to find a cut-off; while more are left, their range is narrowed by counting.
+LAST_KEYS = 10_000
+_PIVOTS = 64
 
 
 class RewriteError(ValueError):
@@ -67,7 +68,7 @@ def first_candidates(found: DataFrame, limit: int, *, key: str = "id") -> tuple[
         raise RewriteError("A limit cannot be negative")
     if limit == 0:
         return F.lit(False), found.count()
-    keys = found.select(column(key).alias("key"))
+    keys = stored(found.select(column(key).alias("key")), "candidate-keys")
     last = cutoff_key(keys.where("key IS NOT NULL"), limit)
     picked = F.lit(True) if last is None else F.col("key") <= F.lit(last)
     total, nulls, rows, distinct = keys.agg(
@@ -85,38 +86,43 @@ def first_candidates(found: DataFrame, limit: int, *, key: str = "id") -> tuple[
 def cutoff_key(keys: DataFrame, n: int) -> Any:
     """The n-th smallest value of column ``key``, None if there are fewer.
 
-    For large n the range that holds it is narrowed by counting keys between pivots taken from a
-    hash sample. Any pivots give the exact answer. One round moves at most 64 counts.
+    The range that holds it is narrowed until what is left fits one task, whatever n is. A round takes up
+    to 64 keys of the range as pivots, those with the smallest hash in their bucket, which tasks find and
+    Spark merges, and counts the keys between them. Any pivots give the exact answer; copies of a key
+    count as one for the pivots, so a frequent key does not slow the narrowing down.
     """
-    while n > TOP_N_KEYS:
-        sample = keys.orderBy(F.xxhash64("key"), "key").limit(_PIVOTS).collect()
-        pivots = sorted({row.key for row in sample})
-        if len(pivots) < len(sample):  # a key that repeats; beyond the first n it may
-            sample = keys.distinct().orderBy(F.xxhash64("key"), "key").limit(_PIVOTS).collect()
-            pivots = sorted(row.key for row in sample)
-        if not pivots:
-            return None
+    left = keys.count()
+    if left < n:
+        return None
+    part, n = narrowed(keys, n, left)
+    return part.orderBy("key").limit(n).agg(F.max("key")).first()[0]
+
+
+def narrowed(keys: DataFrame, n: int, left: int) -> tuple[DataFrame, int]:
+    """Part of ``left`` keys that holds the n-th smallest, and its rank there.
+
+    The part has at most ``LAST_KEYS`` rows, or copies of a single key.
+    """
+    turn = 0
+    while left > LAST_KEYS:
+        turn += 1
+        chosen = keys.groupBy(F.pmod(F.hash("key", F.lit(turn)), F.lit(_PIVOTS)).alias("bucket"))
+        found = chosen.agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key")).select("key").collect()
+        pivots = sorted(row.key for row in found)
+        if len(pivots) == 1 and keys.where(F.col("key") != F.lit(pivots[0])).isEmpty():
+            return keys.limit(1), 1
         above = sum((F.col("key") > F.lit(p)).cast("int") for p in pivots)
         counts = dict(keys.groupBy(above.alias("range")).count().collect())
-        chosen = None
-        for number in range(len(pivots) + 1):
-            if n <= counts.get(number, 0):
-                chosen = number
-                break
+        number = 0
+        while n > counts.get(number, 0):
             n -= counts.get(number, 0)
-        if chosen is None:
-            return None
-        if len(pivots) < _PIVOTS and chosen < len(pivots):
-            if counts[chosen] > 1:  # all keys are pivots, and the cut-off itself repeats
-                raise RewriteError("A limit needs unique keys")
-            return pivots[chosen]
-        if chosen > 0:
-            keys = keys.where(F.col("key") > F.lit(pivots[chosen - 1]))
-        if chosen < len(pivots):
-            keys = keys.where(F.col("key") <= F.lit(pivots[chosen]))
-    first = keys.orderBy("key").limit(n)
-    rows, last = first.agg(F.count("key"), F.max("key")).first()
-    return last if rows == n else None
+            number += 1
+        left = counts[number]
+        if number > 0:
+            keys = keys.where(F.col("key") > F.lit(pivots[number - 1]))
+        if number < len(pivots):
+            keys = keys.where(F.col("key") <= F.lit(pivots[number]))
+    return keys, n
 
 
 def tokenize(

@@ -74,7 +74,7 @@ def test_limited_plan_has_no_join(customers):
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_large_limits_count_instead_of_sorting(spark, monkeypatch, kind):
-    monkeypatch.setattr(rw, "TOP_N_KEYS", 50)
+    monkeypatch.setattr(rw, "LAST_KEYS", 50)
     numbers = random.Random(7).sample(range(10_000_000), 3000)
     df = spark.createDataFrame([(n,) for n in numbers], "id bigint")
     df = df.select(F.col("id").cast(kind).alias("key"))
@@ -82,13 +82,25 @@ def test_large_limits_count_instead_of_sorting(spark, monkeypatch, kind):
     for limit in (1, 50, 51, 1500, 2999, 3000, 3001):
         want = keys[limit - 1] if limit <= len(keys) else None
         assert rw.cutoff_key(df, limit) == want
+        if want is not None:
+            part, rank = rw.narrowed(df, limit, len(keys))
+            left = sorted(r.key for r in part.collect())
+            assert len(left) <= 50 and left[rank - 1] == want  # no more reaches the last task
+
+
+def test_few_different_keys_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(rw, "LAST_KEYS", 50)
+    for values in ((3, 8), (1, 2, 3), range(100)):
+        df = spark.createDataFrame([(v,) for v in values for _ in range(100)], "key int")
+        for limit in (1, 100, 101, 100 * len(values)):
+            assert rw.cutoff_key(df, limit) == sorted(values)[(limit - 1) // 100]
 
 
 def test_large_limit_rejects_repeated_keys(spark, monkeypatch):
-    monkeypatch.setattr(rw, "TOP_N_KEYS", 50)
+    monkeypatch.setattr(rw, "LAST_KEYS", 50)
     df = spark.range(1000).select(F.lit(5).alias("key"))
     with pytest.raises(rw.RewriteError):
-        rw.cutoff_key(df, 500)
+        rw.first_candidates(df, 500, key="key")
 
 
 @pytest.mark.parametrize("keys", [[1, 1, 2], [None, 1, 2]])
@@ -147,7 +159,7 @@ def test_idempotency_report(spark, customers):
 
 @pytest.mark.parametrize("top", [10, 1000])
 def test_limit_takes_keys_that_repeat_beyond_it(spark, monkeypatch, top):
-    monkeypatch.setattr(rw, "TOP_N_KEYS", top)
+    monkeypatch.setattr(rw, "LAST_KEYS", top)
     keys = [*range(60), *[100 + i % 5 for i in range(500)], *[200] * 300]
     table = spark.createDataFrame([(k,) for k in keys], "key long")
     assert rw.cutoff_key(table, 60) == 59 and rw.cutoff_key(table, 900) is None

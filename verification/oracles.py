@@ -296,6 +296,18 @@ GROUP BY pattern, validator""",
 WITH {PROFILE}
 SELECT col, n, 'email' AS validator, hit_email AS any_match FROM prof
 UNION ALL SELECT col, n, 'phone' AS validator, hit_phone AS any_match FROM prof""",
+    "detect_custom_validators": r"""
+WITH prof AS (
+  SELECT col, count(*) AS n,
+    coalesce(bool_or(regexp_matches(val, '\Au\p{Nd}+@[\p{L}\p{N}]+\.com\z')), false) AS email,
+    coalesce(bool_or(regexp_matches(val, '\A([^\s@]{3}-a-|\+1-(000|111|222|333|444|555|666|777|888|999)-\p{Nd}{4}\n?\z)')), false) AS phone,
+    coalesce(bool_or(regexp_matches(val, '\A\+\p{Nd}{1,3}-')), false) AS mobile
+  FROM @fx_samples GROUP BY col)
+SELECT col, n, unnest(['email', 'phone', 'mobile']) AS validator, unnest([email, phone, mobile]) AS any_match FROM prof""",
+    "tokenize_limited_large": f"""
+WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS email FROM @orders),
+  first AS (SELECT id FROM r WHERE {plain('email')} ORDER BY id LIMIT 12000)
+SELECT id, CASE WHEN id IN (SELECT id FROM first) THEN {tok('email')} ELSE email END AS email FROM r""",
     "sample_profile_numeric": f"""
 SELECT col, count(*) AS n, unnest(['email', 'phone']) AS validator,
   unnest([bool_or(regexp_matches(CAST(val AS VARCHAR), {EMAIL_RE})),

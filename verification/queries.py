@@ -46,6 +46,12 @@ ALLOW = {"schema_name": ["^public$"], "table_name": ["^t1"]}
 PAGE_AFTER = "urn:li:dataset:(urn:li:dataPlatform:mysql,"
 REPORT_PASSES = 4
 LIMIT = 100
+LARGE_LIMIT = 12_000
+CUSTOM_VALIDATORS = {
+    "email": r"(?P<who>u)(?P<number>\d+)@(?!test)[^\W\d_]+\.com\b",
+    "phone": r"[^\s@]{3}-a-|\+1-(?P<area>\d)(?P=area)(?P=area)-\d{4}$",
+    "mobile": r"(?x) [+] \d {1,3} - # country",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +114,12 @@ def tokenize_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.tokenize(_customers(spark, sf_dir), CONTACTS, limit=LIMIT)
 
 
+def tokenize_limited_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit far beyond what one task sorts."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("email"))
+    return rw.tokenize(rows, ["email"], limit=LARGE_LIMIT)
+
+
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.candidates(_customers(spark, sf_dir), CONTACTS)
 
@@ -278,6 +290,12 @@ def sample_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.profile_rows(_profile(spark, sf_dir))
 
 
+def detect_custom_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled columns by validators with groups, references, looks around and comments."""
+    rules = det.Rules(validators=CUSTOM_VALIDATORS)
+    return det.profile_rows(det.profile_samples(view(spark, sf_dir, "fx_samples"), rules, keys=["col"]), rules)
+
+
 def sample_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = view(spark, sf_dir, "fx_numbers")
     return det.profile_rows(det.profile_samples(numbers, keys=["col"]))
@@ -589,6 +607,7 @@ QUERIES = {
         tokenize_customers,
         tokenize_documents,
         tokenize_limited,
+        tokenize_limited_large,
         token_candidates,
         token_flags,
         tokenize_arrays,
@@ -617,6 +636,7 @@ QUERIES = {
         detect_tagged_boundary,
         detect_heuristic,
         detect_custom_rules,
+        detect_custom_validators,
         detector_rules,
         sample_profile,
         sample_profile_numeric,
