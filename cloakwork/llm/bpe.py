@@ -20,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import re
 import regex
 from pyspark.sql import DataFrame
@@ -247,12 +248,19 @@ def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
 
 
 def encode_texts(
-    df: DataFrame, vocabulary: Vocabulary, text: str = "text", drop: bool = False, decode: bool = False
+    df: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    drop: bool = False,
+    decode: bool = False,
+    check: bool = False,
+    step: int = STEP_BYTES * 2,
 ) -> DataFrame:
     """``df`` with ``ids``: the token ids as little-endian unsigned 32-bit integers, one binary value.
 
     ``drop`` leaves the texts out of the result. ``decode`` adds ``decoded`` as :func:`decode_ids` does,
-    in the same pass.
+    in the same pass, ``check`` the boolean ``round_trip``: whether the decoded bytes are the text's. ``step``
+    is how many bytes of text a worker handles at once.
     """
     vocabulary.hashed  # built once, here; workers get it with the vocabulary
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -265,10 +273,16 @@ def encode_texts(
         encoder = _encoders[key]
         ids, places = encoder.encode(texts.to_pylist())
         packed = _binary(ids.astype("<u4").tobytes(), places * 4)
-        return [packed, _decoded(packed, encoder.tokens)] if decode else [packed]
-
-    names = ["ids", "decoded"] if decode else ["ids"]
-    return add_columns(df, text, [T.StructField(n, T.BinaryType()) for n in names], compute, STEP_BYTES * 2, drop)
+        new = [packed]
+        if decode or check:
+            back = _decoded(packed, encoder.tokens)
+            new += [back] if decode else []
+            new += [pc.equal(back, pc.fill_null(texts, "").cast(pa.binary()))] if check else []
+        return new
+
+    fields = [T.StructField(n, T.BinaryType()) for n in (["ids", "decoded"] if decode else ["ids"])]
+    fields += [T.StructField("round_trip", T.BooleanType())] if check else []
+    return add_columns(df, text, fields, compute, step, drop)
 
 
 def _decoded(packed: pa.Array, tokens: list[bytes]) -> pa.Array:
