@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DONE_TAG, FAILED, FAILED_TAG, RUN_TAG, SUCCESS, SUCCESS_TAG, TOKENIZED_TAG
 from ..functions.names import add_and_remove, leaf_column
+from ..session import stored
 from .catalog import Catalog, no_tags
 
 ENTITY = ["urn", "field_path", "tag"]
@@ -98,6 +99,44 @@ def with_tags(catalog: Catalog, state: DataFrame, removed: DataFrame | None = No
     return Catalog(datasets, fields)
 
 
+def catalog_digests(catalog: Catalog, *, key: str = "urn") -> DataFrame:
+    """``key, digest, n`` of the tags of each dataset and its fields, whatever their order.
+
+    Sums of hashes: a hash aggregate of numbers, so a wide dataset is not gathered anywhere.
+    """
+    own = catalog.datasets.select(key, F.lit("").alias("path"), F.col("global_tags").alias("tags"))
+    rows = own.unionByName(catalog.fields.select(key, F.col("field_path").alias("path"), "tags"))
+    tags = F.array_sort(F.array_distinct(F.coalesce("tags", no_tags())))
+    value = F.xxhash64("path", tags).cast("decimal(20,0)")
+    return rows.groupBy(key).agg(F.sum(value).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def _entity_tags(catalog: Catalog, key: str) -> DataFrame:
+    own = catalog.datasets.select(key, F.lit("").alias("field_path"), F.explode("global_tags").alias("tag"))
+    fields = catalog.fields.select(key, "field_path", F.explode("tags").alias("tag"))
+    return own.unionByName(fields).distinct()
+
+
+def catalog_changes(old: Catalog, new: Catalog, *, key: str = "urn") -> DataFrame:
+    """Tag changes ``key, field_path, tag, op`` that lead from one snapshot of a catalog to another.
+
+    Only datasets whose digest differs are compared tag by tag, so what follows a poll costs as much as
+    has changed. Two different datasets with equal 64-bit sums would be taken for equal.
+    """
+    before, after = catalog_digests(old, key=key), catalog_digests(new, key=key)
+    both = before.join(after.withColumnsRenamed({"digest": "_digest", "n": "_n"}), key, "full")
+    same = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("n").eqNullSafe(F.col("_n"))
+    changed = stored(both.where(~same).select(key), "changed-datasets")
+    had, has = (_entity_tags(_only(c, changed, key), key) for c in (old, new))
+    on = [key, "field_path", "tag"]
+    added = has.join(had, on, "left_anti").withColumn("op", F.lit("add"))
+    return added.unionByName(had.join(has, on, "left_anti").withColumn("op", F.lit("remove")))
+
+
+def _only(catalog: Catalog, keys: DataFrame, key: str) -> Catalog:
+    return Catalog(catalog.datasets.join(keys, key, "left_semi"), catalog.fields.join(keys, key, "left_semi"))
+
+
 def apply_outcomes(
     catalog: Catalog, outcomes: DataFrame, targets: DataFrame, *, key: str = "urn"
 ) -> Catalog:

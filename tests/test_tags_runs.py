@@ -1,4 +1,6 @@
 import json
+
+from cloakwork.functions.status import STATUS_SCHEMA
 from datetime import datetime
 
 import pytest
@@ -113,20 +115,19 @@ def test_tags_of_unknown_fields_are_ignored(spark):
     assert after.fields.count() == before.fields.count()
 
 
-def status_row(spark, ended=datetime(2024, 1, 1, 12, 5)):
-    row = ("abc", datetime(2024, 1, 1, 12), ended, "postgres", ["email", "phone"], 42, 8, "SUCCESS",
-           "Updated rows successfully")
+def status_row(spark, ended=datetime(2031, 7, 9, 23, 59, 59, 250000)):
+    row = ("run-7", datetime(2031, 7, 9, 8, 30), ended, "databricks", [], 0, 3, "FAILED", 'No "table"\nhere')
     return spark.createDataFrame([row], STATUS)
 
 
 def test_status_json(spark):
-    text = status_row(spark).select(status_json()).first()[0]
-    assert json.loads(text) == {
-        "run_id": "abc", "started_at": "2024-01-01T12:00:00", "ended_at": "2024-01-01T12:05:00",
-        "platform": "postgres", "columns": ["email", "phone"], "rows_updated": 42, "rows_skipped": 8,
-        "status": "SUCCESS", "message": "Updated rows successfully",
-    }
-    assert json.loads(status_row(spark, None).select(status_json()).first()[0])["ended_at"] is None
+    got = json.loads(status_row(spark).select(status_json()).first()[0])
+    assert got == dict(zip(
+        [f.split()[0] for f in STATUS_SCHEMA.split(", ")],
+        ["run-7", "2031-07-09T08:30:00", "2031-07-09T23:59:59.250000", "databricks", [], 0, 3, "FAILED", 'No "table"\nhere'],
+    ))
+    open_ = json.loads(status_row(spark, None).select(status_json()).first()[0])
+    assert open_["ended_at"] is None and len(open_) == 9
 
 
 @pytest.mark.parametrize("micros", [0, 5, 120000])
@@ -151,7 +152,7 @@ def test_property_keeps_the_others(spark):
     new = df.select(upsert_property(F.col("old"), STATUS_PROPERTY, status_json()).alias("p"))
     row = new.select("p", parse_status(F.col("p")).alias("s")).first()
     assert row.p["n"] == "5" and set(row.p) == {"n", STATUS_PROPERTY}
-    assert (row.s.run_id, row.s.rows_updated, row.s.columns) == ("abc", 42, ["email", "phone"])
+    assert (row.s.run_id, row.s.rows_skipped, row.s.columns) == ("run-7", 3, [])
     none = spark.sql("SELECT CAST(NULL AS map<string,string>) AS p")
     assert none.select(parse_status(F.col("p"))).first()[0] is None
     assert none.select(upsert_property(F.col("p"), "k", F.lit("v"))).first()[0] == {"k": "v"}
@@ -187,3 +188,30 @@ def test_an_addition_wins_a_tie(spark):
     for order in (rows, rows[::-1]):
         changes = spark.createDataFrame(order, "urn string, field_path string, tag string, op string, seq long")
         assert tags.tag_state(changes.coalesce(1)).count() == 1
+
+
+def test_changes_lead_from_one_catalog_to_the_other(spark):
+    old, _, _ = catalog(spark)
+    state = spark.createDataFrame([("ok", "", "new"), ("ok", "t.n", "n")], "urn string, field_path string, tag string")
+    new = tags.with_tags(old, state, old.datasets.select("urn", F.lit("").alias("field_path"), F.explode("global_tags").alias("tag")).limit(1))
+    found = tags.catalog_changes(old, new)
+    assert {r.op for r in found.collect()} == {"add", "remove"} and tags.catalog_changes(new, new).isEmpty()
+    again = tags.with_tags(old, found.where("op = 'add'"), found.where("op = 'remove'"))
+    assert tags.catalog_changes(again, new).isEmpty()
+    gone = type(old)(old.datasets.where("urn <> 'ok'"), old.fields.where("urn <> 'ok'"))
+    assert {r.op for r in tags.catalog_changes(old, gone).collect()} <= {"remove"}
+
+
+def test_names_by_many_patterns(spark):
+    from cloakwork.operators.many import names_by_patterns
+
+    names = ["Work_Email", "work_email", "e", "", None, "phonephone", "ΑΒΓΔ", "x.y", "aa"]
+    patterns = ["EMAIL", "email", "e", "_e", "one", "αβγ", "zzz", "y", "phonephonep", None, "x.y", "aaa"]
+    for extra in ([], [""]):
+        found = names_by_patterns(
+            spark.createDataFrame([(n,) for n in names + names], "name string"),
+            spark.createDataFrame([(p,) for p in patterns + extra], "pattern string"),
+        ).collect()
+        want = {(n, p.lower()) for n in names if n is not None for p in patterns + extra if p is not None and p.lower() in n.lower()}
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert names_by_patterns(spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([], "pattern string")).isEmpty()

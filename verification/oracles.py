@@ -308,6 +308,10 @@ SELECT col, n, unnest(['email', 'phone', 'mobile']) AS validator, unnest([email,
 WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS email FROM @orders),
   first AS (SELECT id FROM r WHERE {plain('email')} ORDER BY id LIMIT 12000)
 SELECT id, CASE WHEN id IN (SELECT id FROM first) THEN {tok('email')} ELSE email END AS email FROM r""",
+    "detect_many_patterns": """
+WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS name FROM @documents),
+  patterns AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS pattern FROM @benchmark)
+SELECT name, count(*) AS n_patterns FROM names JOIN patterns ON contains(lower(name), pattern) GROUP BY name""",
     "sample_profile_numeric": f"""
 SELECT col, count(*) AS n, unnest(['email', 'phone']) AS validator,
   unnest([bool_or(regexp_matches(CAST(val AS VARCHAR), {EMAIL_RE})),
@@ -348,6 +352,22 @@ WITH {EFFECTIVE}, {TAGGED}, {REQUESTED},
     WHERE (f.k, {leaf('f.field_path')}) IN (SELECT (k, column_name) FROM targets))
 SELECT k, field_path, coalesce({CSV}, '') AS tags
 FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) GROUP BY k, field_path""",
+    "catalog_changes": f"""
+WITH {EFFECTIVE}, {TAGGED}, {REQUESTED},
+  base AS (
+    SELECT k, '' AS field_path, global_tag AS tag FROM @fx_catalog WHERE global_tag IS NOT NULL
+    UNION SELECT k, field_path, tag FROM eff WHERE tag IS NOT NULL),
+  added AS (
+    SELECT k, '' AS field_path, unnest(['urn:li:tag:tokenize/done', 'urn:li:tag:tokenize/status:SUCCESS']) AS tag
+    FROM asked
+    UNION
+    SELECT f.k, f.field_path, 'urn:li:tag:tokenized' FROM @fx_fields f
+    WHERE (f.k, {leaf('f.field_path')}) IN (SELECT (k, column_name) FROM targets))
+SELECT k, field_path, tag, 'add' AS op FROM (SELECT * FROM added EXCEPT SELECT * FROM base)
+UNION ALL
+SELECT k, field_path, tag, 'remove' AS op FROM base
+WHERE k IN (SELECT k FROM asked)
+  AND (tag = {RUN} OR field_path = '' AND tag = 'urn:li:tag:tokenize/status:FAILED')""",
     "apply_failure_tags": f"""
 WITH {EFFECTIVE}, {TAGGED}, {REQUESTED},
   base AS (

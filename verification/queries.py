@@ -28,6 +28,7 @@ from cloakwork.operators import catalog as cat
 from cloakwork.operators import detect as det
 from cloakwork.operators import rewrite as rw
 from cloakwork.operators import runs, tags
+from cloakwork.operators.many import names_by_patterns
 from cloakwork.plans.cycle import RunConfig, run_cycle
 from cloakwork.session import local_rows, stored, workspace
 from cloakwork.sources.crawl import crawl_database, crawl_parquet, to_catalog
@@ -290,6 +291,17 @@ def sample_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.profile_rows(_profile(spark, sf_dir))
 
 
+def detect_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of all documents that contain words of benchmark items, and how many of these."""
+
+    def words(name: str, column: str) -> DataFrame:
+        found = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+        return table(spark, sf_dir, name).select(F.explode(found).alias(column)).distinct()
+
+    found = names_by_patterns(words("documents", "name"), words("benchmark", "pattern"))
+    return found.groupBy("name").agg(F.count("*").alias("n_patterns"))
+
+
 def detect_custom_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled columns by validators with groups, references, looks around and comments."""
     rules = det.Rules(validators=CUSTOM_VALIDATORS)
@@ -371,6 +383,11 @@ def apply_failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_tags(_after(spark, sf_dir, "FAILED"))
 
 
+def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs of everything asked for change between two snapshots of the catalog."""
+    return tags.catalog_changes(_stored_catalog(spark, sf_dir), _written(_after(spark, sf_dir, "SUCCESS")), key="k")
+
+
 def tag_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.tag_state(view(spark, sf_dir, "fx_tagevents"))
 
@@ -637,6 +654,7 @@ QUERIES = {
         detect_heuristic,
         detect_custom_rules,
         detect_custom_validators,
+        detect_many_patterns,
         detector_rules,
         sample_profile,
         sample_profile_numeric,
@@ -645,6 +663,7 @@ QUERIES = {
         detect_all,
         apply_success_tags,
         apply_failure_tags,
+        catalog_changes,
         tag_state,
         latest_runs,
         run_outcomes,
