@@ -15,7 +15,8 @@ from cloakwork.operators.runs import latest_runs
 from cloakwork.operators.tags import with_tags
 from cloakwork.plans import cycle as plan
 from cloakwork.plans.cycle import RunConfig, run_cycle
-from cloakwork.session import scratch_removed, stored, workspace
+from cloakwork import session
+from cloakwork.session import scratch_removed, stored
 from cloakwork.sources import audit as log_module
 from cloakwork.sources.audit import INTERRUPTED_MESSAGE, AuditLog
 from cloakwork.sources.crawl import crawl_parquet, to_catalog
@@ -151,19 +152,21 @@ def tags_of(loop, name):
     return {r.tag for r in loop.state().where((F.col("urn") == urn(name)) & (F.col("field_path") == "")).collect()}
 
 
-def test_idle_batches_write_nothing(spark, folder, store):
+def test_idle_batches_write_nothing(spark, folder, store, monkeypatch):
     catalog, tables = store
+    made, real = [], session.workspace
+    monkeypatch.setattr(session, "workspace", lambda *args: made.append(real(*args)) or made[-1])
     loop = RequestLoop(spark, f"{folder}/loop", catalog=catalog, config=RunConfig({"postgres": tables}, f"{folder}/audit"))
     nothing = spark.createDataFrame([], CHANGE)
     loop.process_batch(spark.createDataFrame([(urn("a"), "", RUN_TAG, "add", 1)], CHANGE), 0)
     assert tags_of(loop, "a") == {DONE_TAG, SUCCESS_TAG}
     for batch in (1, 2, 3):  # outcomes are folded, old state goes
         loop.process_batch(nothing, batch)
-    root = workspace(spark, "x").rsplit("/", 1)[0]
-    before = files(f"{folder}/loop"), files(f"{folder}/audit"), files(root)
+    before = files(f"{folder}/loop"), files(f"{folder}/audit")
     for batch in range(4, 24):
         loop.process_batch(nothing, batch)
-    assert (files(f"{folder}/loop"), files(f"{folder}/audit"), files(root)) == before
+    assert (files(f"{folder}/loop"), files(f"{folder}/audit")) == before
+    assert made and not any(pathlib.Path(p.removeprefix("file:")).exists() for p in made)
     assert tags_of(loop, "a") == {DONE_TAG, SUCCESS_TAG}
 
 
