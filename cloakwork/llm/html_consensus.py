@@ -2,21 +2,30 @@
 
 A page is parsed into elements. A block of text counts for the container it stands in, and half for
 the one around that; text in links counts against it, and text in what is never an article (menus,
-forms, notices ...) does not count. Each page gives its containers' generalised paths (tags and
-classes, digits as ``#``) shares of one vote. Votes are summed per host; a page is then read from
-the best-voted path of its host that it has, or from its own best container if it has none of them.
+forms, scripts ...) does not count. Class names are only a hint: an element named like a notice, a
+sidebar or an advert goes unless its text speaks for it (``_dropped``), names that tell a state
+(``has-sidebar``, ``comment-open``) say nothing, and only reader comments go by name alone. Each page gives
+its containers' generalised paths (tags and classes, digits as ``#``) shares of one vote. Votes are
+summed per host; a page is then read from the best-voted path of its host that it has, or from its own
+best container if it has none of them. A winner stands for the article around it; without one, the
+headings and paragraphs that stand directly around it, below a heading, belong to it.
 
 Inside the winning containers, what is never an article is left out. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed, empty ones dropped, and
-the rest joined by line feeds in page order. A line break element is white space. Nothing else is
-dropped or cut. NULL, empty and textless pages have an empty text. Pages without a host vote for the
-empty host. Markup that is cut off or nested wrongly is read as far as it goes.
+the rest joined by line feeds in page order. A line break element is white space; scripts, styles,
+buttons, pictures and the like inside a paragraph do not end it. Nothing else is dropped or cut. NULL,
+empty and textless pages have an empty text. Pages without a host vote for the empty host. Repeated
+rows vote and are answered one by one. Markup that is cut off or nested wrongly is read as far as it
+goes. Time and memory of a page grow with its length, however deep it is nested: paths of more than
+``_LONGEST_PATH`` characters go on from a digest.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,10 +45,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr br".split()
 )
-_NEVER = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea option "
-    "input iframe object svg canvas audio video dialog menu".split()
-)
+_NEVER = frozenset("head title nav footer aside form dialog menu".split())
+#: Never text, and no end of the block they stand in.
+_SILENT = frozenset("script style noscript template button select textarea option iframe object svg canvas audio video".split())
 _UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot promo promotion sponsor sponsored "
     "banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
@@ -47,12 +55,26 @@ _UNWANTED = frozenset(
     "recommended recommendations share sharing social footer masthead comment comments reply replies "
     "respond disqus discussion toolbar pagination pager search form hidden skip".split()
 )
+_TALK = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Words that only say where or how an element is laid out.
+_LAYOUT = frozenset(
+    "site page top bottom left right main inner outer list box bar block area section wrapper wrap container "
+    "content item items link links button buttons slot unit panel text body title head header post posts user "
+    "column col row widget widgets group media icon icons js the".split()
+)
+#: Words that tell of a state: what stands beside them is not what the element is.
+_STATES = frozenset(
+    "has have with without no not is can supports enable enabled disable disabled open opened closed on off "
+    "allowed available count".split()
+)
+_LONGEST_PATH = 400
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"),
 }
 _LISTS = frozenset("ul ol dl table".split())
+_BREAKS = frozenset("div td li article section blockquote".split())
 #: Elements whose text belongs to the container around them.
 _PARTS = frozenset(
     "p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt ul ol dl table thead tbody tfoot tr caption figure figcaption hgroup".split()
@@ -61,11 +83,39 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "never", "score", "article")
+    __slots__ = ("tag", "parent", "path", "never", "article", "hint", "zone", "chars", "linked", "score")
+
+    def __init__(self, tag: str, parent: Node | None, path: str, never: bool = False, article: bool = False, hint: int = 0):
+        self.tag, self.parent, self.path, self.never = tag, parent, path, never
+        #: The innermost article around, itself included; and the innermost element named like no article.
+        self.article: Node | None = self if article else parent and parent.article
+        self.zone: Node | None = self if hint else parent and parent.zone
+        self.hint, self.chars, self.linked, self.score = hint, 0, 0, 0.0
+
+
+def _hint(names: list[str]) -> int:
+    """What classes and id say: 0 nothing, 1 maybe no article, 2 named like none, 3 reader comments."""
+    found = 0
+    for name in names:
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if _UNWANTED.isdisjoint(words) or not _STATES.isdisjoint(words):
+            continue
+        if any(w not in _UNWANTED and w not in _LAYOUT for w in words):
+            found = max(found, 1)
+        else:
+            found = max(found, 2 if _TALK.isdisjoint(words) else 3)
+    return found
+
 
-    def __init__(self, tag: str, parent: Node | None, path: str, never: bool, article: bool = False):
-        self.tag, self.parent, self.path, self.never, self.score = tag, parent, path, never, 0.0
-        self.article = article
+def _dropped(zone: Node, total: int) -> bool:
+    """Whether an element named like no article is none, by its text and that of its page."""
+    if zone.hint == 3:
+        return True
+    if 2 * zone.linked > zone.chars:
+        return True
+    if zone.hint == 2:  # all the page has, nearly: a shell around it
+        return 10 * zone.chars < 9 * total
+    return zone.chars < 200 and 2 * zone.chars < total
 
 
 class _Page(HTMLParser):
@@ -73,12 +123,16 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", None, "", False)
+        self.root = Node("", None, "")
         self.stack = [self.root]
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[Node, str, int]] = []
+        self.zones: list[Node] = []
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
+        #: Size of the stack when an element without text was opened; 0 outside of them.
+        self.silent = 0
 
     def _flush(self) -> None:
         if self.parts:
@@ -88,66 +142,97 @@ class _Page(HTMLParser):
                 self.blocks.append((holder, text, self.linked))
             self.parts, self.linked = [], 0
 
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.open[self.stack.pop().tag] -= 1
+        if len(self.stack) <= self.silent:
+            self.silent = 0
+
     def _close_to(self, tags: tuple[str, ...], within: frozenset[str]) -> None:
+        if not any(self.open[tag] for tag in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in within:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _INLINE:
+        if tag in _VOID:
+            if self.silent:
+                return
             if tag == "br":
                 self.parts.append(" ")
+            elif tag == "hr":
+                self._flush()
+            return
+        above = self.stack[-1]
+        if self.silent or tag in _SILENT:
+            self.silent = self.silent or len(self.stack)
+            self._push(Node(tag, above, above.path, True))
+            return
+        if tag in _INLINE:
             if tag == "a":
                 self.links += 1
-            if tag in _VOID:
-                return
         else:
             self._flush()
-            if tag in _VOID or tag in ("html", "body"):
+            if tag in ("html", "body"):
                 return
             if tag in _CLOSES:
                 self._close_to(_CLOSES[tag], _LISTS)
             else:
-                self._close_to(("p",), frozenset(("div", "td", "li", "article", "section", "blockquote")))
+                self._close_to(("p",), _BREAKS)
+            above = self.stack[-1]
         values = dict(attrs)
+        role = (values.get("role") or "").lower()
         classes = sorted((values.get("class") or "").split())
-        named = {w.lower() for c in [*classes, values.get("id") or ""] for w in _WORDS.findall(c)}
-        never = (
-            self.stack[-1].never or tag in _NEVER or not named.isdisjoint(_UNWANTED)
-            or (values.get("role") or "").lower() in _ROLES or "hidden" in values
-        )
-        if tag == "header" and not any(n.tag in ("article", "main") for n in self.stack):
-            never = True
+        never = above.never or tag in _NEVER or role in _ROLES or "hidden" in values
+        never = never or (tag == "header" and above.article is None)
         step = re.sub(r"\d+", "#", ".".join([tag, *classes]))
-        article = tag in ("article", "main") or (values.get("role") or "").lower() in ("article", "main")
-        self.stack.append(Node(tag, self.stack[-1], f"{self.stack[-1].path}/{step}", never, article))
+        path = f"{above.path}/{step}"
+        if len(path) > _LONGEST_PATH:
+            path = "#" + blake2b(path.encode("utf-8", "replace"), digest_size=12).hexdigest()
+        article = tag in ("article", "main") or role in ("article", "main")
+        # an article that begins in no other one is not judged by its names
+        named = [] if article and above.article is None else [*classes, values.get("id") or ""]
+        node = Node(tag, above, path, never, article, 0 if never else _hint(named))
+        if node.hint:
+            self.zones.append(node)
+        self._push(node)
+
+    def _push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.open[node.tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in _SILENT or self.silent:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "a" and self.links:
-            self.links -= 1
-        if tag in _INLINE:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == tag:
-                    inside = self.stack[i + 1 :]
-                    if all(n.tag in _INLINE for n in inside):
-                        del self.stack[i:]
-                    return
+        if not self.open[tag]:
+            if not self.silent and tag not in _INLINE and tag not in _SILENT and tag not in _VOID:
+                self._flush()
             return
-        self._flush()
-        if tag in ("html", "body"):
+        at = len(self.stack) - 1
+        if tag in _INLINE:
+            while self.stack[at].tag in _INLINE and self.stack[at].tag != tag:
+                at -= 1
+            if tag == "a" and self.links and not self.silent:
+                self.links -= 1
+            if self.stack[at].tag == tag:
+                self._cut(at)
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        while self.stack[at].tag != tag:
+            at -= 1
+        if tag not in _SILENT and not (self.silent and at >= self.silent):
+            self._flush()
+        self._cut(at)
 
     def handle_data(self, data: str) -> None:
+        if self.silent:
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -157,17 +242,43 @@ class _Page(HTMLParser):
         self._flush()
 
 
+def _judge(page: _Page) -> None:
+    """Decides which of the elements named like no article are none, and marks their blocks' holders."""
+    total = 0
+    for holder, text, linked in page.blocks:
+        if not holder.never:
+            total += len(text)
+            if holder.zone is not None:
+                holder.zone.chars += len(text)
+                holder.zone.linked += linked
+    for zone in reversed(page.zones):  # inner ones were opened later
+        around = zone.parent.zone
+        if around is not None:
+            around.chars += zone.chars
+            around.linked += zone.linked
+    for zone in page.zones:
+        around = zone.parent.zone
+        zone.never = (around is not None and around.never) or _dropped(zone, total)
+    for holder, _, _ in page.blocks:
+        holder.never = holder.never or (holder.zone is not None and holder.zone.never)
+
+
+def _container(holder: Node) -> Node:
+    while holder.tag in _PARTS and holder.parent is not None:
+        holder = holder.parent
+    return holder
+
+
 def parse(html: str | None) -> _Page:
     page = _Page()
     page.feed(html or "")
     page.finish()
+    _judge(page)
     for holder, text, linked in page.blocks:
         if holder.never:
             continue
         weight = max(0, len(text) - 2 * linked)
-        container = holder
-        while container.tag in _PARTS and container.parent is not None:
-            container = container.parent
+        container = _container(holder)
         container.score += weight
         if container.parent is not None:
             container.parent.score += weight / 2
@@ -184,17 +295,39 @@ def _scores(page: _Page) -> dict[str, float]:
             node = node.parent
     found: dict[str, float] = {}
     for node in seen.values():
-        if node.score > 0 and not node.never:
+        if node.score > 0 and not node.never and not (node.zone is not None and node.zone.never):
             found[node.path] = found.get(node.path, 0) + node.score
     return found
 
 
-def _at(holder: Node, path: str) -> Node | None:
-    """The innermost element around ``holder``, itself included, at ``path``."""
+def _up(holder: Node, known: dict[int, Node | None], wanted: Callable[[Node], bool]) -> Node | None:
+    """The innermost wanted element around ``holder``, itself included. Each element is asked once."""
     node: Node | None = holder
-    while node is not None and node.path != path:
+    passed = []
+    while node is not None and id(node) not in known and not wanted(node):
+        passed.append(node)
         node = node.parent
-    return node
+    found = known.get(id(node), node) if node is not None else None
+    for one in [*passed, node]:
+        if one is not None:
+            known[id(one)] = found
+    return found
+
+
+def _around(page: _Page, winners: dict[int, Node]) -> set[int]:
+    """Elements whose own blocks belong to winners inside them: below a heading of their own."""
+    headed: set[int] = set()
+    found: set[int] = set()
+    inner = {id(w.parent): w.parent for w in winners.values() if w.parent is not None and w.parent.parent is not None}
+    for holder, _, _ in page.blocks:
+        if holder.never:
+            continue
+        container = _container(holder)
+        if id(container) in inner and holder.tag in ("h1", "h2", "h3", "hgroup"):
+            headed.add(id(container))
+        elif id(container) in winners and container.parent is not None and id(container.parent) in headed:
+            found.add(id(container.parent))
+    return found
 
 
 def main_text(html: str | None, paths: list[str], more: bool | None = False) -> str | None:
@@ -208,22 +341,22 @@ def main_text(html: str | None, paths: list[str], more: bool | None = False) ->
     if more and own and not ranked:
         return None
     ranked += sorted(own, key=lambda p: (-own[p], p))[:1]
+    blocks = [(holder, text) for holder, text, _ in page.blocks if not holder.never]
     for path in ranked:
-        whole = set()  # the winners, or the articles they stand for
-        for holder, _, _ in page.blocks:
-            node = _at(holder, path)
-            if node is not None and not holder.never:
-                article: Node | None = node
-                while article is not None and not article.article:
-                    article = article.parent
-                whole.add(id(article or node))
-        texts = []
-        for holder, text, _ in page.blocks:
-            node = holder
-            while node is not None and id(node) not in whole:
-                node = node.parent
-            if node is not None and not holder.never:
-                texts.append(text)
+        whole: dict[int, Node] = {}  # the winners, or the articles they stand for
+        known: dict[int, Node | None] = {}
+        tops: dict[int, Node | None] = {}
+        for holder, _ in blocks:
+            node = _up(holder, known, lambda n: n.path == path)
+            if node is not None and node.article is not None:
+                node = node.article
+            if node is not None:
+                whole[id(node)] = node
+        beside = _around(page, whole)
+        texts = [
+            text for holder, text in blocks
+            if _up(holder, tops, lambda n: id(n) in whole) is not None or id(_container(holder)) in beside
+        ]
         if texts:
             return "\n".join(texts)
     return ""

@@ -5,6 +5,7 @@ import inspect
 import pathlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,44 @@ def test_split_articles_are_whole(page, text):
     assert html_consensus.main_text(html, sorted(own, key=lambda p: -own[p])) == text.format(short, long)
 
 
+STORY = "This is the story, told at length. " * 20
+TOLD = STORY.strip()
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><nav>N</nav><article class='post has-sidebar'><p>{0}</p></article></body>", "{0}"),
+        ("<body><article class='entry share-enabled'><p>{0}</p></article></body>", "{0}"),
+        ("<body><article class='hentry comment-open'><p>{0}</p></article></body>", "{0}"),
+        ("<div class='page with-nav'><div><p>{0}</p></div></div>", "{0}"),
+        ("<article><p>{0}</p><section id='share-price'><p>At noon. {0}</p></section></article>", "{0}\nAt noon. {0}"),
+        ("<div class='modal'><p>{0}</p></div>", "{0}"),
+        ("<body><div class='cookie-notice'><p>We use cookies.</p></div><div class=x><p>{0}</p></div></body>", "{0}"),
+        ("<article><p>{0}</p><div class='share-links'><a href=x>one</a> <a href=x>two</a></div></article>", "{0}"),
+        ("<article><p>{0}</p><div class=comments><article class=comment><p>{0}{0}{0}</p></article></div></article>", "{0}"),
+        ("<body><p>Site</p><div id=c><h1>T</h1><p class=lead>L</p><div class=body><p>{0}</p></div></div></body>", "T\nL\n{0}"),
+        ("<article><p>{0} one<script>x='</p>'</script> two <button>b</button>three<img src=x> four</p></article>", "{0} one two three four"),
+        ("<article><p>{0}<select><option>o<option>q</select> end</p><svg><p>no</p></svg></article>", "{0} end"),
+        ("<article><p>{0}</p><button>never closed<p>gone</article><p>after</p>", "{0}"),
+    ],
+)
+def test_articles_are_kept_whole(html, text):
+    assert html_consensus.main_text(html.format(TOLD), []) == text.format(TOLD)
+
+
+def test_very_deep_pages_take_memory_by_their_length():
+    def peak(depth: int) -> int:
+        tracemalloc.start()
+        try:
+            assert html_consensus.main_text("<div>" * depth + "<p>deep</p>" + "x</div>" * depth, []) == "deep\nx"
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(40_000) < 6 * peak(10_000) < 6 * 30_000_000
+
+
 def test_pages_of_a_host_with_many_templates(spark):
     pages = []
     for t in range(40):
