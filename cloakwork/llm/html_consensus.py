@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -107,6 +108,13 @@ def _hint(names: list[str]) -> int:
     return found
 
 
+@lru_cache(1 << 14)
+def _named(tag: str, classes: str, name: str) -> tuple[str, int]:
+    """An element's step in a path, and what its names say."""
+    each = sorted(classes.split())
+    return re.sub(r"\d+", "#", ".".join([tag, *each])), _hint([*each, name])
+
+
 def _dropped(zone: Node, total: int) -> bool:
     """Whether an element named like no article is none, by its text and that of its page."""
     if zone.hint == 3:
@@ -184,19 +192,20 @@ class _Page(HTMLParser):
             else:
                 self._close_to(("p",), _BREAKS)
             above = self.stack[-1]
-        values = dict(attrs)
-        role = (values.get("role") or "").lower()
-        classes = sorted((values.get("class") or "").split())
-        never = above.never or tag in _NEVER or role in _ROLES or "hidden" in values
-        never = never or (tag == "header" and above.article is None)
-        step = re.sub(r"\d+", "#", ".".join([tag, *classes]))
+        never = above.never or tag in _NEVER or (tag == "header" and above.article is None)
+        step, hint, article = tag, 0, tag in ("article", "main")
+        if attrs:
+            values = dict(attrs)
+            role = (values.get("role") or "").lower()
+            never = never or role in _ROLES or "hidden" in values
+            article = article or role in ("article", "main")
+            step, hint = _named(tag, values.get("class") or "", values.get("id") or "")
         path = f"{above.path}/{step}"
         if len(path) > _LONGEST_PATH:
             path = "#" + blake2b(path.encode("utf-8", "replace"), digest_size=12).hexdigest()
-        article = tag in ("article", "main") or role in ("article", "main")
-        # an article that begins in no other one is not judged by its names
-        named = [] if article and above.article is None else [*classes, values.get("id") or ""]
-        node = Node(tag, above, path, never, article, 0 if never else _hint(named))
+        if never or (article and above.article is None):  # an article in no other one is not judged by its names
+            hint = 0
+        node = Node(tag, above, path, never, article, hint)
         if node.hint:
             self.zones.append(node)
         self._push(node)
