@@ -141,6 +141,15 @@ def _profile_of(table: str, column: str) -> str:
   FROM @{table}"""
 
 
+def _sample_of(table: str, column: str) -> str:
+    return f"""
+  SELECT '{table}' AS table_name, '{column}' AS column_name, hash, n,
+    regexp_matches(v, {EMAIL_RE}) AS hit_email, regexp_matches(v, {PHONE_RE}) AS hit_phone
+  FROM (SELECT md5({column}) AS hash, {column} AS v, count(*) AS n FROM @{table}
+        WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY hash LIMIT 100)
+  UNION ALL SELECT '{table}', '{column}', NULL, count(*), false, false FROM @{table}"""
+
+
 _SQL = {
     "tokenize_customers": f"""
 SELECT id, {needed('email')} AS email, {needed('phone')} AS phone, city FROM @fx_customers""",
@@ -320,6 +329,9 @@ FROM @fx_numbers GROUP BY col""",
     "profile_tables": "\nUNION ALL".join(
         _profile_of(t, c) for t, columns in STRING_COLUMNS.items() for c in columns
     ),
+    "profile_bottom_k": "\nUNION ALL".join(
+        _sample_of(t, c) for t, columns in STRING_COLUMNS.items() for c in columns
+    ),
     "detect_with_samples": f"""
 WITH {PROFILE}, {HEURISTIC_SAMPLED}
 SELECT k, column_name FROM heur""",

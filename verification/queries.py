@@ -29,6 +29,7 @@ from cloakwork.operators import detect as det
 from cloakwork.operators import rewrite as rw
 from cloakwork.operators import runs, tags
 from cloakwork.operators.many import names_by_patterns
+from cloakwork.operators.samples import column_samples, merge_samples
 from cloakwork.plans.cycle import RunConfig, run_cycle
 from cloakwork.session import local_rows, stored, workspace
 from cloakwork.sources.crawl import crawl_database, crawl_parquet, to_catalog
@@ -330,6 +331,19 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def profile_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all string columns of all given tables, merged from two parts of each table."""
+    crawled = crawl_parquet(spark, sf_dir).where("native_data_type = 'string'")
+    parts = []
+    for found in crawled.select("table_name", "location").distinct().orderBy("table_name").toLocalIterator():
+        df = spark.read.parquet(found.location)
+        half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
+        first = column_samples(df.where(half == 0), k=100)
+        second = column_samples(df.where(half == 1), k=100, known=first)
+        parts.append(merge_samples(first, second, k=100).withColumn("table_name", F.lit(found.table_name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def detect_with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.heuristic_columns(
         _fields(spark, sf_dir),
@@ -659,6 +673,7 @@ QUERIES = {
         sample_profile,
         sample_profile_numeric,
         profile_tables,
+        profile_bottom_k,
         detect_with_samples,
         detect_all,
         apply_success_tags,
