@@ -85,16 +85,22 @@ def column_samples(
         ends = known.where("hash IS NOT NULL").groupBy("column_name").agg(F.count("*").alias("n"), F.max("hash").alias("last"))
         full = {row.column_name: row["last"] for row in ends.collect() if row.n >= k}
         limits |= {c: min(last, limits[c] or last) for c, last in full.items() if c in limits}
-    found = stored(_smallest(_counted(df, texts, limits), k), "samples")
-    sizes = dict(found.groupBy("column_name").count().collect())
-    short = [c for c in columns if limits[c] and c not in full and sizes.get(c, 0) < k]
-    short += [c for c in columns if c in full and limits[c] < full[c] and sizes.get(c, 0) < k]
-    if short:
-        rest = _counted(df, {c: texts[c] for c in short}, {c: full.get(c) for c in short})
-        found = found.where(~F.col("column_name").isin(short)).unionByName(_smallest(rest, k))
     hits = [F.coalesce(matches(F.col("value"), regex), F.lit(False)).alias(_hit(v)) for v, regex in rules.validators.items()]
-    totals = local_rows(spark, [(c, None, counts[0], *[False] * len(hits)) for c in columns], sample_schema(rules))
-    return stored(found.select("column_name", "hash", "n", *hits).unionByName(totals), "samples")
+
+    def sample(names: list[str], within: dict[str, str | None]) -> DataFrame:
+        rows = _smallest(_counted(df, {c: texts[c] for c in names}, within), k)
+        return stored(rows.select("column_name", "hash", "n", *hits), "samples")
+
+    found = sample(columns, limits)
+    guessed = [c for c in columns if limits[c] and limits[c] != full.get(c)]
+    if guessed:
+        sizes = dict(found.groupBy("column_name").count().collect())
+        short = [c for c in guessed if sizes.get(c, 0) < k]
+        if short:
+            rest = sample(short, full)
+            found = found.where(~F.col("column_name").isin(short)).unionByName(rest)
+    totals = [(c, None, counts[0], *[False] * len(hits)) for c in columns]
+    return found.unionByName(local_rows(spark, totals, sample_schema(rules)))
 
 
 def merge_samples(first: DataFrame, *others: DataFrame, k: int = SAMPLE) -> DataFrame:

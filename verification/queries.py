@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.constants import RUN_TAG, STATUS_PROPERTY
@@ -334,14 +335,17 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of all string columns of all given tables, merged from two parts of each table."""
     crawled = crawl_parquet(spark, sf_dir).where("native_data_type = 'string'")
-    parts = []
-    for found in crawled.select("table_name", "location").distinct().orderBy("table_name").toLocalIterator():
+
+    def sample(found: Row) -> DataFrame:
         df = spark.read.parquet(found.location)
         half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
         first = column_samples(df.where(half == 0), k=100)
         second = column_samples(df.where(half == 1), k=100, known=first)
-        parts.append(merge_samples(first, second, k=100).withColumn("table_name", F.lit(found.table_name)))
-    return reduce(DataFrame.unionByName, parts)
+        return merge_samples(first, second, k=100).withColumn("table_name", F.lit(found.table_name))
+
+    places = crawled.select("table_name", "location").distinct().orderBy("table_name")
+    with ThreadPoolExecutor(4) as pool:  # a table's jobs are small and wait for each other
+        return reduce(DataFrame.unionByName, pool.map(sample, places.toLocalIterator()))
 
 
 def detect_with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
