@@ -6,7 +6,8 @@ from cloakwork.operators import rewrite as rw
 from cloakwork.operators.runs import AUDIT_SCHEMA, current_outputs, latest_runs
 from cloakwork.operators.tags import with_tags
 from cloakwork.plans.cycle import RunConfig, run_cycle
-from cloakwork.sources.crawl import crawl_database, crawl_parquet, field_rows, to_catalog
+from cloakwork.sources.crawl import crawl_database, crawl_parquet, to_catalog
+from cloakwork.sources.footers import field_rows
 from cloakwork.sources.payloads import read_payloads
 from cloakwork.sources.seed import seed_contacts
 from cloakwork.sources.tables import (
@@ -208,9 +209,10 @@ def test_an_unreadable_table_is_left_out_of_the_crawl(spark, folder):
     seed_contacts(spark, 3).write.parquet(f"{folder}/s/good")
     with open(f"{folder}/s/bad.parquet", "w") as file:
         file.write("not parquet")
-    with pytest.warns(UserWarning, match="bad"):
-        crawled = crawl_parquet(spark, f"{folder}/s")
-    assert {r.table_name for r in crawled.collect()} == {"good"}
+    crawled = crawl_parquet(spark, f"{folder}/s")
+    assert {(r.table_name, r.problem) for r in crawled.collect()} == {("good", None), ("bad", "ArrowInvalid")}
+    catalog = to_catalog(crawled)
+    assert [r.name for r in catalog.datasets.collect()] == ["default.default.good"] and catalog.fields.count() == 3
 
 
 def test_many_partitions_are_all_replaced(spark, folder):

@@ -280,6 +280,18 @@ SELECT DISTINCT table_name, CAST(ordinal_position - 1 AS INTEGER) AS pos, column
 FROM information_schema.columns
 WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
   'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""",
+    "crawl_evolved": """
+WITH kinds AS (
+  SELECT column_name, CASE WHEN data_type = 'INTEGER' THEN 'int' ELSE lower(data_type) END AS kind
+  FROM information_schema.columns WHERE table_name = 'orders'),
+own AS (SELECT max(kind) FILTER (column_name = 'o_orderkey') AS id, max(kind) FILTER (column_name = 'o_custkey') AS customer,
+  max(kind) FILTER (column_name = 'o_totalprice') AS price FROM kinds)
+SELECT 'orders' AS table_name, CAST(pos AS INTEGER) AS pos, column_name, data_type
+FROM own, LATERAL (VALUES (0, 'o_orderkey', id),
+  (1, 'customer', 'struct<o_custkey:' || customer || ',o_totalprice:' || price || '>'),
+  (2, 'customer.o_custkey', customer), (3, 'customer.o_totalprice', price), (4, 'late', 'boolean'),
+  (5, 'o_orderstatus', 'string')) t(pos, column_name, data_type)
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AND EXISTS (SELECT 1 FROM orders WHERE o_orderstatus != 'F')""",
     "detect_explicit": f"WITH {EXPLICIT} SELECT k, column_name FROM expl",
     "detect_tagged": f"WITH {EFFECTIVE}, {TAGGED} SELECT k, column_name FROM tagged",
     "detect_tagged_boundary": f"""

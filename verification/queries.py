@@ -261,6 +261,19 @@ def crawl_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crawl_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a partitioned table whose later files have more of them, and of which only new footers are read."""
+    root = workspace(spark, "crawl-evolved")
+    orders = table(spark, sf_dir, "orders")
+    own = ["o_orderkey", F.struct("o_custkey").alias("customer"), "o_orderstatus"]
+    later = [F.lit(True).alias("late"), F.struct("o_totalprice", "o_custkey").alias("customer"), "o_orderkey", "o_orderstatus"]
+    writes = (("o_orderstatus = 'F'", own), ("o_orderstatus != 'F'", later))
+    for condition, columns in writes:
+        orders.where(condition).select(*columns).write.mode("append").partitionBy("o_orderstatus").parquet(f"{root}/s/orders")
+        crawled = crawl_parquet(spark, f"{root}/s", cache=f"{root}/footers")
+    return crawled.select("table_name", "pos", F.col("field_path").alias("column_name"), F.col("native_data_type").alias("data_type"))
+
+
 # --- detection ------------------------------------------------------------------------------------
 
 
@@ -666,6 +679,7 @@ QUERIES = {
         run_requests,
         tagged_field_counts,
         crawl_catalog,
+        crawl_evolved,
         detect_explicit,
         detect_tagged,
         detect_tagged_boundary,
