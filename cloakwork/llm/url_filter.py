@@ -5,13 +5,15 @@ the path goes on from there up to ``?``, ``#`` or the end. A URL that is NULL or
 an empty host and path. A rule fits its host and all its subdomains, where the path starts with the
 rule's; the longest rule decides, and block wins between two of one length. Where no rule fits, the
 regression decides: its features are hashed character n-grams of host and path with marks at their
-ends, its labels a small table of URLs. An empty host and path have no n-grams, so the offset decides.
+ends, its labels a small table of URLs (``urls.tsv``), in which endings and subdomains are spread over
+both labels, so that the names decide. An empty host and path have no n-grams, so the offset decides.
 
 Rules are settings: they become conditions of one projection. NULL and repeated URLs keep their rows.
 """
 
 from __future__ import annotations
 
+import pathlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,48 +29,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 
-#: Words of hosts and paths that are not wanted, and of others, for the labelled table.
-UNWANTED = (
-    "casino", "poker", "bets", "betting", "jackpot", "slots", "lottery", "pills", "pharmacy", "viagra",
-    "cheap", "free", "win", "winner", "prize", "spam", "farm", "adult", "xxx", "porn", "sex", "escort",
-    "ads", "adserver", "track", "tracker", "click", "banner", "popup", "loans", "payday", "crypto", "warez",
-    "torrent", "crack", "keygen", "malware", "phish", "replica", "diet",
-)
-WANTED = (
-    "news", "blog", "wiki", "docs", "science", "library", "museum", "school", "weather", "history", "garden",
-    "kitchen", "travel", "music", "review", "archive", "research", "health", "city", "forum", "journal",
-    "theory", "writing", "reading", "another", "thing", "other", "there", "weekly", "station", "nation",
-    "harbor", "mountain", "river", "village", "report", "notes", "letters", "market", "studio",
-)
-#: Frequent letter groups, of which names without a meaning are made; hosts with such names are wanted.
-GROUPS = (
-    "th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is",
-    "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de",
-    "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur", "sh", "ly",
-)
-
-
-def made_names() -> list[str]:
-    """Names of three groups, in which every two groups follow each other."""
-    n = len(GROUPS)
-    return [GROUPS[i] + GROUPS[j] + GROUPS[(i + 3 * j) % n] for i in range(n) for j in range(n)]
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """A small table of URLs, 1 for wanted: each word above in common shapes of hosts, and made names."""
-    table = []
-    for i, name in enumerate(made_names()):
-        host = f"{('www.', 'm.', 'blog.', '')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}"
-        table.append((f"https://{host}/{('en', 'de', 'fr', 'es')[i // 4 % 4]}/{i}", 1))
-    for words, label in ((UNWANTED, 0), (WANTED, 1)):
-        for i, word in enumerate(words):
-            other = words[(7 * i + 3) % len(words)]
-            tail = ("com", "net", "org")[i % 3]
-            path = f"{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i + 5}"
-            table.append((f"https://{('www.', 'm.', 'blog.', '')[i % 4]}{word}.example.{tail}/{path}", label))
-            table.append((f"http://{word}-{other}.example.{tail}/{path}.html", label))
-            table.append((f"https://{('', 'www.', 'm.', 'blog.')[i % 4]}{other}-{word}.example.{tail}/{path}/", label))
-    return table
+#: 199 URLs of general kinds, 1 for wanted: what the regression learns from.
+LABELLED = pathlib.Path(__file__).with_name("urls.tsv")
+
+
+def labelled_urls(path: pathlib.Path = LABELLED) -> list[tuple[str, int]]:
+    """A small table of URLs, 1 for wanted, one in each line after its label and a tab."""
+    lines = (line.split("\t", 1) for line in path.read_text("utf-8").splitlines() if line)
+    return [(url, int(label)) for label, url in lines]
 
 
 def host_of(url: Column) -> Column:
@@ -180,8 +148,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, url: st
     return scored.withColumn("verdict", F.when(allowed, "allow").otherwise("block")).drop("_rule")
 
 
-def fit_labelled(urls: DataFrame, url: str = "url", label: str = "label") -> UrlModel:
-    """The regression for a table of labelled URLs, which is small: it is read whole by the driver."""
+def fit_labelled(urls: DataFrame, url: str = "url", label: str = "label", max_rows: int = 100_000) -> UrlModel:
+    """The regression for a table of labelled URLs, which the driver reads.
+
+    Of more than ``max_rows`` different rows those with the smallest hashes are taken, whatever their
+    order. Labels other than 0 and 1 take no part.
+    """
     rows = urls.select(host_of(column(url)).alias("h"), path_of(column(url)).alias("p"), column(label).alias("y"))
-    found = rows.where("y IN (0, 1)").orderBy("h", "p", "y").collect()
-    return fit_urls([(row.h, row.p, row.y) for row in found])
+    rows = rows.where("y IN (0, 1)").distinct().orderBy(F.xxhash64("h", "p", "y"), "h", "p", "y").limit(max_rows)
+    return fit_urls(sorted((row.h, row.p, row.y) for row in rows.collect()))

@@ -1,0 +1,97 @@
+"""URL judgements: SQL for host, path and rule, a plain count of n-grams for verdicts, hosts of neither table."""
+
+import math
+import pathlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from cloakwork.llm import queries, url_filter
+
+JUDGED = pathlib.Path(__file__).with_name("url_judgements.tsv")
+RULES_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS ruled
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, ruled FROM parts LEFT JOIN fits USING (page_id)"""
+
+
+def marked(url):
+    rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host):]).group()
+    return f"^{host.lower()}$^{path}$" if host or path else ""
+
+
+def plain_score(model, text):
+    """Log-odds by a loop over n-grams; hashes are computed from the definition, one at a time."""
+    data, total = text.encode(), model.offset
+    for size in url_filter.SIZES:
+        for at in range(len(data) - size + 1):
+            h = size
+            for byte in data[at : at + size]:
+                h = (h * 0x9E3779B97F4A7C15 + byte + 1) % 2**64
+                h ^= h >> 29
+            total += model.weights[h % url_filter.BUCKETS]
+    return total
+
+
+def fitted(rows):
+    return url_filter.fit_urls([(*marked(url)[1:-1].split("$^"), label) for url, label in rows])
+
+
+def share_right(model, rows):
+    return sum((plain_score(model, marked(url)) >= 0) == (label == 1) for url, label in rows) / len(rows)
+
+
+def test_query_equals_sql_and_a_plain_count(spark, small):
+    got = {r.page_id: r for r in queries.op5_url_filter(spark, small).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{small}/pages.parquet'")
+    urls = dict(con.execute("SELECT page_id, url FROM pages").fetchall())
+    model = url_filter.fit_labelled(spark.createDataFrame(url_filter.labelled_urls(), "url string, label int"))
+    wanted = con.execute(RULES_SQL).fetchall()
+    assert len(wanted) == len(got) > 0
+    for page_id, host, path, rule, ruled in wanted:
+        row = got[page_id]
+        assert (row.host, row.path, row.rule) == (host, path, rule)
+        by_score = "allow" if plain_score(model, marked(urls[page_id])) >= 0 else "block"
+        assert row.verdict == (ruled or by_score)
+
+
+def test_hosts_of_neither_table():
+    table, judged = url_filter.labelled_urls(), url_filter.labelled_urls(JUDGED)
+    assert not {marked(url).split("$")[0] for url, _ in table} & {marked(url).split("$")[0] for url, _ in judged}
+    model = fitted(table)
+    assert share_right(model, judged) >= 0.9
+    assert share_right(model, [row for row in judged if row[1] == 1]) >= 0.8  # names that hold unwanted words
+
+
+def test_parts_of_the_table_judge_the_rest():
+    rows = url_filter.labelled_urls()
+    right = 0
+    for part in range(5):
+        aside = [row for row in rows if zlib.crc32(row[0].encode()) % 5 == part]
+        right += share_right(fitted([row for row in rows if row not in aside]), aside) * len(aside)
+    assert right / len(rows) >= 0.93
+
+
+@pytest.mark.parametrize("rows", [[], [("http://a.b/c", 1)], [("http://a.b/c", 0)]])
+def test_tables_of_few_labels(rows):
+    model = fitted(rows)
+    assert math.isfinite(plain_score(model, marked("http://x.y/z"))) and np.isfinite(model.weights).all()
+
+
+def test_a_bounded_fit_takes_the_same_rows_in_any_order(spark):
+    rows = [*url_filter.labelled_urls(), ("http://odd.example", 7), (None, 1), ("http://none.example", None)]
+    schema = "url string, label int"
+    one = url_filter.fit_labelled(spark.createDataFrame(rows, schema), max_rows=50)
+    other = url_filter.fit_labelled(spark.createDataFrame(rows[::-1] + rows, schema).repartition(3), max_rows=50)
+    assert np.array_equal(one.weights, other.weights)
