@@ -10,9 +10,10 @@ of their leaves, and the best of all blocks are ranked by the inner product of t
 summed in double precision from the first component to the last.
 
 Vectors that are NULL, empty, zero, or hold NULL, NaN or infinite components take no part, nor do
-those of another length than most have (at a tie, the longer one). Equal vectors are indexed once; their smallest ids
-stand for them, which is enough for ``k`` neighbours. Rows with the same id are rows of their own as
-candidates; a query excludes its id. Queries without any candidate have no rows. NULL ids take no part.
+those of another length than most have (at a tie, the longer one). Equal vectors are indexed once, with their smallest
+ids and how many rows have each, which is enough for ``k`` neighbours. Rows with the same id, equal vectors or not, are
+rows of their own as candidates; a query excludes its id. Where the query's id has other vectors too, those among the
+nearest take places that are not filled again. Queries without any candidate have no rows. NULL ids take no part.
 """
 
 from __future__ import annotations
@@ -153,42 +154,51 @@ def nearest(
     names = classes.where("asked").select("class", "v")
     lists = asked.join(names, "v").join(found, "class").select(
         "query_id", F.filter("near", lambda x: x["id"] != F.col("query_id")).alias("near")
-    )
+    ).withColumn("near", F.flatten(F.transform("near", lambda x: F.array_repeat(x, x["n"]))))
     ranked = lists.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """``class, v, ids, asked``: distinct vectors, each with its ``k + 1`` smallest ids.
+    """``class, v, ids, asked, id``: distinct vectors, each with its ``k + 1`` smallest ids and their rows, up to ``k``.
 
-    Batches keep only the smallest ids of a vector before they are shuffled.
+    Batches keep only the smallest ids of a vector, counted, before they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            kinds: dict[bytes, list[int]] = {}
+            ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            kinds: dict[bytes, dict[object, list[int]]] = {}
             for i, v in enumerate(batch.column(1)):
-                kinds.setdefault(v.values.to_numpy().tobytes(), []).append(i)
-            keep = []
+                kinds.setdefault(v.values.to_numpy().tobytes(), {}).setdefault(ids[i], []).append(i)
+            kept = []  # place, rows, whether the vector is asked for
             for places in kinds.values():
-                keep += sorted(places, key=lambda i: ids[i])[: k + 1]
-            asked = batch.column(2).to_pylist()
-            marks = {i: any(asked[j] for j in places) for places in kinds.values() for i in places[:1]}
-            first = {i: places[0] for places in kinds.values() for i in places}
-            keep.sort()
-            part = batch.take(pa.array(keep, pa.int64()))
-            flags = pa.array([marks[first[i]] for i in keep], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], flags], names=["id", "v", "asked"])
+                mark = any(asked[i] for same in places.values() for i in same)
+                kept += [(places[one][0], min(k, len(places[one])), mark) for one in sorted(places)[: k + 1]]
+            kept.sort()
+            part = batch.take(pa.array([i for i, *_ in kept], pa.int64()))
+            counts, marks = pa.array([n for _, n, _ in kept], pa.int32()), pa.array([m for *_, m in kept], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], counts, marks], names=["id", "v", "n", "asked"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    few = rows.mapInArrow(run, f"id {id_type}, v array<double>, n int, asked boolean")
+    kinds = few.groupBy("v").agg(F.collect_list(F.struct("id", "n")).alias("all"), F.max("asked").alias("asked"))
+    smallest = F.slice(F.array_sort(F.array_distinct("all.id")), 1, k + 1)
+
+    def counted(one: Column) -> Column:
+        same = F.filter("all", lambda x: x["id"] == one)
+        n = F.aggregate(same, F.lit(0), lambda n, x: F.least(n + x["n"], F.lit(k)))
+        return F.struct(one.alias("id"), n.alias("n"))
 
-    few = rows.mapInArrow(run, rows.schema)
-    kinds = few.groupBy("v").agg(F.collect_list("id").alias("ids"), F.max("asked").alias("asked"))
-    kinds = kinds.withColumn("ids", F.slice(F.array_sort("ids"), 1, k + 1))
-    return kinds.select(F.monotonically_increasing_id().alias("class"), "v", "ids", "asked", F.col("ids")[0].alias("id"))
+    kinds = kinds.select("v", F.transform(smallest, counted).alias("ids"), "asked")
+    return kinds.select(F.monotonically_increasing_id().alias("class"), "v", "ids", "asked", F.col("ids")[0]["id"].alias("id"))
 
 
 def _search(classes: DataFrame, forest: Forest, k: int, n: int) -> DataFrame:
-    """``class, near``: for each asked class the nearest ids found, ``far`` being the negative score."""
+    """``class, near``: for each asked class the nearest ids found, ``far`` being the negative score.
+
+    ``at`` is the class that has the id, ``n`` its rows.
+    """
     together = max(1, BLOCK_VECTORS * 2**forest.depth // n)  # leaves of a block
     salts = max(1, -(-n // (BLOCK_VECTORS * 2**forest.depth)))  # parts of a leaf larger than a block
     sent = classes.sparkSession.sparkContext.broadcast(forest)
@@ -217,18 +227,18 @@ def _search(classes: DataFrame, forest: Forest, k: int, n: int) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=names)
 
-    indexed = classes.select("class", "v", "ids").mapInArrow(index, f"class long, v array<double>, ids array<{id_type}>, leaves array<int>")
-    indexed = indexed.select("v", "ids", F.pmod(F.xxhash64("class"), F.lit(salts)).alias("salt"), F.posexplode("leaves").alias("tree", "leaf"))
+    indexed = classes.select("class", "v", "ids").mapInArrow(index, f"class long, v array<double>, ids array<struct<id: {id_type}, n: int>>, leaves array<int>")
+    indexed = indexed.select("class", "v", "ids", F.pmod(F.xxhash64("class"), F.lit(salts)).alias("salt"), F.posexplode("leaves").alias("tree", "leaf"))
     indexed = indexed.withColumn("block", F.floor(F.col("leaf") / together).cast("int"))
     asked = classes.where("asked").select("class", "v")
     asked = asked.mapInArrow(probe, "class long, v array<double>, tree int, block int, leaves array<int>")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    schema = f"class long, near array<struct<far: double, id: {id_type}>>"
+    schema = f"class long, near array<struct<far: double, id: {id_type}, at: long, n: int>>"
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = block_nearest(left, right, k)
-        kind = left.schema.field("ids").type.value_type
-        near = pa.list_(pa.struct([("far", pa.float64()), ("id", kind)]))
+        kind = left.schema.field("ids").type.value_type.field("id").type
+        near = pa.list_(pa.struct([("far", pa.float64()), ("id", kind), ("at", pa.int64()), ("n", pa.int32())]))
         return pa.table({"class": pa.array([c for c, _ in found], pa.int64()), "near": pa.array([x for _, x in found], near)})
 
     keys = ["tree", "block", "salt"]
@@ -249,7 +259,7 @@ def block_nearest(index: pa.Table, queries: pa.Table, k: int) -> list[tuple[int,
     leaf = index.column("leaf").to_numpy()
     order = np.argsort(leaf, kind="stable")
     leaf, vectors = leaf[order], _matrix(index.column("v").combine_chunks())[order]
-    ids = index.column("ids").to_pylist()
+    ids, classes = index.column("ids").to_pylist(), index.column("class").to_pylist()
     asked = _matrix(queries.column("v").combine_chunks())
     lists = queries.column("leaves").to_pylist()
     users: dict[int, list[int]] = {}
@@ -276,6 +286,7 @@ def block_nearest(index: pa.Table, queries: pa.Table, k: int) -> list[tuple[int,
         exact = np.zeros(len(at))
         for d in range(asked.shape[1]):  # one order of sums everywhere, so equal vectors score equal
             exact += asked[q, d] * vectors[at, d]
-        near = sorted((-s, i) for s, p in zip(exact.tolist(), at.tolist()) for i in ids[order[p]])
-        result.append((c, [{"far": f, "id": i} for f, i in near[: k + 1]]))
+        found = zip(exact.tolist(), order[at].tolist())
+        near = sorted((-s, i["id"], classes[p], i["n"]) for s, p in found for i in ids[p])
+        result.append((c, [dict(zip(("far", "id", "at", "n"), x)) for x in near[: k + 1]]))
     return result

@@ -390,3 +390,13 @@ def test_pipeline_stages(spark, small):
             assert len(rows) == len(seen) and all(row.round_trip for row in rows)
         docs = spark.createDataFrame(rows, after.schema)
         seen = [row.asDict() for row in rows]
+
+
+def test_repeated_rows_are_neighbours_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 1.0]), (6, [1.0, 0.0]), (20, [1.0, 0.0])]
+    rows += [(7, [0.5, 0.0])] * 30
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann_forest.nearest(table, F.col("vec_id") == 20).collect()
+    wanted = [(5, 2.0)] * 3 + [(6, 1.0)] + [(7, 0.5)] * 16
+    ranked = [(i, *pair) for i, pair in enumerate(wanted, 1) for _ in range(2)]  # the query's row is there twice
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == ranked
