@@ -200,6 +200,7 @@ class FileTables:
             arrived = stored(listed_files(spark, folder).join(known, _SAME, "left_anti"), "arrived")
             if arrived.isEmpty():
                 return folder
+            known = known.union(arrived)  # a file without rows has no counts, however often it is read
             df = self.read(spark, rewrite.ref, None)
             file = df.metadataColumn("_metadata")["file_path"]
             new = arrived.select(F.col("path").alias("_arrived"))

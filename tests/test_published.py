@@ -61,6 +61,19 @@ def test_only_files_with_plaintext_change(spark, folder):
     assert (second.status, second.rows_updated) == ("SUCCESS", 0) and digests(place) == after
 
 
+def test_files_without_rows_are_no_arrivals(spark, folder):
+    place = f"{folder}/main/public/customers"
+    contacts(spark, 0).coalesce(1).write.parquet(place)
+    contacts(spark, 100).limit(0).coalesce(1).write.mode("append").parquet(place)
+    want = rw.tokenize(spark.read.parquet(place), CONTACTS).collect()
+    before = digests(place)
+    row = run(spark, folder, FileTables(folder))
+    after = digests(place)
+    assert (row.status, row.rows_updated) == ("SUCCESS", 100)
+    assert len(before) == 2 and before.keys() == after.keys() and sum(before[f] != after[f] for f in before) == 1
+    assert sorted(spark.read.parquet(place).collect()) == sorted(want)
+
+
 def test_partitions_with_odd_values_and_evolved_columns(spark, folder):
     place = f"{folder}/main/public/customers"
     hours = F.element_at(F.array(*map(F.lit, ["00", "a b:c", "10%", "x*[y]", "é"])), (F.col("id") % 6 + 1).cast("int"))
