@@ -42,7 +42,8 @@ def flatten_payloads(df: DataFrame, *, key: str = "urn", payload: str = "payload
     """Catalog from one JSON document per dataset. Datasets without a document are left out.
 
     Each document is parsed once per branch into a VARIANT, which keeps odd entries apart instead
-    of losing their whole list.
+    of losing their whole list. Before their fields are taken out, documents are dealt out anew: a task
+    sorts all entries of the documents it was given, and a small file may make very many of them.
     """
     doc = F.try_parse_json(F.col(payload))
     parsed = df.select(F.col(key), doc.alias("doc"))
@@ -59,6 +60,8 @@ def flatten_payloads(df: DataFrame, *, key: str = "urn", payload: str = "payload
         ),
         F.coalesce(properties, F.map_from_arrays(empty, empty)).alias("properties"),
     )
+    dealt = df.select(key, payload).repartition(F.xxhash64(key, payload))
+    parsed = dealt.select(key, doc.alias("doc"))
     base = parsed.select(
         key, F.posexplode(F.try_variant_get("doc", "$.schemaMetadata.fields", "array<variant>"))
     ).select(
@@ -93,9 +96,10 @@ def _entry_tags(entry: str) -> Column:
 def effective_fields(fields: DataFrame, edits: DataFrame, *, key: str = "urn") -> DataFrame:
     """Fields with the tags people added to them. Edits of unknown fields are ignored.
 
-    Of several edits of one field the last (greatest ``pos``) counts.
+    Of several edits of one field the last (greatest ``pos``) counts. They are never broadcast: Spark
+    takes their size from the files read, and what a document holds may be a hundred times that.
     """
-    last = edits.groupBy(key, "field_path").agg(F.max_by("tags", "pos").alias("edited"))
+    last = edits.groupBy(key, "field_path").agg(F.max_by("tags", "pos").alias("edited")).hint("merge")
     tags = F.array_union(
         F.coalesce("tags", no_tags()), F.coalesce("edited", no_tags())
     )

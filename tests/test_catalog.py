@@ -136,6 +136,20 @@ def test_payload_details(spark):
     ]
 
 
+def test_payloads_of_a_small_file_are_dealt_out_and_not_broadcast(spark, folder):
+    rows = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("u"), "id").alias("urn"))
+    rows.write.parquet(f"{folder}/urns")
+    entry = '{"fieldPath":"a","globalTags":{"tags":[{"urn":"%s"}]}}'
+    payload = '{"schemaMetadata":{"fields":[%s]},"editableSchemaMetadata":{"editableSchemaFieldInfo":[%s,%s]}}'
+    text = payload % (entry % "own", entry % "first", entry % "last")
+    df = spark.read.parquet(f"{folder}/urns").withColumn("payload", F.lit(text))
+    fields = cat.flatten_payloads(df).fields
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_COL") == 2
+    found = [tuple(r.tags) for r in fields.collect()]
+    assert len(found) == 2000 and set(found) == {("last", "own")}
+
+
 def test_field_map_takes_the_first(spark):
     df = spark.createDataFrame([("u", 1, "b.email", []), ("u", 0, "a.email", [])], FIELD)
     assert [tuple(r) for r in cat.field_map(df).collect()] == [("u", "email", "a.email")]
