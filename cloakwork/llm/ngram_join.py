@@ -51,6 +51,9 @@ FILTER_WORDS = 1 << 20
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 200_000
 
+#: Bytes of text that are hashed at once; a longer text is hashed whole.
+SET_BYTES = 1 << 19
+
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,6 +125,14 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, words: int, frequent: np.
     return sets
 
 
+def stepped_sets(texts: pa.Array, words: int, frequent: np.ndarray) -> list[np.ndarray]:
+    """``shingle_sets`` of a column, ``SET_BYTES`` of text at a time: hashing takes fifty times their memory."""
+    sets = []
+    for start, stop in text_steps(texts, SET_BYTES):
+        sets += shingle_sets(*text_bytes(texts.slice(start, stop - start)), words, frequent)
+    return sets
+
+
 def signature(one: np.ndarray) -> np.ndarray:
     """Parities of the set's counts in two bits or more for each shingle, a power of two of bits."""
     bits = 1 << max(9, int(2 * len(one) - 1).bit_length()) if len(one) else 512
@@ -155,7 +166,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
         none, held, size = np.zeros(0, np.uint64), [], 0
         for batch in batches:
             for start, stop in text_steps(batch.column(0)):
-                held += shingle_sets(*text_bytes(batch.column(0).slice(start, stop - start)), words, none)
+                held += stepped_sets(batch.column(0).slice(start, stop - start), words, none)
                 size = sum(map(len, held))
                 if size >= COUNTED:
                     yield often(held)
@@ -178,7 +189,7 @@ def _with_sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray,
         fields.append(T.StructField("_sign", T.BinaryType()))
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        sets = shingle_sets(*text_bytes(texts), words, sent.value)
+        sets = stepped_sets(texts, words, sent.value)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         new = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
         if prefix:
@@ -357,7 +368,7 @@ def _compare(
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        sets = shingle_sets(*text_bytes(group.column("text").combine_chunks()), words, sent.value)
+        sets = stepped_sets(group.column("text").combine_chunks(), words, sent.value)
         kinds = [group.column(c).to_numpy(zero_copy_only=False) for c in ("class", "native", "level", "block")]
         found = forest(sets, *kinds, percent, across)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})

@@ -2,14 +2,18 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from cloakwork.llm import bpe, decontaminate, line_crf, ngram_join, queries
+from cloakwork.llm.common import text_bytes
 
 from .helpers import empty_documents, odd_documents, odd_texts, words
 
@@ -216,3 +220,17 @@ def test_no_query_cuts_its_table(spark, small):
     for name in ("op2_bpe", "op4_ngram_join", "op8_line_crf", "op10_decontaminate"):
         rows = queries.QUERIES[name](spark, small)
         assert rows.count() == n and rows.select(F.countDistinct("doc_id")).first()[0] == n
+
+
+def test_shingles_of_a_batch_take_little_memory():
+    rng = random.Random(3)
+    texts = pa.array([None, "", "one", *(words(rng, 400) for _ in range(1000)), words(rng, 300_000)]).slice(1)
+    none, peaks, found = np.zeros(0, np.uint64), [], []
+    for part in (texts, texts.slice(0, 1002)):
+        tracemalloc.start()
+        found.append(ngram_join.stepped_sets(part, 5, none))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 30e6
+    whole = ngram_join.shingle_sets(*text_bytes(texts), 5, none)
+    assert [s.tolist() for s in found[0]] == [s.tolist() for s in whole]
