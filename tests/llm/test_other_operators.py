@@ -274,6 +274,52 @@ def test_passages_whose_parts_stand_elsewhere(spark, rare):
     assert [(r.doc_id, r.other_id) for r in rows] == [(20, 10)] and rows[0].n_equal >= 60
 
 
+def test_passages_whose_parts_stand_in_many_documents(spark):
+    rng = random.Random(3)  # two documents share 36 words; any two seeds of these stand in six others
+    passage = words(rng, 36).split()
+    docs = [(i, words(rng, 50) + " " + " ".join(passage) + " " + words(rng, 50)) for i in (1000, 1001)]
+    for i in range(8):
+        for j in range(i, 8):
+            for copy in range(6):
+                kept = [w if n // 4 in (i, i + 1, j, j + 1) else words(rng, 1) for n, w in enumerate(passage)]
+                docs.append((len(docs) + 2000 * (copy % 2), words(rng, 20) + " " + " ".join(kept) + " " + words(rng, 20)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rare in (chaining.RARE, 4):
+        rows = chaining.shared_passages(table, rare=rare).collect()
+        assert [(r.doc_id, r.other_id) for r in rows] == [(1001, 1000)] and rows[0].n_equal >= 36
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_equal_a_comparison_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    few = ["a", "of", "the", "in", "bb", "cc", "dd"]
+    draw = lambda n: [rng.choice(few) if rng.random() < 0.3 else words(rng, 1) for _ in range(n)]
+    lines, texts = [draw(rng.choice([6, 12, 20, 40])) for _ in range(6)], []
+    for _ in range(60):
+        text = draw(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 4)):
+            for word in rng.choice(lines):
+                text += [] if rng.random() < 0.04 else draw(1) if rng.random() < 0.06 else [word]
+            text += draw(rng.choice([0, 2, 30, 80]))
+        texts.append(text + ["of", "the"] * rng.choice([0, 0, 3, 20]))
+    expected = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            seeds = {}
+            for y in range(len(texts[b]) - 3):
+                seeds.setdefault(tuple(texts[b][y : y + 4]), []).append(y)
+            points = [(x, y) for x in range(len(texts[a]) - 3) for y in seeds.get(tuple(texts[a][x : x + 4]), [])]
+            words_ = [[w.encode() for w in texts[i]] for i in (a, b)]
+            for chain in chaining.chains(points, 4):
+                for x1, x2, y1, y2, same in chaining.align_chain(*words_, chain, 4) if len(chain) > 1 else []:
+                    if min(x2 - x1, y2 - y1) >= 30 and same >= 0.8 * max(x2 - x1, y2 - y1):
+                        expected.add((a, b, x1, x2, y1, y2, same))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for rare in (chaining.RARE, 5):
+        assert {tuple(row) for row in chaining.shared_passages(table, rare=rare).collect()} == expected
+    assert len(expected) > 20
+
+
 @pytest.mark.parametrize("n, share", [(30, 0.8), (30, 0.85), (30, 0.9), (60, 0.8)])
 @pytest.mark.parametrize("even", [False, True])
 def test_recall_of_changed_passages(spark, n, share, even):
