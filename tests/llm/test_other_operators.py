@@ -9,12 +9,13 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cloakwork.llm import (
-    ann_forest, chaining, components, decontaminate, html_consensus, queries, suffix_dedup, token_counts, url_filter,
+    ann_forest, chaining, components, decontaminate, html_consensus, ngram_join, queries, suffix_dedup, token_counts, url_filter,
 )
 from verification.compare import duckdb_over, normalized
 
@@ -231,6 +232,44 @@ def test_pipeline_cuts_short_words(spark):
     assert all(len(row.text) < 4 for row in corpus_pipeline.repeats(spark, table, "").collect())
 
 
+def test_prefixes_and_frequent_shingles_take_little_memory():
+    rng = np.random.default_rng(0)
+    kind = pa.list_(pa.struct([("df", pa.int64()), ("token", pa.int64()), ("place", pa.int32())]))
+    all_ = [[{"df": int(rng.integers(2, 99)), "token": i * 40 + j, "place": j} for j in range(40)] for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([300] * 5000), pa.array(all_, kind)], names=["class", "n", "all"])
+    sets = [np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64)) for _ in range(2000)]
+    sets[::7] = [sets[0]] * len(sets[::7])
+    found, counts = np.unique(np.concatenate(sets), return_counts=True)
+    tracemalloc.start()
+    try:
+        rows = 0
+        for part in ngram_join.prefix_rows(batch, 85):
+            rows += part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        often = ngram_join.found_often(sets)
+        again = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 5000 * 40 and peak < 20e6 and again < 20e6
+    assert [x.tolist() for x in often] == [found[counts > 2].tolist(), counts[counts > 2].tolist()] and not sets
+
+
+def test_shards_sort_as_far_as_windows_reach():
+    rng = random.Random(5)
+    for _ in range(300):
+        length, symbols = rng.choice([1, 2, 5, 7, 8, 14, 15, 40]), rng.choice([1, 2, 200])
+        base = bytes(rng.randrange(symbols) for _ in range(80))
+        strings = [base[(a := rng.randrange(80)) : a + rng.randint(1, 60)] + bytes(rng.choices(base, k=rng.randint(0, 9))) for _ in range(6)]
+        windows = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        plain = [[windows[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(strings, length)] == plain
+    # most suffixes of long strings that share all but their ends
+    data = np.frombuffer(bytes(rng.randrange(256) for _ in range(900)) * 40, np.uint8)
+    ends = np.repeat(np.arange(900, 36001, 900), 900)
+    order, changes = suffix_dedup.sorted_suffixes(data, ends, 400)
+    assert changes.sum() == 900 and sorted(order.tolist()) == list(range(36000))
+
+
 def test_fenwick_chains_equal_a_plain_search():
     rng = random.Random(6)
     for _ in range(30):
