@@ -202,6 +202,25 @@ def test_repeats_in_odd_tables(spark):
     assert suffix_dedup.remove_repeats(empty_documents(spark)).count() == 0
 
 
+def test_search_of_word_passages_reads_written_codes(spark, monkeypatch):
+    plans, search = [], suffix_dedup.repeated_spans
+
+    def watched(docs, *args):
+        plans.append(docs._jdf.queryExecution().toString())
+        return search(docs, *args)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", watched)
+    monkeypatch.setattr(suffix_dedup, "_STEP_CODED", 256)  # texts in many steps
+    passage = " ".join(f"word{i}" for i in range(8))
+    texts = [f"one {passage} x", f"other\n{passage}", None, "", "none of these", "long " * 200, f"{passage} {passage}"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.key: sorted(map(tuple, r.word_spans)) for r in suffix_dedup.repeated_word_spans(table, "text", 8).collect()}
+    keys = {r.text: r.key for r in table.select("text", suffix_dedup.text_key(F.col("text")).alias("key")).collect()}
+    spans = {t: sorted({w for a, b in found[k] for w in range(a, b + 1)}) for t, k in keys.items() if k in found}
+    assert spans == {texts[0]: [1], texts[1]: [1], texts[5]: list(range(193)), texts[6]: [0, 8]}
+    assert len(plans) == 1 and "InArrow" not in plans[0]  # two Python steps of a task have two workers
+
+
 def plain_word_repeats(texts, n):
     split = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t.encode())] for t in texts]
     counts = Counter(tuple(w[2] for w in one[i : i + n]) for one in split for i in range(len(one) - n + 1))
