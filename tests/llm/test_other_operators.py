@@ -1,10 +1,14 @@
 """Search, URLs, pages, repeats, passages, totals and the pipeline against plain versions."""
 
+import contextlib
 import hashlib
 import inspect
+import os
 import pathlib
 import random
 import re
+import threading
+import time
 import tracemalloc
 from collections import Counter
 
@@ -378,6 +382,62 @@ def test_passages_equal_a_comparison_of_all_pairs(spark, seed):
     assert len(expected) > 20
 
 
+def test_a_string_of_many_documents_takes_little_disk(spark):
+    rng = random.Random(8)  # 245,000 pairs of documents share six words, two of the documents 34
+    passage = words(rng, 34)
+    docs = [(i, " ".join([words(rng, 10), "all of them have these words", words(rng, 10), passage if i in (5, 600) else ""])) for i in range(700)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    sizes, over = {}, threading.Event()
+
+    def look():  # files of an exchange go when they are not needed any more
+        while not over.wait(0.02):
+            for name in (os.path.join(d, n) for top in folders for d, _, names in os.walk(top) for n in names):
+                with contextlib.suppress(OSError):
+                    sizes[name] = max(sizes.get(name, 0), os.path.getsize(name))
+            if not known:
+                known.append(dict(sizes))
+
+    known: list[dict[str, int]] = []
+    watcher = threading.Thread(target=look)
+    watcher.start()
+    while not known:
+        time.sleep(0.02)
+    rows = chaining.shared_passages(table).collect()
+    over.set()
+    watcher.join()
+    written = sum(size for name, size in sizes.items() if name not in known[0])
+    assert [(r.doc_id, r.other_id, r.n_equal >= 34) for r in rows] == [(600, 5, True)]
+    assert written < 1_500_000
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_passages_of_many_blocks(spark, monkeypatch, few):
+    rng = random.Random(9)
+    lines, docs = [words(rng, 45) for _ in range(4)], []
+    for i in range(90):
+        parts = [words(rng, rng.randint(0, 30)), *(rng.choice(lines) for _ in range(rng.randint(0, 2))), "of the " * rng.choice([0, 9, 40])]
+        docs.append((f"d{rng.randint(0, 70)}", " ".join(parts)))  # some ids have two texts
+    docs += docs[:6] + [("copy", text) for _, text in docs[:4]] + [("z", None), ("z", ""), (None, docs[0][1])]
+    schema = "doc_id string, text string"
+    whole = sorted(tuple(r) for r in chaining.shared_passages(spark.createDataFrame(docs, schema).repartition(3)).collect())
+    monkeypatch.setattr(chaining, "_BLOCK_TEXT", 20_000 if few else 6_000)
+    monkeypatch.setattr(chaining, "_LEAST_RIGHT", 24 if few else 3)
+    parts = chaining.shared_passages(spark.createDataFrame(docs[::-1], schema).repartition(5), rare=3)
+    assert sorted(tuple(r) for r in parts.collect()) == whole and len(whole) > 100
+
+
+def test_ends_of_passages_go_on_past_a_margin(spark):
+    rng = random.Random(11)  # 32 equal words, then three of four equal 30 times over
+    first = words(rng, 400).split()
+    second = [w if i < 132 and i >= 100 or 132 < i < 252 and i % 4 else "other" for i, w in enumerate(first)]
+    table = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "doc_id long, text string")
+    (row,) = chaining.shared_passages(table, share=0.76).collect()
+    points = [(i, i) for i in range(100, 129)]
+    (expected,) = chaining.align_chain(second, first, points, 4, 0.76)
+    assert tuple(row)[2:] == expected and row.stop - row.start > 150
+
+
 @pytest.mark.parametrize("n, share", [(30, 0.8), (30, 0.85), (30, 0.9), (60, 0.8)])
 @pytest.mark.parametrize("even", [False, True])
 def test_recall_of_changed_passages(spark, n, share, even):
